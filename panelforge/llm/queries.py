@@ -5,25 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, url_cascade
+from . import ann, decontaminate, line_dedup, mixing, simhash, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.spread(_table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op9_url_cascade)}
+    every = (op1_int8_block_join, op2_line_spread, op3_source_mixing, op5_simhash_popcount, op9_url_cascade, op10_benchmark_containment)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.SQL, "op9_url_cascade": url_cascade.SQL}
+    return {
+        "op1_int8_block_join": ann.SQL,
+        "op2_line_spread": line_dedup.SQL,
+        "op3_source_mixing": mixing.SQL,
+        "op9_url_cascade": url_cascade.SQL,
+        "op10_benchmark_containment": decontaminate.SQL,
+    }
