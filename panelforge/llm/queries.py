@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, mixing, simhash, url_cascade
+from . import ann, decontaminate, line_dedup, mixing, quality_fm, simhash, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(_table(spark, sf_dir, "pages"))
 
@@ -39,7 +47,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_int8_block_join, op2_line_spread, op3_source_mixing, op5_simhash_popcount, op9_url_cascade, op10_benchmark_containment)
+    every = (op1_int8_block_join, op2_line_spread, op3_source_mixing, op4_factorisation_machine, op5_simhash_popcount, op8_kneser_ney_toxicity, op9_url_cascade, op10_benchmark_containment)
     return {f.__name__: f for f in every}
 
 
