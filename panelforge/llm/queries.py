@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, mixing, quality_fm, simhash, toxicity, url_cascade
+from . import ann, decontaminate, license_scan, line_dedup, mixing, pseudo_lm, quality_fm, simhash, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,18 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_int8_block_join, op2_line_spread, op3_source_mixing, op4_factorisation_machine, op5_simhash_popcount, op8_kneser_ney_toxicity, op9_url_cascade, op10_benchmark_containment)
+    every = (
+        op1_int8_block_join,
+        op2_line_spread,
+        op3_source_mixing,
+        op4_factorisation_machine,
+        op5_simhash_popcount,
+        op6_license_alignment,
+        op7_pseudo_likelihood,
+        op8_kneser_ney_toxicity,
+        op9_url_cascade,
+        op10_benchmark_containment,
+    )
     return {f.__name__: f for f in every}
 
 
