@@ -43,6 +43,11 @@ class Config:
     rf_annual: float = 0.03
     cvar_alpha: float = 0.05
     listing_buffer: int = 30
+    parity_lookback: int = 13
+    rolling_window: int = 26
+    folds: int = 5
+    train_share: float = 0.4
+    cost_multipliers: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 3.0, 5.0)
     stability_lookbacks: tuple[int, ...] = (4, 8, 13, 26, 39)
     stability_vols: tuple[float, ...] = (0.15, 0.25, 0.30, 0.45, 0.60)
     sweep_step: float = 0.025

@@ -159,7 +159,11 @@ def vol_control(
 ) -> DataFrame:
     """keys, date, exposure, gross, cost, r of base (keys, date, r, rf, target, bps): exposure to r, the rest in cash."""
     vol = realised_vol(F.col("r"), keys, method, lookback, trading_days, halflife)
-    rows = base.withColumn("__vol", vol)
+    return controlled(base.withColumn("__vol", vol), keys, cap, freq, band)
+
+
+def controlled(rows: DataFrame, keys: Sequence[str], cap: float = 1.0, freq: str = "daily", band: float = 0.0) -> DataFrame:
+    """vol_control from the realised volatility in __vol on."""
     rows = rows.withColumn("__e", target_exposure(F.col("__vol"), F.col("target"), cap, keys)).drop("__vol")
     rows = rows.withColumn("exposure", held_exposure(F.col("__e"), freq, keys)).drop("__e")
     rows = dead_band(rows, band, keys)
@@ -169,6 +173,17 @@ def vol_control(
     return rows.withColumn("gross", gross).withColumn("r", F.col("gross") - F.col("cost"))
 
 
+def control_grid(base: DataFrame, grid: DataFrame, keys: Sequence[str], lookbacks: Sequence[int], trading_days: int, cap: float = 1.0, freq: str = "daily") -> DataFrame:
+    """vol_control of every row of grid (config_id, keys, lookback, target, bps) over base (keys, date, r, rf), as one plan.
+
+    Each lookback's volatility is one window column of the base, computed once and shared by all
+    targets; the rows then fan out by config_id, which is the partition key of what follows.
+    """
+    vols = [F.struct(F.lit(n).alias("lookback"), (rolling_std(F.col("r"), keys, n) * F.sqrt(F.lit(float(trading_days)))).alias("__vol")) for n in lookbacks]
+    measured = base.select(*keys, "date", "r", "rf", F.array(*vols).alias("__vols")).select(*keys, "date", "r", "rf", F.inline("__vols"))
+    return controlled(measured.join(F.broadcast(grid), [*keys, "lookback"]), ["config_id"], cap, freq)
+
+
 def risk_parity(returns: DataFrame, lookback: int = 63, freq: str = "monthly", strict: bool = True) -> DataFrame:
     """date, asset, w: inverse rolling volatility of the date before, held by period; dates with weights only.
 

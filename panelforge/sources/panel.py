@@ -6,7 +6,7 @@ from datetime import date as Date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,16 +18,23 @@ RATES = T.StructType([T.StructField("date", T.DateType()), T.StructField("rf_ann
 
 
 def price_panel(spark: SparkSession, sf_dir: str, grain: str = "weekly") -> DataFrame:
-    """The canonical panel: mean price of line items by ship week (or day) and flag pair."""
+    """The canonical panel: mean price of line items by ship week (or day) and flag pair.
+
+    Means are of whole cents, so they don't depend on the order in which partial sums meet.
+    """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy(period(grain, F.col("l_shipdate")).alias("date"), F.concat("l_returnflag", "l_linestatus").alias("asset")).agg(F.avg("l_extendedprice").alias("price"))
+    return items.groupBy(period(grain, F.col("l_shipdate")).alias("date"), F.concat("l_returnflag", "l_linestatus").alias("asset")).agg(_mean_of_cents("l_extendedprice").alias("price"))
+
+
+def _mean_of_cents(column: str) -> Column:
+    return F.sum(F.round(F.col(column) * 100).cast("long")).cast("double") / F.count(column) / 100
 
 
 def rf_fixings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated annual rates of both signs with gaps, a late start and an early end."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     day = F.to_date("o_orderdate")
-    return orders.where((day >= F.lit("1995-02-01").cast("date")) & (F.dayofmonth(day) <= 7)).groupBy(day.alias("date")).agg(((F.avg("o_totalprice") - 250000) / 2e6).alias("rf_annual"))
+    return orders.where((day >= F.lit("1995-02-01").cast("date")) & (F.dayofmonth(day) <= 7)).groupBy(day.alias("date")).agg(((_mean_of_cents("o_totalprice") - 250000) / 2e6).alias("rf_annual"))
 
 
 def asset_dim(spark: SparkSession, assets: tuple = ASSETS) -> DataFrame:
