@@ -27,15 +27,16 @@ def as_of(rows: DataFrame, rates: DataFrame, value: str, keys: Sequence[str] = (
     return marked.withColumn(value, F.coalesce(back, ahead)).where("__is = 1").select(*columns, value)
 
 
-def daily_rate(dates: DataFrame, rates: DataFrame | None, trading_days: int, convention: str = "act360", rf_annual: float = 0.03, keys: Sequence[str] = ()) -> DataFrame:
+def daily_rate(dates: DataFrame, rates: DataFrame | None, trading_days: int, convention: str = "act360", rf_annual: float = 0.03, keys: Sequence[str] = (), aligned: bool = False) -> DataFrame:
     """dates (keys, date) with rf: what one period of the calendar given earns.
 
     constant: rf_annual / trading_days. simple: the as-of rate / trading_days. act360: the rate of the
     row before, times the days since it, over 360; the first row takes its own rate and the median gap.
+    aligned: rates hold a row for every date already, so a broadcast join by date replaces the as-of search.
     """
     if convention == "constant" or rates is None:
         return dates.withColumn("rf", F.lit(rf_annual / trading_days))
-    found = as_of(dates, rates, "rf_annual", keys)
+    found = dates.join(F.broadcast(rates), "date") if aligned else as_of(dates, rates, "rf_annual", keys)
     if convention == "simple":
         return found.withColumn("rf", F.col("rf_annual") / trading_days).drop("rf_annual")
     over = dated(keys)

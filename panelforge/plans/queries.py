@@ -245,7 +245,7 @@ cut AS (SELECT strategy || '/' || regime AS k, strategy, regime, date, r FROM ro
 SELECT strategy, regime, n, first, last, {numbers(oracle.SUMMARY)} FROM m WHERE n >= 15""")
 def subperiods(spark, sf_dir):
     s = study.inputs(spark, sf_dir)
-    return study.subperiods(study.run_strategies(s, CFG), s.rates, CFG)
+    return study.subperiods(study.run_strategies(s, CFG), s, CFG)
 
 
 @query(f"""WITH {oracle.STRATEGIES}, {oracle.paths('p', 'rows', 'strategy')},

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ASSETS, Config
+from ..functions.tables import constants
 from ..functions.windows import dated, period, so_far
 from ..operators import metrics, strategies
 from ..operators.alignment import complete_case, on_calendar, simple_returns, strided
-from ..operators.riskfree import daily_rate
+from ..operators.riskfree import as_of, daily_rate
 from ..sources.panel import asset_dim, price_panel, rf_fixings
 
 #: The mix of the two-asset benchmark.
@@ -21,26 +22,28 @@ CONVENTIONS = {"fixings": "act360", "simple": "simple", "constant": "constant",
 
 @dataclass(frozen=True)
 class Inputs:
-    """A panel's returns (date, asset, r), its rate fixings, and the dimension of its assets."""
+    """A panel's returns (date, asset, r), its rate fixings, the dimension of its assets, and the rates known on each date."""
 
     returns: DataFrame
     rates: DataFrame
     dim: DataFrame
+    known: DataFrame
 
 
 def inputs(spark: SparkSession, sf_dir: str, grain: str = "weekly") -> Inputs:
     """The canonical panel. Facts are aggregated once: a panel has a row a date and asset, and is kept in memory."""
     prices = complete_case(price_panel(spark, sf_dir, grain), len(ASSETS))
-    return Inputs(simple_returns(prices).persist(), rf_fixings(spark, sf_dir).persist(), asset_dim(spark))
+    returns, rates = simple_returns(prices).persist(), rf_fixings(spark, sf_dir).persist()
+    return Inputs(returns, rates, asset_dim(spark), as_of(returns.select("date").distinct(), rates, "rf_annual").persist())
 
 
-def with_rf(series: DataFrame, rates: DataFrame, cfg: Config, keys=()) -> DataFrame:
-    """series with rf on each series' own calendar."""
-    return daily_rate(series, rates, cfg.trading_days, CONVENTIONS[cfg.rf_mode], cfg.rf_annual, keys)
+def with_rf(series: DataFrame, study: Inputs, cfg: Config, keys=()) -> DataFrame:
+    """series with rf on each series' own calendar, a part of the panel's."""
+    return daily_rate(series, study.known, cfg.trading_days, CONVENTIONS[cfg.rf_mode], cfg.rf_annual, keys, aligned=True)
 
 
 def shares_of(spark: SparkSession, shares: list[float]) -> DataFrame:
-    return spark.createDataFrame([(float(s),) for s in shares], "share double")
+    return constants(spark, [(float(s),) for s in shares], "share double")
 
 
 def base(study: Inputs, cfg: Config, shares: list[float] | None = None) -> DataFrame:
@@ -48,12 +51,12 @@ def base(study: Inputs, cfg: Config, shares: list[float] | None = None) -> DataF
     spark = study.returns.sparkSession
     weights = strategies.class_weights(study.dim, shares_of(spark, shares or [cfg.crypto_share]))
     mix = strategies.periodic_mix(study.returns, weights, study.dim, cfg.weight_rebalance, ["share"])
-    return with_rf(mix, study.rates, cfg, ["share"])
+    return with_rf(mix, study, cfg, ["share"])
 
 
 def targets_of(spark: SparkSession, cfg: Config) -> DataFrame:
     bps = (1 - cfg.crypto_share) * 10.0 + cfg.crypto_share * 25.0
-    return spark.createDataFrame([(f"VolControl_{v:g}", float(v), bps) for v in cfg.target_vols], "strategy string, target double, bps double")
+    return constants(spark, [(f"VolControl_{v:g}", float(v), bps) for v in cfg.target_vols], "strategy string, target double, bps double")
 
 
 def controlled(study: Inputs, cfg: Config) -> DataFrame:
@@ -64,7 +67,10 @@ def controlled(study: Inputs, cfg: Config) -> DataFrame:
 
 
 def run_strategies(study: Inputs, cfg: Config) -> DataFrame:
-    """strategy, date, r, gross, exposure, turnover_exposure, turnover_sleeve, turnover, rf of every strategy, each on its own calendar."""
+    """strategy, date, r, gross, exposure, turnover_exposure, turnover_sleeve, turnover, rf of every strategy, each on its own calendar.
+
+    A few rows a date, kept in memory, since most reports read them more than once.
+    """
     spark, none = study.returns.sparkSession, F.lit(None).cast("double")
     mix = base(study, cfg).select(F.lit("BuyHold").alias("strategy"), "date", "r", "gross", none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), F.col("turnover").alias("turnover_sleeve"))
     vc = controlled(study, cfg).select("strategy", "date", "r", "gross", "exposure", F.col("turnover").alias("turnover_exposure"), (F.col("base_turnover") * F.col("exposure")).alias("turnover_sleeve"))
@@ -74,13 +80,13 @@ def run_strategies(study: Inputs, cfg: Config) -> DataFrame:
         return net.select(F.lit(name).alias("strategy"), "date", "r", F.col(gross).alias("gross"), none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), (F.col(turnover) if turnover else F.lit(0.0)).alias("turnover_sleeve"))
 
     held = strategies.true_buy_and_hold(study.returns, weights, ["share"])
-    two = spark.createDataFrame(list(BENCHMARK), "asset string, w double")
+    two = constants(spark, list(BENCHMARK), "asset string, w double")
     classic = strategies.periodic_mix(study.returns, two, study.dim, cfg.weight_rebalance)
     parity = strategies.with_turnover(strategies.risk_parity(study.returns, cfg.parity_lookback), study.dim)
     parity = parity.withColumnRenamed("r", "gross").withColumn("r", F.col("gross") - F.col("cost"))
     rows = mix.unionByName(vc).unionByName(benchmark("Benchmark_TrueBH", held, "r", None)).unionByName(benchmark("Benchmark_Classic", classic)).unionByName(benchmark("Benchmark_RiskParity", parity))
     rows = rows.withColumn("turnover", F.col("turnover_exposure") + F.col("turnover_sleeve"))
-    return with_rf(rows, study.rates, cfg, ["strategy"])
+    return with_rf(rows, study, cfg, ["strategy"]).persist()
 
 
 def metrics_table(rows: DataFrame, cfg: Config) -> DataFrame:
@@ -98,20 +104,20 @@ def metrics_table(rows: DataFrame, cfg: Config) -> DataFrame:
     return net.join(more, "strategy")
 
 
-def subperiods(rows: DataFrame, rates: DataFrame, cfg: Config, least: int = 15) -> DataFrame:
+def subperiods(rows: DataFrame, study: Inputs, cfg: Config, least: int = 15) -> DataFrame:
     """strategy, regime and metrics of each named phase; rates are taken anew on the phase's calendar."""
     spark = rows.sparkSession
-    phases = spark.createDataFrame(list(cfg.regimes), "regime string, a string, b string").select("regime", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+    phases = constants(spark, list(cfg.regimes), "regime string, a string, b string").select("regime", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
     inside = rows.drop("rf").join(F.broadcast(phases), F.col("date").between(F.col("a"), F.col("b"))).drop("a", "b")
     keys = ["strategy", "regime"]
-    return metrics.summary(with_rf(inside, rates, cfg, keys), keys, cfg.trading_days, cfg.cvar_alpha).where(F.col("n") >= least)
+    return metrics.summary(with_rf(inside, study, cfg, keys), keys, cfg.trading_days, cfg.cvar_alpha).where(F.col("n") >= least)
 
 
 def param_stability(study: Inputs, cfg: Config) -> DataFrame:
     """lookback, target, sharpe over the grid of lookbacks and targets, on one net base."""
     spark = study.returns.sparkSession
     bps = (1 - cfg.crypto_share) * 10.0 + cfg.crypto_share * 25.0
-    grid = spark.createDataFrame([(f"{n}/{v:g}", float(cfg.crypto_share), n, float(v), bps) for n in cfg.stability_lookbacks for v in cfg.stability_vols], "config_id string, share double, lookback int, target double, bps double")
+    grid = constants(spark, [(f"{n}/{v:g}", float(cfg.crypto_share), n, float(v), bps) for n in cfg.stability_lookbacks for v in cfg.stability_vols], "config_id string, share double, lookback int, target double, bps double")
     paths = strategies.control_grid(base(study, cfg), grid, ["share"], cfg.stability_lookbacks, cfg.trading_days, cfg.max_leverage, cfg.rebalance)
     return metrics.summary(paths, ["lookback", "target"], cfg.trading_days, cfg.cvar_alpha).select("lookback", "target", "sharpe")
 
@@ -120,7 +126,7 @@ def cost_sensitivity(study: Inputs, cfg: Config, target: float) -> DataFrame:
     """multiplier and metrics of the controlled strategy: exposure doesn't depend on cost, so one path is priced six times."""
     spark = study.returns.sparkSession
     path = controlled(study, cfg).where(F.col("target") == cfg.target(target))
-    many = path.crossJoin(F.broadcast(spark.createDataFrame([(float(m),) for m in cfg.cost_multipliers], "multiplier double")))
+    many = path.crossJoin(F.broadcast(constants(spark, [(float(m),) for m in cfg.cost_multipliers], "multiplier double")))
     priced = many.withColumn("r", F.col("gross") - F.col("cost") * F.col("multiplier"))
     return metrics.summary(priced, ["multiplier"], cfg.trading_days, cfg.cvar_alpha)
 
@@ -130,7 +136,7 @@ def crypto_sweep(study: Inputs, cfg: Config, target: float) -> DataFrame:
     spark = study.returns.sparkSession
     gross = base(study, cfg, cfg.sweep_shares()).select("share", "date", F.col("gross").alias("r"), "rf")
     grid = [(f"{s:g}", float(s), cfg.lookback, float(target), (1 - s) * 10.0 + s * 25.0) for s in cfg.sweep_shares()]
-    paths = strategies.control_grid(gross, spark.createDataFrame(grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], [cfg.lookback], cfg.trading_days, cfg.max_leverage, cfg.rebalance)
+    paths = strategies.control_grid(gross, constants(spark, grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], [cfg.lookback], cfg.trading_days, cfg.max_leverage, cfg.rebalance)
     both = gross.withColumn("kind", F.lit("bh")).unionByName(paths.select("share", "date", "r", "rf", F.lit("vc").alias("kind")))
     m = metrics.summary(both, ["share", "kind"], cfg.trading_days, cfg.cvar_alpha)
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
@@ -151,8 +157,8 @@ def trials(study: Inputs, cfg: Config, target: float) -> DataFrame:
     grid = [(f"{n}/{v:g}/{s:g}", s, n, v, (1 - s) * 10.0 + s * 25.0) for n, v, s in sorted(keys)]
     shares = sorted({k[2] for k in keys})
     weights = strategies.class_weights(study.dim, shares_of(spark, shares))
-    mix = with_rf(strategies.constant_mix(study.returns, weights, ["share"]), study.rates, cfg, ["share"])
-    return strategies.control_grid(mix, spark.createDataFrame(grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], sorted({k[0] for k in keys}), cfg.trading_days, cfg.max_leverage, cfg.rebalance)
+    mix = with_rf(strategies.constant_mix(study.returns, weights, ["share"]), study, cfg, ["share"])
+    return strategies.control_grid(mix, constants(spark, grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], sorted({k[0] for k in keys}), cfg.trading_days, cfg.max_leverage, cfg.rebalance)
 
 
 def wealth_paths(rows: DataFrame, points: int = 400) -> DataFrame:

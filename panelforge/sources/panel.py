@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ASSETS
+from ..functions.tables import constants
 from ..functions.windows import period
 
 PRICES = T.StructType([T.StructField("date", T.DateType()), T.StructField("asset", T.StringType()), T.StructField("price", T.DoubleType())])
@@ -38,7 +39,7 @@ def rf_fixings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_dim(spark: SparkSession, assets: tuple = ASSETS) -> DataFrame:
-    return spark.createDataFrame(list(assets), "asset string, asset_class string, base_weight double, cost_bps double")
+    return constants(spark, list(assets), "asset string, asset_class string, base_weight double, cost_bps double")
 
 
 def wide_csv(spark: SparkSession, path: str, assets: list[str]) -> DataFrame:
