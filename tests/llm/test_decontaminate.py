@@ -21,7 +21,7 @@ def world(spark):
             some = own[:]
             for k in range(cut):
                 some[(k * 7) % len(some)] = "changed"
-            rows.append((100 + 10 * i + cut, "Lead in, " * 50 + ", ".join(some).upper() + " and more" * (20000 if i == 6 else 10), "s"))
+            rows.append((100 + 10 * i + cut, "Lead in, " * 50 + ", ".join(some).upper() + " and more" * (400 if i == 6 else 10), "s"))
     return documents(spark, rows), items(spark, tests)
 
 
