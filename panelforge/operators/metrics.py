@@ -27,8 +27,8 @@ def with_quantile(series: DataFrame, keys: Sequence[str], alpha: float) -> DataF
     return series.withColumn("var", F.percentile("r", F.lit(alpha)).over(Window.partitionBy(*keys)))
 
 
-def summary(series: DataFrame, keys: Sequence[str], trading_days: float | Column = 52, alpha: float = 0.05) -> DataFrame:
-    """keys, n, first, last, ann_return, cagr, ann_vol, sharpe, max_drawdown, cvar of every series."""
+def summary(series: DataFrame, keys: Sequence[str], trading_days: float | Column = 52, alpha: float = 0.05, more: Sequence[Column] = ()) -> DataFrame:
+    """keys, n, first, last, ann_return, cagr, ann_vol, sharpe, max_drawdown, cvar of every series, and more aggregates in the same pass."""
     rows = with_quantile(with_paths(series, keys), keys, alpha)
     excess = F.col("r") - F.col("rf")
     days = trading_days if isinstance(trading_days, Column) else F.lit(float(trading_days))
@@ -42,6 +42,7 @@ def summary(series: DataFrame, keys: Sequence[str], trading_days: float | Column
         (ratio(F.avg(excess), F.stddev_samp(excess)) * F.sqrt(days)).alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"),
         F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"),
+        *more,
     )
 
 

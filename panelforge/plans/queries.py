@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from .oracle import number, numbers
 
 CFG = Config()
 TARGET = 0.30
+BAND = 0.1
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
 
@@ -168,10 +171,15 @@ def vol_control(spark, sf_dir):
     return study.controlled(study.inputs(spark, sf_dir), CFG).select("strategy", "target", "date", "r", "gross", "cost", "exposure")
 
 
-@query()
+@query(f"""WITH RECURSIVE {oracle.VC},
+n AS MATERIALIZED (SELECT v.strategy, v.date, v.exposure AS e, i.r, i.rf, i.bps, row_number() OVER (PARTITION BY v.strategy ORDER BY v.date) AS k FROM vc v JOIN vin i USING (strategy, date)),
+h AS (SELECT strategy, k, e AS held FROM n WHERE k = 1
+  UNION ALL SELECT n.strategy, n.k, CASE WHEN abs(n.e - h.held) < {BAND}::DOUBLE THEN h.held ELSE n.e END FROM h JOIN n ON n.strategy = h.strategy AND n.k = h.k + 1),
+x AS (SELECT n.*, held, abs(held - coalesce(lag(held) OVER (PARTITION BY n.strategy ORDER BY n.date), 0)) AS move FROM n JOIN h USING (strategy, k))
+SELECT strategy, date, {number('held', 'exposure')}, {number('held * r + (1 - held) * rf - move * bps / 1e4', 'r')} FROM x""")
 def dead_band(spark, sf_dir):
-    """Volatility control with weekly rebalancing and a dead band: the recursive step has no SQL form."""
-    cfg = replace(CFG, dead_band=0.1)
+    """Volatility control with a dead band: a change below BAND is not traded."""
+    cfg = replace(CFG, dead_band=BAND)
     return study.controlled(study.inputs(spark, sf_dir), cfg).select("strategy", "date", "exposure", "r")
 
 
@@ -343,8 +351,20 @@ def sharpe_trials(spark, sf_dir):
     return statistics.sharpe_moments(study.trials(study.inputs(spark, sf_dir), CFG, TARGET), ["config_id"]).select("config_id", "n", "sr")
 
 
-@query()
+_CONTROLLED = f"""w1 AS (SELECT asset, w FROM w WHERE share = {CFG.crypto_share}), {oracle.held('h1', 'w1', '')}, {oracle.turnover('m1', 'h1', '')}, m2 AS (SELECT 1 AS share, * FROM m1), {oracle.rf('b1', 'm2', 'share')},
+{oracle.TARGETS}, vin AS (SELECT strategy, target, date, r, rf, {oracle.BPS} AS bps FROM b1, targets), {oracle.control('vc', 'vin', 'strategy')}"""
+_LUCK = (1 - statistics.EULER) * NormalDist().inv_cdf(1 - 1 / len(_TRIALS)) + statistics.EULER * NormalDist().inv_cdf(1 - 1 / (len(_TRIALS) * math.e))
+#: The normal distribution function of z as the series of z^(2k + 1) / (2k + 1)!!.
+_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([z ** (2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) FOR k IN range(200)])"
+
+
+@query(f"""WITH {_DAILY}, t AS (SELECT count(*)::BIGINT AS n_trials, sqrt(var_samp(sr)) * {_LUCK}::DOUBLE AS sr0 FROM (SELECT avg(r) / stddev_samp(r) AS sr FROM g GROUP BY config_id)),
+{_CONTROLLED}, c AS (SELECT *, avg(r) OVER (PARTITION BY strategy) AS mu FROM vc),
+m AS (SELECT strategy, count(r)::BIGINT AS n, avg(r) / stddev_samp(r) AS sr, avg((r - mu) ** 3) / power(avg((r - mu) ** 2), 1.5::DOUBLE) AS skew, avg((r - mu) ** 4) / power(avg((r - mu) ** 2), 2) AS kurt FROM c GROUP BY strategy),
+d AS (SELECT strategy, sr, sr0, n_trials, (sr - sr0) * sqrt((n - 1)::DOUBLE) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr ** 2, 1e-12)) AS z FROM m, t)
+SELECT strategy, {numbers('sr sr0 z')}, n_trials, {number(_PHI, 'dsr')} FROM d""")
 def deflated_sharpe(spark, sf_dir):
+    """The chance that a controlled strategy's Sharpe ratio exceeds what its trials reach by luck."""
     s = study.inputs(spark, sf_dir)
     return statistics.deflated_sharpe(study.controlled(s, CFG), study.trials(s, CFG, TARGET), ["strategy"])
 

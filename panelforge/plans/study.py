@@ -59,9 +59,12 @@ def targets_of(spark: SparkSession, cfg: Config) -> DataFrame:
     return constants(spark, [(f"VolControl_{v:g}", float(v), bps) for v in cfg.target_vols], "strategy string, target double, bps double")
 
 
-def controlled(study: Inputs, cfg: Config) -> DataFrame:
-    """strategy, target, date, r, gross, cost, exposure, turnover, base_turnover, rf of each target volatility, on the net base."""
-    rows = base(study, cfg).select("date", "r", "rf", F.col("turnover").alias("base_turnover"))
+def controlled(study: Inputs, cfg: Config, mix: DataFrame | None = None) -> DataFrame:
+    """strategy, target, date, r, gross, cost, exposure, turnover, base_turnover, rf of each target volatility, on the net base.
+
+    mix: the base, where it is at hand.
+    """
+    rows = (mix or base(study, cfg)).select("date", "r", "rf", F.col("turnover").alias("base_turnover"))
     rows = rows.crossJoin(F.broadcast(targets_of(study.returns.sparkSession, cfg)))
     return strategies.vol_control(rows, ["strategy"], cfg.lookback, cfg.trading_days, cfg.max_leverage, cfg.rebalance, cfg.dead_band, cfg.vol_method, cfg.halflife)
 
@@ -72,8 +75,9 @@ def run_strategies(study: Inputs, cfg: Config) -> DataFrame:
     A few rows a date, kept in memory, since most reports read them more than once.
     """
     spark, none = study.returns.sparkSession, F.lit(None).cast("double")
-    mix = base(study, cfg).select(F.lit("BuyHold").alias("strategy"), "date", "r", "gross", none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), F.col("turnover").alias("turnover_sleeve"))
-    vc = controlled(study, cfg).select("strategy", "date", "r", "gross", "exposure", F.col("turnover").alias("turnover_exposure"), (F.col("base_turnover") * F.col("exposure")).alias("turnover_sleeve"))
+    net = base(study, cfg).persist()
+    mix = net.select(F.lit("BuyHold").alias("strategy"), "date", "r", "gross", none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), F.col("turnover").alias("turnover_sleeve"))
+    vc = controlled(study, cfg, net).select("strategy", "date", "r", "gross", "exposure", F.col("turnover").alias("turnover_exposure"), (F.col("base_turnover") * F.col("exposure")).alias("turnover_sleeve"))
     weights = strategies.class_weights(study.dim, shares_of(spark, [cfg.crypto_share]))
 
     def benchmark(name: str, net: DataFrame, gross: str = "gross", turnover: str | None = "turnover") -> DataFrame:
@@ -91,9 +95,8 @@ def run_strategies(study: Inputs, cfg: Config) -> DataFrame:
 
 def metrics_table(rows: DataFrame, cfg: Config) -> DataFrame:
     """strategy and its metrics, turnover in its parts, and the gross twins of return, growth and Sharpe."""
-    net = metrics.summary(rows, ["strategy"], cfg.trading_days, cfg.cvar_alpha)
     excess, days = F.col("gross") - F.col("rf"), F.lit(float(cfg.trading_days))
-    more = rows.groupBy("strategy").agg(
+    more = (
         F.sum("turnover").alias("turnover"),
         F.sum("turnover_exposure").alias("turnover_exposure"),
         F.sum("turnover_sleeve").alias("turnover_sleeve"),
@@ -101,7 +104,7 @@ def metrics_table(rows: DataFrame, cfg: Config) -> DataFrame:
         metrics.cagr(F.col("gross"), days).alias("cagr_gross"),
         (F.when(F.stddev_samp(excess) != 0, F.avg(excess) / F.stddev_samp(excess)) * F.sqrt(days)).alias("sharpe_gross"),
     )
-    return net.join(more, "strategy")
+    return metrics.summary(rows, ["strategy"], cfg.trading_days, cfg.cvar_alpha, more)
 
 
 def subperiods(rows: DataFrame, study: Inputs, cfg: Config, least: int = 15) -> DataFrame:
