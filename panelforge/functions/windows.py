@@ -43,7 +43,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def period(freq: str, date: Column | str = "date") -> Column:
-    """The first day of the period that a date is in: weeks are ISO weeks, from Monday."""
-    date = F.col(date) if isinstance(date, str) else date
-    unit = {"daily": "DAY", "weekly": "WEEK", "monthly": "MONTH", "quarterly": "QUARTER", "yearly": "YEAR"}[freq]
-    return F.date_trunc(unit, date).cast("date")
+    """The first day of the period that a date is in: weeks are ISO weeks, from Monday.
+
+    Days are truncated as days: timestamps would go through the time zone row by row.
+    """
+    day = (F.col(date) if isinstance(date, str) else date).cast("date")
+    return day if freq == "daily" else F.trunc(day, {"weekly": "WEEK", "monthly": "MONTH", "quarterly": "QUARTER", "yearly": "YEAR"}[freq])

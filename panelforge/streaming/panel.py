@@ -10,6 +10,6 @@ def streaming_panel(trades: DataFrame, late: str = "14 days", width: str = "7 da
     """date, asset, price, n of trades (ts, asset, price): a mean by tumbling window from Monday on; the watermark bounds
     the state, and trades later than `late` are dropped."""
     window = F.window("ts", width, width, "4 days")
-    cents = F.sum(F.round(F.col("price") * 100).cast("long")).cast("double")
+    cents = F.sum(F.floor(F.col("price") * 100 + 0.5)).cast("double")
     out = trades.withWatermark("ts", late).groupBy(window.alias("w"), "asset").agg((cents / F.count("price") / 100).alias("price"), F.count("price").alias("n"))
     return out.select(F.col("w.start").cast("date").alias("date"), "asset", "price", "n")
