@@ -52,7 +52,8 @@ class Config:
     stability_vols: tuple[float, ...] = (0.15, 0.25, 0.30, 0.45, 0.60)
     sweep_step: float = 0.025
     sweep_points: int = 21
-    bootstrap_n: int = 200
+    bootstrap_n: int = 10_000
+    sweep_bootstrap_n: int = 1000
     expected_block: int = 8
     seed: int = 42
     mdd_limit: float | None = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,10 @@ def weight_matrix(shares: list[float], assets: list[str], members: tuple = ASSET
 
 
 def sweep_bootstrap(s: study.Inputs, cfg: Config, target: float) -> DataFrame:
-    """The draws of the whole sweep (see bootstrap.sweep_draws); the rate is the sample's mean, as resampled paths have no calendar."""
+    """sweep_bootstrap_n draws of the whole sweep (see bootstrap.sweep_draws); the rate is the sample's mean, as resampled paths have no calendar."""
     rf = study.with_rf(s.returns.select("date").distinct(), s, cfg).agg(F.avg("rf")).first()[0]
     assets, shares = [a for a, *_ in ASSETS], cfg.sweep_shares()
-    return bootstrap.sweep_draws(s.returns, assets, weight_matrix(shares, assets), shares, target, float(rf), cfg)
+    return bootstrap.sweep_draws(s.returns, assets, weight_matrix(shares, assets), shares, target, float(rf), replace(cfg, bootstrap_n=cfg.sweep_bootstrap_n))
 
 
 def pairs(rows: DataFrame, strategy: str, against: str = "BuyHold") -> DataFrame:
