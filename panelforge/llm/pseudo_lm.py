@@ -1,20 +1,23 @@
 """LM scoring by masked pseudo-likelihood: a window network predicts each token from both its sides.
 
-Tokens are words (A-Z as a-z) hashed to 2 ** VOCABULARY_BITS ids. A token's probability is
+Tokens are words (A-Z as a-z), hashed to 2 ** VOCABULARY_BITS ids for the network. A token's probability is
 
-    p(class of token | two tokens before, two after) * p(token | its class)
+    p(class of id | two ids before, two after) * p(id | its class) * p(word | its id)
 
 The first factor is a network: each neighbour's embedding is scaled by its place, their sum goes through tanh
-and a softmax over CLASSES. Classes are runs of ids of equal mass by falling frequency, and the second
-factor is the id's smoothed share of its class; both come from counts over the whole corpus.
+and a softmax over CLASSES. Classes are runs of ids of equal mass by falling frequency, the second
+factor is the id's smoothed share of its class, and the third is the word's share of its id's occurrences, so
+words that meet in an id keep their own counts; all come from counts over the whole corpus.
 
-Training is numpy on the executors: in each of ROUNDS rounds every partition masks one position in EVERY of
-all its documents (others in the next round), takes Adagrad steps from the common parameters, and
-the partitions' parameters are averaged by the number of positions seen. So every document is used,
-and what is gathered grows with the corpus. A document's score is the sum of its tokens' log-probabilities.
+Training is numpy on the executors: in each of EVERY rounds every partition masks one position in EVERY of
+all its documents, takes Adagrad steps from the common parameters, and the partitions' parameters are
+averaged by the number of positions seen. The rounds mask each position once, so every position of every document
+is a target. A document's score is the sum of its tokens' log-probabilities.
 
-How it scales: tokens are written once as two bytes each; the model is 1.1 MB however large the corpus;
-counts and parameters are summed in streams, in constant memory.
+How it scales: tokens are written once, two bytes each and eight more for a word beyond the HEAD most frequent;
+the network is 1.1 MB however large the corpus, and parameters are summed in streams, in constant memory. Word
+counts are a table that grows with the corpus: its HEAD is broadcast, all other words are joined, so no frequent
+word is a key of the join.
 
 Defined cases: null and empty texts and texts without words have 0 tokens, score 0 and a null mean; repeated
 rows are scored each; an empty corpus trains nothing and gives an empty result.
@@ -33,26 +36,76 @@ from .common import text_steps, word_hashes, written
 
 VOCABULARY_BITS, CLASSES, WIDTH, REACH = 14, 64, 16, 2
 VOCABULARY = 1 << VOCABULARY_BITS
-EVERY, ROUNDS, STEP, RATE = 8, 2, 1024, 0.1
+EVERY, STEP, RATE = 8, 1024, 0.1
+#: Most frequent words, whose shares are broadcast.
+HEAD = 1 << 16
 #: Streams in which parameters of partitions are added up.
 SUMMING = 8
 _PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id and ids: the token ids of the whole text as two-byte numbers."""
+def word_shares(docs: DataFrame) -> DataFrame:
+    """word (its hash), n, share: log of the word's part of all occurrences of its id, of every word of the corpus."""
 
     def run(batches):
+        def counted(parts):
+            words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            seen, at = np.unique(words, return_inverse=True)
+            return seen, np.bincount(at, weights=n, minlength=len(seen)).astype(np.int64)
+
+        def out(parts):
+            words, n = counted(parts)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+        parts = []
         for batch in batches:
-            found = []
+            for _, _, data, off in text_steps(batch.column(0)):
+                parts.append(np.unique(word_hashes(data, off)[0], return_counts=True))
+            if sum(len(p[0]) for p in parts) > 1 << 20:
+                parts = [counted(parts)]
+                if len(parts[0][0]) > 1 << 19:
+                    yield out(parts)
+                    parts = []
+        if parts:
+            yield out(parts)
+
+    counts = written(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    of_id = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS).alias("id")
+    totals = counts.groupBy(of_id).agg(F.sum("n").alias("total"))  # VOCABULARY rows at most
+    return written(counts.select("*", of_id).join(F.broadcast(totals), "id").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share")))
+
+
+def head_shares(shares: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `size` most frequent words in order of hash, and their shares."""
+    top = shares.orderBy(F.desc("n"), "word").limit(size).select("word", "share").toArrow()
+    words = top["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], top["share"].to_numpy()[order]
+
+
+def tokens(docs: DataFrame, head: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, ids (of the whole text as two-byte numbers), own (sum of the head words' shares), tail (all other words)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        known, share = shipped.value
+        for batch in batches:
+            found, own, tail = [], [], []
             for lo, hi, data, off in text_steps(batch.column(1)):
                 words, doc, _ = word_hashes(data, off)
                 ids = (words >> np.uint64(64 - VOCABULARY_BITS)).astype(np.uint16)
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 found += [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                here = known[place] == words if len(known) else np.zeros(len(words), bool)
+                own.append(np.bincount(doc[here], weights=share[place[here]], minlength=hi - lo).astype(float))
+                cut = np.searchsorted(doc[~here], np.arange(hi - lo + 1))
+                rest = words[~here].view(np.int64)
+                tail += [rest[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            own = np.concatenate(own) if own else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(own, pa.float64()), pa.array(tail, pa.list_(pa.int64()))], names=["doc_id", "ids", "own", "tail"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, own double, tail array<long>")
 
 
 def token_steps(column: pa.Array, limit: int = 1 << 17):
@@ -135,8 +188,8 @@ class Network:
             total += self.embedding[context[:, j]] * self.places[j]
         return np.tanh(total)
 
-    def log_class(self, context: np.ndarray) -> np.ndarray:
-        logits = self.hidden(context) @ self.out + self.out_bias
+    def log_class(self, context: np.ndarray, dtype: type = np.float32) -> np.ndarray:
+        logits = self.hidden(context).astype(dtype) @ self.out.astype(dtype) + self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
@@ -144,7 +197,9 @@ class Network:
         context, wanted, out = contexts(ids, off), self.class_of[ids], self.within[ids].copy()
         for lo in range(0, len(ids), step):
             hi = lo + step
-            out[lo:hi] += np.take_along_axis(self.log_class(context[lo:hi]), wanted[lo:hi, None], axis=1)[:, 0]
+            # a product's last digits depend on a row's place in the block: doubles, rounded, give equal texts equal scores
+            found = np.take_along_axis(self.log_class(context[lo:hi], np.float64), wanted[lo:hi, None], axis=1)[:, 0]
+            out[lo:hi] += np.rint(found * (1 << 20)) / (1 << 20)
         return out
 
 
@@ -191,10 +246,16 @@ class Trainer:
         getattr(self.net, name)[...] -= RATE * grad / np.sqrt(self.sums[name])
 
 
+def masked_at(ids: np.ndarray, off: np.ndarray, turn: int) -> np.ndarray:
+    """Positions that a round predicts: the EVERY rounds predict each position once."""
+    at = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off))
+    return np.flatnonzero((at + ids * 5) % EVERY == turn)
+
+
 def trained(tokenised: DataFrame) -> Network:
     sc = tokenised.sparkSession.sparkContext
     net = Network.fresh(frequencies(tokenised))
-    for turn in range(ROUNDS):
+    for turn in range(EVERY):
         common = sc.broadcast(net)
 
         def learn(batches, common=common, turn=turn):
@@ -203,8 +264,7 @@ def trained(tokenised: DataFrame) -> Network:
             trainer, kept = Trainer(deepcopy(common.value)), []
             for batch in batches:
                 for _, ids, off in token_steps(batch.column(0)):
-                    at = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off))
-                    masked = np.flatnonzero((at + ids * 5) % EVERY == turn)
+                    masked = masked_at(ids, off, turn)
                     kept.append((contexts(ids, off)[masked], trainer.net.class_of[ids[masked]]))
                     if sum(len(k[1]) for k in kept) >= STEP:
                         context, wanted = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -233,9 +293,10 @@ def trained(tokenised: DataFrame) -> Network:
     return net
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, tokens, log_likelihood (sum over the tokens), mean (by token) of every row."""
-    tokenised = written(tokens(docs))
+    shares = word_shares(docs)
+    tokenised = written(tokens(docs, head_shares(shares, head)).withColumn("rid", F.monotonically_increasing_id()))
     net = docs.sparkSession.sparkContext.broadcast(trained(tokenised))
 
     def run(batches):
@@ -246,7 +307,11 @@ def score(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(hi - lo), np.diff(off))
                 n[lo:hi] = np.diff(off)
                 total[lo:hi] = np.bincount(doc, weights=net.value.token_scores(ids, off), minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], names=["doc_id", "tokens", "log_likelihood"])
+            total += batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), batch.column(3)], names=["doc_id", "tokens", "log_likelihood", "rid"])
 
-    out = tokenised.mapInArrow(run, "doc_id long, tokens long, log_likelihood double")
+    out = tokenised.select("doc_id", "ids", "own", "rid").mapInArrow(run, "doc_id long, tokens long, log_likelihood double, rid long")
+    # decimals, so that the sum does not depend on the order of rows
+    rare = tokenised.select("rid", F.explode("tail").alias("word")).join(shares.select("word", F.col("share").cast("decimal(20,12)").alias("share")), "word").groupBy("rid").agg(F.sum("share").cast("double").alias("rare"))
+    out = out.join(rare, "rid", "left").select("doc_id", "tokens", (F.col("log_likelihood") + F.coalesce("rare", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean", F.when(F.col("tokens") > 0, F.col("log_likelihood") / F.col("tokens")))

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from panelforge.llm import pseudo_lm
+from panelforge.llm.common import word_hashes
 
 from .helpers import documents
 
@@ -57,3 +58,25 @@ def test_token_steps_keep_texts_apart():
 
 def test_empty(spark):
     assert pseudo_lm.score(documents(spark, [])).count() == 0
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    ids, off, rounds, load = np.random.default_rng(3).integers(0, pseudo_lm.VOCABULARY, 200), np.array([0, 1, 4, 13, 200]), [], pseudo_lm.Network.load
+    monkeypatch.setattr(pseudo_lm.Network, "load", lambda self, flat: rounds.append(len(rounds)) or load(self, flat))
+    pseudo_lm.trained(spark.createDataFrame([(bytearray(x.astype(np.uint16).tobytes()),) for x in np.split(ids, off[1:-1])], "ids binary"))
+    assert sorted(i for turn in rounds for i in pseudo_lm.masked_at(ids, off, turn).tolist()) == list(range(200))
+
+
+def test_words_of_one_id_keep_their_own_counts(spark):
+    by = {}
+    for i in range(100000):
+        data = np.frombuffer(f"w{i}".encode(), np.uint8)
+        key = int(word_hashes(data, np.array([0, len(data)]))[0][0] >> np.uint64(64 - pseudo_lm.VOCABULARY_BITS))
+        if key in by:
+            common, rare = by[key], f"w{i}"
+            break
+        by[key] = f"w{i}"
+    rows = [(0, common, "s"), (1, rare, "s")] + [(2 + i, common, "s") for i in range(98)]
+    for head in (pseudo_lm.HEAD, 1, 0):
+        got = {r.doc_id: r.log_likelihood for r in pseudo_lm.score(documents(spark, rows), head).collect()}
+        assert np.isclose(got[0] - got[1], np.log(99), atol=1e-9)
