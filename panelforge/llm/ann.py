@@ -9,7 +9,8 @@ the original vectors, and each query's k best go into a heap. Tiles' heaps are m
 
 How it scales: a tile holds at most about q_block + v_block vectors however large the table; the
 queries move once for every vector block and the vectors once for every query block. Copies of one
-vector within a block are compared once: only their k + 1 least ids can be among the k nearest.
+vector within a block are compared once: of each id k rows stay, and of those the 2 k least, so k rows are left
+whichever id the query sets aside.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 vectors of different lengths are never compared; a repeated vec_id is as many candidates as it has
@@ -49,13 +50,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _fewest_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Without all but the `keep` least ids of each distinct vector."""
+def _fewest_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct vector the 2 k least rows, of which at most k share an id: k or more for a query of any id."""
     _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    order = np.lexsort((ids, group))
-    sorted_group = group[order]
-    place = np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group)
-    chosen = np.sort(order[place < keep])
+
+    def least(order: np.ndarray, keep: int, *keys: np.ndarray) -> np.ndarray:
+        fresh = np.append(True, np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0))
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        return order[place < keep]
+
+    chosen = np.sort(least(least(np.lexsort((ids, group)), k, group, ids), 2 * k, group))
     return ids[chosen], x[chosen]
 
 
@@ -104,7 +108,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, q_block: int = 20
     def one_tile(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(v):
-            ids, vectors_ = _fewest_copies(v["vec_id"].to_numpy(np.int64), _matrix(v["embedding"]), k + 1)
+            ids, vectors_ = _fewest_copies(v["vec_id"].to_numpy(np.int64), _matrix(v["embedding"]), k)
             found = tile(q["vec_id"].to_numpy(np.int64), _matrix(q["embedding"]), ids, vectors_, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

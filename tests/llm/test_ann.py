@@ -47,3 +47,13 @@ def test_bounds_hold():
         d = ann.distances(np.broadcast_to(q[i], v.shape), v)
         want = [int(x) + 100 for x in np.lexsort((np.arange(len(v)), d))[:10]]
         assert [x[1] for x in got if x[0] == i] == want
+
+
+def test_repeated_query_rows_among_many_copies_match_sql(spark):
+    rng = np.random.default_rng(6)
+    same_vector = [0.5] * 8
+    for repeats in (2, 11, 25):
+        rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(1, 40)]
+        rows += [(100, same_vector)] * repeats + [(101 + i, same_vector) for i in range(40)]
+        df = table(spark, rows)
+        same(search(df), duck(ann.SQL, embeddings=df))
