@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,17 @@ WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 STEP_BYTES = 2 << 20
 
 
+_tables: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where none is set, as in tests, a folder of our own."""
+    """The folder of spark.checkpoint.dir. Where none is set, one process (a local master, as in tests) takes a folder of
+    its own; a cluster must name one, since a driver's own disk is not its executors'."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='panelforge-')}"
         sc.setCheckpointDir(found)
     return found
@@ -28,17 +35,42 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing.
 
-    The table goes when the driver's JVM ends.
+    The table goes at the end of a `scratch` block around it, or else when the driver's JVM ends.
     """
     spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/panelforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, system = _located(spark, path)
+    system.deleteOnExit(at)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that operators write within the block go at its end: a long-lived driver wraps each job whose result it saves."""
+    before = len(_tables)
+    try:
+        yield
+    finally:
+        while len(_tables) > before:
+            at, system = _located(spark, _tables.pop())
+            system.delete(at, True)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """A column name like `name` that none of the names taken equals, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; spreads every input bit over the output."""
     x = x ^ (x >> np.uint64(32))

@@ -42,11 +42,51 @@ def test_empty(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, v = rng.normal(size=(30, 16)), np.concatenate([rng.normal(size=(500, 16)), np.full((20, 16), 1e-3)])
-    got = ann.tile(np.arange(30), q, np.arange(100, 620), v, 10)
-    for i in range(30):
+    holds_nearest(q, v)
+
+
+def holds_nearest(q, v, k=10):
+    row, at, lower, upper = ann.bounds(ann.quantise(q), ann.quantise(v), lambda i, j: np.zeros(np.broadcast(i, j).shape, bool), k)
+    for i in range(len(q)):
         d = ann.distances(np.broadcast_to(q[i], v.shape), v)
-        want = [int(x) + 100 for x in np.lexsort((np.arange(len(v)), d))[:10]]
-        assert [x[1] for x in got if x[0] == i] == want
+        mine = row == i
+        assert set(np.lexsort((np.arange(len(v)), d))[:k].tolist()) <= set(at[mine].tolist())
+        assert (lower[mine] <= d[at[mine]]).all() and (d[at[mine]] <= upper[mine]).all()
+
+
+def test_bounds_hold_in_many_dimensions():
+    """Signs times a scale: quantised without error, so only the room for rounding is left."""
+    for dim in (1024, 1040, 2048, 4096):
+        for seed in range(6):
+            rng = np.random.default_rng([dim, seed])
+            sign = rng.choice([-1.0, 1.0], dim)
+            holds_nearest(sign[None, :], sign[None, :] * (1 + np.arange(400) * 1e-9)[rng.permutation(400), None])
+
+
+def test_long_vectors_match_the_plain_distances(spark):
+    rng = np.random.default_rng(7)
+    sign = rng.choice([-1.0, 1.0], 2048)
+    rows = [(i, (sign * (1 + ((i * 37) % 200) * 1e-9)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    got = search(df).collect()
+    for query in (0, 100):
+        d = ann.distances(np.broadcast_to(x[query], x.shape), x)
+        d[query] = np.inf
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == np.lexsort((np.arange(200), d))[:10].tolist()
+
+
+def test_an_id_with_many_vectors_sets_them_all_aside(spark):
+    rng = np.random.default_rng(8)
+    rows = [(100, rng.normal(size=4).round(3).tolist()) for _ in range(60)] + [(i, (rng.normal(size=4) + 5).round(3).tolist()) for i in range(1, 30)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 10 and all(r.vec_id != 100 for r in got)
+
+
+def test_squares_that_overflow_take_part(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r.vec_id for r in got) == [1, 2] and all(r.score == float("inf") for r in got)
 
 
 def test_repeated_query_rows_among_many_copies_match_sql(spark):
