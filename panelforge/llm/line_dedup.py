@@ -10,9 +10,14 @@ How it scales: hashes of lines move, not lines, and sketches are merged before t
 on a third of all pages arrives as one sketch from each task. Texts move once, to meet their list of
 lines to drop.
 
+Threshold: min_sites (10 by default) distinct sites, whatever the length of the line. A line that is repeated within fewer
+sites, however often, is not cross-site boilerplate and stays.
+
 Defined cases: null and blank lines are never dropped; a null text stays null; a null site counts as
-one site; rows of the same id and text are one document and are cleaned alike; a document whose every line goes keeps an empty text; an empty table gives
-an empty result; other columns of any name are kept as they are.
+one site; rows of the same id and text are one document and are cleaned alike; of a line's equal places the
+least by (doc_id, hash of the text, position) stays; a document whose every line goes keeps an empty text
+in `spread` and leaves in `stage`, also where only blank lines are left; a very long text or line is hashed and cleaned whole; an
+empty table gives an empty result; other columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -42,10 +47,15 @@ def _keys(text: Column) -> Column:
     return F.transform(lines_of(text), key)
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), site, pos, key of every line that is not blank."""
+    site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
+    return docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), F.posexplode(_keys(F.col("text"))).alias("pos", "key")).where("key is not null")
+
+
 def spread_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """key, first (the occurrence that stays) and sites of every line on min_sites distinct sites or more."""
-    site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    lines = docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), F.posexplode(_keys(F.col("text"))).alias("pos", "key")).where("key is not null")
+    lines = _lines(docs)
     sketched = lines.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_LOG))).alias("sites"),
         F.min(F.struct("doc_id", "row", "pos")).alias("first"),
@@ -53,48 +63,53 @@ def spread_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     likely = sketched.where(F.col("sites") >= min_sites * (1 - NEAR))
     sure = likely.where(F.col("sites") > min_sites * (1 + NEAR))
     near = likely.where(F.col("sites") <= min_sites * (1 + NEAR)).select("key", "first")
-    exact = lines.select("key", "site").join(near.select("key"), "key", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    # a line and its sites, once from each task: a frequent line is a few rows before it meets the join
+    exact = lines.select("key", "site").distinct().join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.select("key", "first", "sites").unionByName(near.join(exact, "key").select("key", "first", "sites"))
 
 
 def clean(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """docs with cleaned texts and __lines, __removed (how many lines a text had and lost)."""
+    """doc (all columns of docs, as a struct with the cleaned text), lines, removed (how many lines the text had and lost).
+
+    The caller's columns stay within the struct, so that none can clash with a helper's name.
+    """
     boilerplate = written(spread_lines(docs, min_sites))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(_keys(F.col("text"))).alias("pos", "key")).where("key is not null")
     drop = (
-        lines.join(boilerplate, "key")
+        _lines(docs)
+        .drop("site")
+        .join(boilerplate.select("key", "first"), "key")
         .where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "row")
-        .agg(F.collect_set("pos").alias("__drop"))
-        .select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__drop")
+        .agg(F.collect_set("pos").alias("drop"))
     )
-    columns = docs.columns
-    with_row = docs.withColumn("__own", F.xxhash64("text"))
-    joined = with_row.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")), "left")
-    kept = F.filter(lines_of(F.col("text")), lambda line, at: ~F.array_contains(F.col("__drop"), at))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("own"))
+    joined = own.join(drop, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("row")), "left").select("doc", "drop")
+    before = F.col("doc.text")
+    kept = F.filter(lines_of(before), lambda line, at: ~F.array_contains(F.col("drop"), at))
+    text = F.when(F.col("drop").isNull(), before).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long").alias("__lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("__removed"),
+        F.col("doc").withField("text", text).alias("doc"),
+        F.when(before.isNull(), 0).otherwise(F.size(lines_of(before))).cast("long").alias("lines"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("removed"),
     )
 
 
 def spread(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """doc_id, lines, removed, text (cleaned) of every row."""
-    return clean(docs.select("doc_id", "source", "text"), min_sites).select("doc_id", F.col("__lines").alias("lines"), F.col("__removed").alias("removed"), "text")
+    return clean(docs.select("doc_id", "source", "text"), min_sites).select("doc.doc_id", "lines", "removed", "doc.text")
 
 
 def stage(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """docs with cleaned texts and all their columns; n_chars, where there, follows the text.
 
-    Documents that lost lines and have no words left are boilerplate only, and go.
+    Documents that lost lines and have no words left (blank lines are none) are boilerplate only, and go.
     """
-    out = clean(docs, min_sites).where((F.col("__removed") == 0) | (F.trim("text") != "")).drop("__lines") if "text" in docs.columns else docs
+    found = clean(docs, min_sites).where((F.col("removed") == 0) | F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"))
+    doc = F.col("doc")
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        length = F.length("doc.text").cast(docs.schema["n_chars"].dataType)
+        doc = doc.withField("n_chars", F.when(F.col("removed") == 0, F.col("doc.n_chars")).otherwise(length))
+    return found.select(doc.alias("doc")).select("doc.*")
 
 
 SQL = r"""

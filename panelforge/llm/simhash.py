@@ -119,8 +119,8 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay only if no row of their group has one. Of repeated rows one stays.
     """
-    columns = docs.columns
-    keyed = written(docs.withColumn("__rid", F.monotonically_increasing_id()))
-    pairs = groups(keyed.select(F.col("__rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("__rid"), F.col("component_id").alias("__group"))
-    first = pairs.join(keyed.select("__rid", "doc_id"), "__rid").groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"].alias("__rid"))
-    return keyed.join(first.select("__rid"), "__rid", "left_semi").select(*columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = written(docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("rid")))
+    pairs = groups(keyed.select(F.col("rid").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("rid"), F.col("component_id").alias("of"))
+    first = pairs.join(keyed.select("rid", "doc.doc_id"), "rid").groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"))
+    return keyed.join(first.select("rid"), "rid", "left_semi").select("doc.*")

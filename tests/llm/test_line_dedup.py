@@ -46,5 +46,25 @@ def test_stage_keeps_columns_and_drops_emptied_documents(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 20, 21, 22]
 
 
+def test_boilerplate_with_blank_lines_between_goes(spark):
+    df = documents(spark, [(i, "boiler A\n\n \t\n\x0b\nboiler B", f"s{i}") for i in range(12)])
+    assert [r.doc_id for r in line_dedup.stage(df).collect()] == [0]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__removed", "__drop", "__own", "__id", "__row", "__lines", "doc", "drop", "own", "row", "pos", "key", "first", "site", "sites", "lines", "removed", "a.b"]
+    rows = [(i, f"boiler\nown {i}", f"s{i}", *[f"{n} {i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = line_dedup.stage(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"boiler\nown {i}" if i == 0 else f"own {i}", *r[2:]) for i, r in enumerate(rows)]
+
+
+def test_repeated_rows_are_cleaned_alike(spark):
+    rows = [(7, "boiler\nmine", "s7")] * 3 + [(i, "boiler", f"s{i}") for i in range(10, 20)]
+    got = line_dedup.spread(documents(spark, rows)).where("doc_id = 7").collect()
+    assert [r.text for r in got] == ["mine"] * 3
+
+
 def test_empty(spark):
     assert tuples(line_dedup.spread(documents(spark, []))) == []

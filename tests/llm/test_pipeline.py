@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark):
     lines = stages["line dedup"](spark, kept, SF).cache()
     rows = [(r.doc_id, r.text, r.source) for r in kept.collect()]
     cleaned = dict(brute(rows, 10))
-    assert {r.doc_id: r.text for r in lines.collect()} == {i: t for i, t in cleaned.items() if t == dict((a, b) for a, b, _ in rows)[i] or (t or "").strip(" ")}
+    assert {r.doc_id: r.text for r in lines.collect()} == {i: t for i, t in cleaned.items() if t == dict((a, b) for a, b, _ in rows)[i] or (t or "").split()}
 
     one = stages["SimHash near-dedup"](spark, lines, SF).cache()
     assert sorted(r.doc_id for r in one.collect()) == sorted({g for *_, g in union_find([(r.doc_id, r.text) for r in lines.collect()])})

@@ -69,6 +69,14 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({g for _, _, g in union_find(rows)})
 
 
+def test_stage_keeps_columns_of_any_name(spark):
+    names = ["__rid", "rid", "__group", "of", "doc", "fp", "component_id", "a.b"]
+    df = spark.createDataFrame([(i, f"text {i // 2} and more words", *[f"{n} {i}" for n in names]) for i in range(6)], ["doc_id", "text", *names])
+    got = simhash.stage(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in df.collect() if r.doc_id % 2 == 0)
+
+
 def test_empty(spark):
     assert simhash.groups(documents(spark, [])).count() == 0
     assert simhash.stage(documents(spark, [])).count() == 0
