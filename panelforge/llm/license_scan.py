@@ -4,8 +4,8 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. A
 hashes of runs of GRAM words; of long templates, the least hash of every WINDOW neighbouring runs. The
 inverted index names the templates and places of each. Every run of a document's words is looked up; a hit
 proposes a diagonal (where the template would begin). A notice that reaches least_coverage has its hits within
-reach = words // 4 diagonals, and no fewer of them than `least_hits`, and so many of all the template's runs around them, so only
-such clusters are aligned: to the words around them, in a band that is wider by that reach on either side (match 2, mismatch and gap -1, best local alignment,
+reach = words // 4 diagonals, and no fewer of them than `least_hits` (of all runs, which the index holds beside the chosen ones, more), so
+only such clusters are aligned: to the words around them, in a band that is wider by that reach on either side (match 2, mismatch and gap -1, best local alignment,
 found by numpy row by row). Aligned words are cut out and the rest of the cluster is aligned again, until nothing is left.
 
 A place is reported if it covers least_coverage: matched words over the template's words or, where that is more, the
@@ -60,10 +60,6 @@ def telling(words: np.ndarray, numbers: bool) -> frozenset[int]:
     return frozenset(found.tolist())
 
 
-def _runs(words: np.ndarray) -> np.ndarray:
-    return shingle_hashes(words, np.zeros(len(words), np.int64), GRAM)[0]
-
-
 def window_of(n: int) -> int:
     return WINDOW if n >= LONG else 1
 
@@ -96,28 +92,28 @@ def least_hits(n: int, coverage: float, window: int) -> int:
 class Index:
     words: list[np.ndarray]
     names: list[str]
-    needed: np.ndarray  # hits that a notice has at least
+    needed: np.ndarray  # hits of winnowed runs that a notice has at least
+    shared: np.ndarray  # and of all runs
     reach: np.ndarray  # diagonals that a notice spreads over at most
-    total: np.ndarray  # fingerprints of each template
+    total: np.ndarray  # runs of each template
     telling: list[tuple[bool, frozenset[int]]]
-    runs: list[np.ndarray]  # all runs of GRAM words of each template
-    shared: list[int]  # how many of them a notice shares at least
     keys: dict[int, np.ndarray]
-    begins: dict[int, np.ndarray]  # of each key: where its (template, place) pairs begin
+    begins: dict[int, np.ndarray]  # of each key: where its (template, place, is it winnowed) entries begin
     pairs: dict[int, np.ndarray]
     first: dict[int, np.ndarray]
 
 
 def build(templates=TEMPLATES, coverage: float = LEAST_COVERAGE) -> Index:
     kept = [(name, w) for name, text in templates if len(w := template_words(text))]
-    by: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    by: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
     told, total = [], []
     for t, (_, words) in enumerate(kept):
         k = min(GRAM, len(words))
-        chosen = winnowed(words, k, window_of(len(words)))
-        for key, at in chosen:
-            by[k][key].append((t, at))
-        total.append(len(chosen))
+        chosen = set(winnowed(words, k, window_of(len(words))))
+        every = list(enumerate(shingle_hashes(words, np.zeros(len(words), np.int64), k)[0].tolist()))
+        for at, key in every:
+            by[k][key].append((t, at, int((key, at) in chosen)))
+        total.append(len(every))
         numbers = bool(np.isin(words, _NUMBERS).any())
         told.append((numbers, telling(words, numbers)))
     keys = {k: np.array(sorted(found), np.uint64) for k, found in by.items()}
@@ -129,7 +125,7 @@ def build(templates=TEMPLATES, coverage: float = LEAST_COVERAGE) -> Index:
         begins[k] = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         pairs[k] = np.array([p for x in lists for p in x], np.int64)
     sizes = [len(w) for _, w in kept]
-    return Index([w for _, w in kept], [n for n, _ in kept], np.array([least_hits(n, coverage, window_of(n)) for n in sizes], np.int64), np.array([n // 4 for n in sizes], np.int64), np.array(total, np.int64), told, [_runs(w) for _, w in kept], [least_hits(n, coverage, 1) for n in sizes], keys, begins, pairs, first)
+    return Index([w for _, w in kept], [n for n, _ in kept], *(np.array(x, np.int64) for x in ([least_hits(n, coverage, window_of(n)) for n in sizes], [least_hits(n, coverage, 1) for n in sizes], [n // 4 for n in sizes], total)), told, keys, begins, pairs, first)
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -167,14 +163,15 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return matched, first, last
 
 
-def _clusters(own: np.ndarray, diagonal: np.ndarray, place: np.ndarray, needed: np.ndarray, reach: np.ndarray, total: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(key, least, largest diagonal) where enough places of a template are hit within its reach, and (key, diagonal) where all are.
+def _clusters(own: np.ndarray, diagonal: np.ndarray, place: np.ndarray, chosen: np.ndarray, needed: np.ndarray, shared: np.ndarray, reach: np.ndarray, total: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(key, least, largest diagonal) where enough places of a template are hit within its reach, of those that winnowing chose
+    and of all, and (key, diagonal) where all are hit.
 
     Diagonals fall into blocks of reach + 1; what a notice hits lies in two neighbouring blocks, so their distinct places
     are counted. The band of an alignment goes a reach beyond them, so it covers the next pair too, which is left out.
     """
     order = np.lexsort((diagonal, own))
-    own, diagonal, place = own[order], diagonal[order], place[order]
+    own, diagonal, place, chosen = own[order], diagonal[order], place[order], chosen[order]
     shift = int(diagonal.min())
     span = int(diagonal.max()) - shift + 2
     line, size = np.unique(own * span + (diagonal - shift), return_counts=True)
@@ -182,11 +179,12 @@ def _clusters(own: np.ndarray, diagonal: np.ndarray, place: np.ndarray, needed:
     exact = list(zip((full // span).tolist(), (full % span + shift).tolist(), strict=True))
     block = (diagonal - shift) // (reach[own] + 1)
     most = int(place.max()) + 1
-    pair = np.concatenate([own * span + block, own * span + block - 1]) if block.min() else np.concatenate([own * span + block, (own * span + block - 1)[block > 0]])
-    both = np.concatenate([place, place if block.min() else place[block > 0]])
-    distinct = np.unique(pair * most + both) // most
-    pairs, hits = np.unique(distinct, return_counts=True)
-    good = pairs[hits >= needed[pairs // span]]
+    second = block > 0
+    pair = np.concatenate([own * span + block, (own * span + block - 1)[second]])
+    both, flag = np.concatenate([place, place[second]]), np.concatenate([chosen, chosen[second]])
+    distinct, at = np.unique(pair * most + both, return_index=True)
+    pairs, begins, hits = np.unique(distinct // most, return_index=True, return_counts=True)
+    good = pairs[(hits >= shared[pairs // span]) & (np.add.reduceat(flag[at].astype(np.int64), begins) >= needed[pairs // span])]
     out, last = [], -2
     line = own * span + block
     first, end = np.searchsorted(line, good), np.searchsorted(line, good + 2)
@@ -198,7 +196,7 @@ def _clusters(own: np.ndarray, diagonal: np.ndarray, place: np.ndarray, needed:
     return out, exact
 
 
-def _places(index: Index, t: int, own: np.ndarray, runs: np.ndarray, clusters: list[tuple[int, int]], tries: list[int], least_coverage: float):
+def _places(index: Index, t: int, own: np.ndarray, clusters: list[tuple[int, int]], tries: list[int], least_coverage: float):
     """(matched, first, last) of the places of template t in a document's words: whole ones at the diagonals tried, others
     around clusters of diagonals."""
     template, reach = index.words[t], int(index.reach[t])
@@ -217,7 +215,7 @@ def _places(index: Index, t: int, own: np.ndarray, runs: np.ndarray, clusters: l
         stretches = [(max(0, low - reach), min(len(own), high + reach + n))]
         while stretches:
             lo, hi = stretches.pop()
-            if hi - lo < least_coverage * n or n >= GRAM and np.isin(index.runs[t], runs[lo : hi - GRAM + 1]).sum() < index.shared[t]:
+            if hi - lo < least_coverage * n:
                 continue
             matched, first, last = align(template, own[lo:hi], low - reach - lo, high + reach - lo)
             first, last = first + lo, last + lo
@@ -245,7 +243,7 @@ def scan(texts: pa.Array, index: Index, least_coverage: float):
     for lo, _, data, off in text_steps(texts):
         words, doc, start = word_hashes(data, off, PLAIN)
         begins = np.searchsorted(doc, np.arange(len(off)))
-        owns, diagonals, places = [], [], []
+        owns, diagonals, places, chosen = [], [], [], []
         for k, keys in index.keys.items():
             runs, at = shingle_hashes(words, doc, k)
             maybe = np.flatnonzero(index.first[k][runs & low])
@@ -253,15 +251,16 @@ def scan(texts: pa.Array, index: Index, least_coverage: float):
             sure = keys[place] == runs[maybe]
             place, word = place[sure], at[maybe[sure]]
             size = index.begins[k][place + 1] - index.begins[k][place]
-            pair = index.pairs[k][np.repeat(index.begins[k][place], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].reshape(-1, 2)
+            pair = index.pairs[k][np.repeat(index.begins[k][place], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].reshape(-1, 3)
             word = np.repeat(word, size)
             owns.append(doc[word] * count + pair[:, 0])
             diagonals.append(word - begins[doc[word]] - pair[:, 1])
             places.append(pair[:, 1])
+            chosen.append(pair[:, 2])
         if not owns or not sum(map(len, owns)):
             continue
-        every = [np.tile(x, len(off)) for x in (index.needed, index.reach, index.total)]
-        clusters, exact = _clusters(np.concatenate(owns), np.concatenate(diagonals), np.concatenate(places), *every)
+        every = [np.tile(x, len(off)) for x in (index.needed, index.shared, index.reach, index.total)]
+        clusters, exact = _clusters(np.concatenate(owns), np.concatenate(diagonals), np.concatenate(places), np.concatenate(chosen), *every)
         by: dict[int, dict[int, tuple[list, list]]] = defaultdict(lambda: defaultdict(lambda: ([], [])))
         for key, a, b in clusters:
             by[key // count][key % count][0].append((a, b))
@@ -269,8 +268,7 @@ def scan(texts: pa.Array, index: Index, least_coverage: float):
             by[key // count][key % count][1].append(at)
         for row, templates in sorted(by.items()):
             own = words[begins[row] : begins[row + 1]]
-            runs = _runs(own)
-            found = [(t, *p) for t, some in templates.items() for p in _places(index, t, own, runs, *some, least_coverage)]
+            found = [(t, *p) for t, some in templates.items() for p in _places(index, t, own, *some, least_coverage)]
             if not found:
                 continue
             starts = np.cumsum((data[off[row] : off[row + 1]] & 0xC0) != 0x80)

@@ -120,10 +120,10 @@ def test_no_place_of_enough_coverage_is_missed():
                 continue
             runs, at = license_scan.shingle_hashes(text, np.zeros(len(text), np.int64), min(2, n))
             k = min(2, n)
-            hits = [(int(a) - p, p) for run, a in zip(runs.tolist(), at.tolist(), strict=True) for b, e in [_span(k, run)] for tt, p in INDEX.pairs[k][b:e].tolist() if tt == t]
+            hits = [(int(a) - p, p, c) for run, a in zip(runs.tolist(), at.tolist(), strict=True) for b, e in [_span(k, run)] for tt, p, c in INDEX.pairs[k][b:e].tolist() if tt == t]
             own = np.zeros(len(hits), np.int64)
-            clusters, exact = license_scan._clusters(own, *np.array(hits).T, INDEX.needed[t : t + 1], INDEX.reach[t : t + 1], INDEX.total[t : t + 1])
-            places = list(license_scan._places(INDEX, t, text, license_scan._runs(text), [(a, b) for _, a, b in clusters], [d for _, d in exact], 0.8))
+            clusters, exact = license_scan._clusters(own, *np.array(hits).T, INDEX.needed[t : t + 1], INDEX.shared[t : t + 1], INDEX.reach[t : t + 1], INDEX.total[t : t + 1])
+            places = list(license_scan._places(INDEX, t, text, [(a, b) for _, a, b in clusters], [d for _, d in exact], 0.8))
             assert max((m for m, _, _ in places), default=0) == matched, (INDEX.names[t], matched, n)
 
 
