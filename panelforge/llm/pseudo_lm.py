@@ -9,18 +9,22 @@ and a softmax over CLASSES. Classes are runs of ids of equal mass by falling fre
 factor is the id's smoothed share of its class, and the third is the word's share of its id's occurrences, so
 words that meet in an id keep their own counts; all come from counts over the whole corpus.
 
-Training is numpy on the executors: in each of EVERY rounds every partition masks one position in EVERY of
-all its documents, takes Adagrad steps from the common parameters, and the partitions' parameters are
-averaged by the number of positions seen. The rounds mask each position once, so every position of every document
-is a target. A document's score is the sum of its tokens' log-probabilities.
-
-How it scales: tokens are written once, two bytes each and eight more for a word beyond the HEAD most frequent;
-the network is 1.1 MB however large the corpus, and parameters are summed in streams, in constant memory. Word
+Training is numpy on the executors. Documents are dealt into about sqrt(tokens / TOKENS_A_SHARD) shards by a hash of their
+tokens (copies of one text go to different shards) and stand in the order of that hash, so what a shard learns does not
+depend on how the table is partitioned or ordered. In each of EVERY rounds a shard takes Adagrad steps from the common
+parameters on one in EVERY of its positions, and the shards' parameters are averaged by positions seen, in the order of
+shards. The rounds take each position once, so every position of every document is a target. A document's score is the sum
+of its tokens' log-probabilities.
+
+How it scales: tokens are written once, two bytes each and eight more for a word beyond the HEAD most frequent, and
+dealt once a round; the network is 1.1 MB however large the corpus, parameters of shards stream through two levels of sums
+in constant memory, and their number grows with the root of the corpus. A shard streams, so its size needs no memory. Word
 counts are a table that grows with the corpus: its HEAD is broadcast, all other words are joined, so no frequent
 word is a key of the join.
 
 Defined cases: null and empty texts and texts without words have 0 tokens, score 0 and a null mean; repeated
-rows are scored each; an empty corpus trains nothing and gives an empty result.
+rows are scored each; a very long text is tokenised, learnt and scored whole; ids of equal count are dealt into classes by
+their number; other columns are not read; an empty corpus trains nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,11 +40,11 @@ from .common import text_steps, word_hashes, written
 
 VOCABULARY_BITS, CLASSES, WIDTH, REACH = 14, 64, 16, 2
 VOCABULARY = 1 << VOCABULARY_BITS
-EVERY, STEP, RATE = 8, 1024, 0.1
+EVERY, STEP, RATE = 4, 1024, 0.1
+#: Of a corpus of one shard; larger ones have a root's share of it more shards and of longer ones.
+TOKENS_A_SHARD = 4000
 #: Most frequent words, whose shares are broadcast.
 HEAD = 1 << 16
-#: Streams in which parameters of partitions are added up.
-SUMMING = 8
 _PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 
@@ -188,8 +192,8 @@ class Network:
             total += self.embedding[context[:, j]] * self.places[j]
         return np.tanh(total)
 
-    def log_class(self, context: np.ndarray, dtype: type = np.float32) -> np.ndarray:
-        logits = self.hidden(context).astype(dtype) @ self.out.astype(dtype) + self.out_bias
+    def log_class(self, hidden: np.ndarray, dtype: type = np.float32) -> np.ndarray:
+        logits = hidden.astype(dtype) @ self.out.astype(dtype) + self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
@@ -198,45 +202,64 @@ class Network:
         for lo in range(0, len(ids), step):
             hi = lo + step
             # a product's last digits depend on a row's place in the block: doubles, rounded, give equal texts equal scores
-            found = np.take_along_axis(self.log_class(context[lo:hi], np.float64), wanted[lo:hi, None], axis=1)[:, 0]
+            found = np.take_along_axis(self.log_class(self.hidden(context[lo:hi]), np.float64), wanted[lo:hi, None], axis=1)[:, 0]
             out[lo:hi] += np.rint(found * (1 << 20)) / (1 << 20)
         return out
 
 
-def contexts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The ids around each token, VOCABULARY beyond the ends of its text."""
-    n = len(ids)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out = np.full((n, len(_PLACES)), VOCABULARY)
+def contexts(ids: np.ndarray, off: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The ids around each token (or those at the places given), VOCABULARY beyond the ends of its text."""
+    at = np.arange(len(ids)) if at is None else at
+    doc = np.searchsorted(off, at, "right") - 1
+    begin, end = off[doc], off[doc + 1]
+    out = np.full((len(at), len(_PLACES)), VOCABULARY)
     for j, d in enumerate(_PLACES):
-        a, b = max(0, -d), min(n, n - d)
-        if a < b:
-            out[a:b, j] = np.where(doc[a:b] == doc[a + d : b + d], ids[a + d : b + d], VOCABULARY)
+        inside = np.flatnonzero((at + d >= begin) & (at + d < end))
+        out[inside, j] = ids[at[inside] + d]
     return out
 
 
 class Trainer:
-    """Adagrad steps on one partition's masked positions."""
+    """Adagrad steps on one shard's positions, STEP by STEP however they arrive."""
 
     def __init__(self, net: Network):
         self.net, self.seen = net, 0
         self.sums = {n: np.full(getattr(net, n).shape, 1e-3, np.float32) for n in Network.NAMES}
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(self, context: np.ndarray, wanted: np.ndarray) -> None:
+        self.kept.append((context, wanted))
+        if sum(len(k[1]) for k in self.kept) >= STEP:
+            context, wanted = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+            full = len(wanted) // STEP * STEP
+            for lo in range(0, full, STEP):
+                self.step(context[lo : lo + STEP], wanted[lo : lo + STEP])
+            self.kept = [(context[full:], wanted[full:])]
+
+    def done(self) -> Network:
+        if sum(len(k[1]) for k in self.kept):
+            self.step(*(np.concatenate(x) for x in zip(*self.kept, strict=True)))
+        self.kept = []
+        return self.net
 
     def step(self, context: np.ndarray, wanted: np.ndarray) -> None:
         net, n = self.net, len(wanted)
         h = net.hidden(context)
-        p = np.exp(net.log_class(context))
+        p = np.exp(net.log_class(h))
         p[np.arange(n), wanted] -= 1
         p /= n
         back = (p @ net.out.T) * (1 - h * h)
         self._move("out", h.T @ p)
         self._move("out_bias", p.sum(axis=0))
         places = np.stack([(back * net.embedding[context[:, j]]).sum(axis=0) for j in range(len(_PLACES))])
-        used, at = np.unique(context.ravel(), return_inverse=True)
         each = (back[:, None, :] * net.places[None]).reshape(-1, WIDTH)
-        grad = np.stack([np.bincount(at, weights=each[:, f], minlength=len(used)) for f in range(WIDTH)], axis=1)
+        order = np.argsort(context.ravel(), kind="stable")
+        sorted_ = context.ravel()[order]
+        begins = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        used = sorted_[begins]
+        grad = np.add.reduceat(each[order], begins, axis=0)
         self.sums["embedding"][used] += grad**2
-        net.embedding[used] -= (RATE * grad / np.sqrt(self.sums["embedding"][used])).astype(np.float32)
+        net.embedding[used] -= RATE * grad / np.sqrt(self.sums["embedding"][used])
         self._move("places", places)
         self._move("bias", back.sum(axis=0))
         self.seen += n
@@ -246,50 +269,82 @@ class Trainer:
         getattr(self.net, name)[...] -= RATE * grad / np.sqrt(self.sums[name])
 
 
-def masked_at(ids: np.ndarray, off: np.ndarray, turn: int) -> np.ndarray:
-    """Positions that a round predicts: the EVERY rounds predict each position once."""
+def masked_at(ids: np.ndarray, off: np.ndarray, turn: int, every: int = EVERY) -> np.ndarray:
+    """Positions that a round predicts: that many rounds predict each position once."""
     at = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off))
-    return np.flatnonzero((at + ids * 5) % EVERY == turn)
+    return np.flatnonzero((at + ids * 5) % every == turn)
+
+
+def sharded(tokenised: DataFrame, shards: int) -> DataFrame:
+    """shard, ids: every document, copies of a text by number, each shard whole in one partition and in the order of hashes."""
+    copies = tokenised.where(F.length("ids") > 0).groupBy(F.xxhash64("ids").alias("a"), F.xxhash64(F.lit("second"), "ids").alias("b")).agg(F.first("ids").alias("ids"), F.count("*").alias("n"))
+    each = copies.select("a", "b", "ids", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+    dealt = each.select(F.pmod(F.xxhash64("a", "b", "copy"), F.lit(shards)).cast("int").alias("shard"), "a", "b", "copy", "ids")
+    return dealt.repartition(min(shards, max(200, tokenised.sparkSession.sparkContext.defaultParallelism)), "shard").sortWithinPartitions("shard", "a", "b", "copy").select("shard", "ids")
+
+
+def _runs(batches, key: int = 0):
+    """(key, batch) of stretches of rows with one key."""
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo < hi:
+                yield int(keys[lo]), batch.slice(lo, hi - lo)
 
 
 def trained(tokenised: DataFrame) -> Network:
     sc = tokenised.sparkSession.sparkContext
-    net = Network.fresh(frequencies(tokenised))
-    for turn in range(EVERY):
+    counts = frequencies(tokenised)
+    net = Network.fresh(counts)
+    if not counts.sum():
+        return net
+    shards = int(np.ceil(np.sqrt(counts.sum() / TOKENS_A_SHARD)))
+    streams, every = int(np.ceil(np.sqrt(shards))), EVERY
+    for turn in range(every):
         common = sc.broadcast(net)
 
         def learn(batches, common=common, turn=turn):
             from copy import deepcopy
 
-            trainer, kept = Trainer(deepcopy(common.value)), []
-            for batch in batches:
-                for _, ids, off in token_steps(batch.column(0)):
-                    masked = masked_at(ids, off, turn)
-                    kept.append((contexts(ids, off)[masked], trainer.net.class_of[ids[masked]]))
-                    if sum(len(k[1]) for k in kept) >= STEP:
-                        context, wanted = (np.concatenate(x) for x in zip(*kept, strict=True))
-                        full = len(wanted) // STEP * STEP
-                        for lo in range(0, full, STEP):
-                            trainer.step(context[lo : lo + STEP], wanted[lo : lo + STEP])
-                        kept = [(context[full:], wanted[full:])]
-            if kept and sum(len(k[1]) for k in kept):
-                trainer.step(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-            if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.seen]), pa.array([trainer.net.flat().astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
+            def out(shard, trainer):
+                flat = trainer.done().flat().astype(np.float32).tobytes()
+                return pa.RecordBatch.from_arrays([pa.array([shard % streams], pa.int32()), pa.array([shard], pa.int32()), pa.array([trainer.seen]), pa.array([flat], pa.binary())], names=["stream", "part", "n", "flat"])
+
+            now, trainer = None, None
+            for shard, batch in _runs(batches):
+                if shard != now:
+                    if trainer:
+                        yield out(now, trainer)
+                    now, trainer = shard, Trainer(deepcopy(common.value))
+                for _, ids, off in token_steps(batch.column(1)):
+                    at = masked_at(ids, off, turn, every)
+                    trainer.take(contexts(ids, off, at), trainer.net.class_of[ids[at]])
+            if trainer:
+                yield out(now, trainer)
 
         def add(batches):
-            total, n = None, 0
-            for batch in batches:
-                for seen, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    flat = np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64) * seen
-                    total, n = flat if total is None else total + flat, n + seen
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
-
-        parts = tokenised.select("ids").mapInArrow(learn, "n long, flat binary").repartition(SUMMING).mapInArrow(add, "n long, flat binary").collect()  # SUMMING rows
-        if parts:
-            total = sum(p.n for p in parts)
-            net.load(sum(np.frombuffer(p.flat, np.float32).astype(np.float64) * (p.n / total) for p in parts))
+            """One weighted mean for each stream, its parts in order."""
+            now, total, n = None, None, 0
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([now], pa.int32()), pa.array([n]), pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())], names=["stream", "part", "n", "flat"])
+
+            for stream, batch in _runs(batches):
+                if stream != now:
+                    if now is not None:
+                        yield out()
+                    now, total, n = stream, 0.0, 0
+                for seen, flat in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    total, n = total + np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64) * seen, n + seen
+            if now is not None:
+                yield out()
+
+        form = "stream int, part int, n long, flat binary"
+        learnt = sharded(tokenised, shards).mapInArrow(learn, form)
+        for width in (streams, 1):
+            learnt = learnt.repartition(width, "stream").sortWithinPartitions("stream", "part").mapInArrow(add, form)
+        net.load(np.frombuffer(learnt.collect()[0].flat, np.float32).astype(np.float64))  # one row
     return net
 
 

@@ -27,7 +27,7 @@ def test_steps_follow_the_gradient():
     rng = np.random.default_rng(8)
     net = pseudo_lm.Network.fresh(np.ones(pseudo_lm.VOCABULARY))
     context, wanted = rng.integers(0, 50, (256, 4)), rng.integers(0, pseudo_lm.CLASSES, 256)
-    loss = lambda: -np.take_along_axis(net.log_class(context), wanted[:, None], 1).mean()
+    loss = lambda: -np.take_along_axis(net.log_class(net.hidden(context)), wanted[:, None], 1).mean()
     before, trainer = loss(), pseudo_lm.Trainer(net)
     for _ in range(30):
         trainer.step(context, wanted)
@@ -60,13 +60,102 @@ def test_empty(spark):
     assert pseudo_lm.score(documents(spark, [])).count() == 0
 
 
+def table(spark, texts):
+    return spark.createDataFrame([(bytearray(np.array(x, np.uint16).tobytes()),) for x in texts], "ids binary")
+
+
 def test_every_position_is_a_target_once(spark, monkeypatch):
     ids, off, rounds, load = np.random.default_rng(3).integers(0, pseudo_lm.VOCABULARY, 200), np.array([0, 1, 4, 13, 200]), [], pseudo_lm.Network.load
     monkeypatch.setattr(pseudo_lm.Network, "load", lambda self, flat: rounds.append(len(rounds)) or load(self, flat))
-    pseudo_lm.trained(spark.createDataFrame([(bytearray(x.astype(np.uint16).tobytes()),) for x in np.split(ids, off[1:-1])], "ids binary"))
+    pseudo_lm.trained(table(spark, np.split(ids, off[1:-1])))
     assert sorted(i for turn in rounds for i in pseudo_lm.masked_at(ids, off, turn).tolist()) == list(range(200))
 
 
+def test_shards_hold_every_copy(spark):
+    texts = [[1, 2, 3]] * 50 + [[4], [5, 6]] + [[]] * 3
+    got = pseudo_lm.sharded(table(spark, texts), 7).collect()
+    assert sorted(np.frombuffer(r.ids, np.uint16).tolist() for r in got) == sorted(t for t in texts if t)
+    assert len({r.shard for r in got if len(r.ids) == 6}) > 3
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 80))), "s") for i in range(400)] + [(1000 + i, "one two three", "s") for i in range(60)]
+    scores = []
+    for n in (1, 7, 32):
+        rng.shuffle(rows)
+        scores.append({r.doc_id: r.log_likelihood for r in pseudo_lm.score(documents(spark, rows).repartition(n)).collect()})
+    for other in scores[1:]:
+        assert all(np.isclose(other[i], x, rtol=1e-9, atol=1e-9) for i, x in scores[0].items())
+
+
+def slow_step(net, sums, context, wanted):
+    """One Adagrad step by plain loops over positions, classes and features."""
+    n, grads = len(wanted), {name: np.zeros(getattr(net, name).shape) for name in net.NAMES}
+    for c, w in zip(context, wanted, strict=True):
+        total = net.bias.astype(float) + sum(net.embedding[i].astype(float) * net.places[j] for j, i in enumerate(c))
+        h = np.tanh(total)
+        e = np.exp(h @ net.out + net.out_bias)
+        d = e / e.sum()
+        d[w] -= 1
+        d /= n
+        grads["out"] += np.outer(h, d)
+        grads["out_bias"] += d
+        b = (net.out @ d) * (1 - h**2)
+        grads["bias"] += b
+        for j, i in enumerate(c):
+            grads["places"][j] += b * net.embedding[i]
+            grads["embedding"][i] += b * net.places[j]
+    # the outputs move before the embeddings and places do, all by gradients at the step's beginning
+    for name in net.NAMES:
+        sums[name] = sums[name] + grads[name] ** 2
+        getattr(net, name)[...] -= pseudo_lm.RATE * grads[name] / np.sqrt(sums[name])
+
+
+def test_a_round_against_plain_loops(spark, monkeypatch):
+    """Two shards, averaged by the positions they saw."""
+    from copy import deepcopy
+
+    monkeypatch.setattr(pseudo_lm, "EVERY", 1)
+    monkeypatch.setattr(pseudo_lm, "TOKENS_A_SHARD", 20)
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(0, 30, rng.integers(1, 12)).tolist() for _ in range(12)]
+    tokenised = table(spark, texts)
+    got = pseudo_lm.trained(tokenised)
+    flat = np.concatenate([np.array(t) for t in texts])
+    start = pseudo_lm.Network.fresh(np.bincount(flat, minlength=pseudo_lm.VOCABULARY))
+    shards = int(np.ceil(np.sqrt(len(flat) / 20)))
+    assert shards > 1
+    by = {}
+    for r in pseudo_lm.sharded(tokenised, shards).collect():
+        by.setdefault(r.shard, []).append(np.frombuffer(r.ids, np.uint16).astype(int))
+    total, seen = 0.0, 0
+    for docs in by.values():
+        net = deepcopy(start)
+        sums = {name: np.full(getattr(net, name).shape, 1e-3) for name in net.NAMES}
+        context, wanted = [], []
+        for ids in docs:
+            for i, x in enumerate(ids):
+                context.append([ids[i + d] if 0 <= i + d < len(ids) else pseudo_lm.VOCABULARY for d in (-2, -1, 1, 2)])
+                wanted.append(start.class_of[x])
+        slow_step(net, sums, np.array(context), np.array(wanted))
+        total, seen = total + net.flat() * len(wanted), seen + len(wanted)
+    assert np.allclose(got.flat(), total / seen, atol=2e-5)
+
+
+def test_classes_are_runs_of_equal_mass():
+    counts = np.random.default_rng(2).integers(0, 50, pseudo_lm.VOCABULARY)
+    counts[7] = 10**6
+    net = pseudo_lm.Network.fresh(counts)
+    order = sorted(range(pseudo_lm.VOCABULARY), key=lambda i: (-counts[i], i))
+    whole, before = sum(c + 0.5 for c in counts), 0.0
+    for i in order:
+        middle = before + (counts[i] + 0.5) / 2
+        assert net.class_of[i] in {min(int((middle + e) / whole * pseudo_lm.CLASSES), pseudo_lm.CLASSES - 1) for e in (-1e-3, 0, 1e-3)}
+        before += counts[i] + 0.5
+
+
 def test_words_of_one_id_keep_their_own_counts(spark):
     by = {}
     for i in range(100000):
