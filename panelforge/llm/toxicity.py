@@ -1,23 +1,24 @@
 """Toxicity: class-conditional Kneser-Ney models of byte sequences, compared per byte of text.
 
-Each class, toxic and ordinary, has an interpolated Kneser-Ney model of order four over bytes (A-Z as
-a-z, ASCII marks and digits as spaces, UTF-8 bytes as they are), so stems of rare and inflected
-expressions count, within words and across them. A class's own counts, less a discount, are
+Each class, toxic and ordinary, has interpolated Kneser-Ney models over bytes (A-Z as a-z, ASCII marks and digits as
+spaces, UTF-8 bytes as they are): one of order four that runs across words, and one of order seven within words, that starts
+anew at each word, so stems of rare and inflected expressions count. A class's own counts, less a discount, are
 interpolated with the shared Kneser-Ney model of both classes (same order, backed off through shared
 continuation counts), so what is rare in both classes scores alike.
 
 A text's difference of log-likelihoods is divided by its length; so is that of each of its windows
-of WINDOW bytes (half overlapping, over the whole text). A logistic function of the text's value and
-its two highest windows that do not overlap, fitted on labelled rows that the counts have not seen,
+of WINDOW bytes (half overlapping, over the whole text). A logistic function of both models' values for the text and
+their two highest windows that do not overlap, fitted on labelled rows that the counts have not seen,
 gives the score. Labels, lang, source and doc_id are no inputs.
 
 Labels are learnt from at most max_labelled rows, those of least MD5 of the id (a third of them
-toxic at most); counts of sequences are made on the executors and bounded by that sample. All texts
-are scored in one scan without a shuffle.
+toxic at most), one row of each doc_id (of several texts that of least hash); counts of sequences are made on the executors
+and bounded by that sample. All texts are scored in one scan without a shuffle.
 
-Defined cases: null and empty texts are scored by their constant inputs; labels of one doc_id are averaged
+Defined cases: null and empty texts are scored by their constant inputs; very long texts are scored whole, in steps of whole texts;
+of equal windows the first is the highest; labels of one doc_id are averaged
 and count as 1 from 0.5 on; null labels are ignored; with one class only, or none, the score is the
-smoothed share of toxic rows (0.5 if none); repeated rows are scored alike; an empty table
+smoothed share of toxic rows (0.5 if none); repeated rows are scored alike; other columns, of any name, are not read; an empty table
 gives an empty result.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import text_steps, written
 from .quality_fm import remainder
 
-ORDER, WINDOW, MAX_LABELLED = 4, 16, 6000
+ORDER, WORD_ORDER, WINDOW, MAX_LABELLED = 4, 7, 16, 6000
 #: What a class's own count loses to the shared model.
 DISCOUNT = 2
 _SLOT_BITS = 22
@@ -54,17 +55,32 @@ def sequences(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequences_in_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """At each byte of a word: it and the WORD_ORDER - 1 before it, as if the word stood alone; 0 at spaces."""
+    n = len(data)
+    folded, at = _FOLD[data].astype(np.uint64), np.arange(n)
+    space = folded == 32
+    begins = np.zeros(n, bool)
+    begins[off[:-1][off[:-1] < n]] = True
+    begins[1:] |= space[:-1]
+    start = np.maximum.accumulate(np.where(begins, at, 0))
+    out = np.zeros(n, np.uint64)
+    for back in range(WORD_ORDER - 1, -1, -1):
+        out = (out << np.uint64(8)) | np.where(at - back >= start, folded[np.maximum(at - back, 0)], np.uint64(32))
+    return np.where(space, np.uint64(0), out)
+
+
 @dataclass
-class Model:
+class Table:
+    """One order's difference of log probabilities, by sequence."""
+
     keys: np.ndarray  # sorted sequences seen in either class
-    ratio: np.ndarray  # their difference of log probabilities
+    ratio: np.ndarray
     contexts: np.ndarray
     unseen: np.ndarray  # the difference for a byte not seen after the context
-    constant: float | None = None
-    weights: np.ndarray | None = None
     slots: np.ndarray | None = field(default=None, repr=False)
 
-    def indexed(self) -> Model:
+    def indexed(self) -> Table:
         slot = self._slot(self.keys)
         self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
         self.slots[slot] = np.arange(len(self.keys), dtype=np.int32)
@@ -75,6 +91,8 @@ class Model:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
     def ratios(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(g))
         at = self.slots[self._slot(g)]
         out = self.ratio[at]
         other = np.flatnonzero(self.keys[at] != g)
@@ -87,34 +105,43 @@ class Model:
             out[other] = np.where(found, self.ratio[at], np.where(self.contexts[place] == context, self.unseen[place], 0.0))
         return out
 
+
+@dataclass
+class Model:
+    tables: tuple[Table, Table] | None = None  # across words, within words
+    constant: float | None = None
+    weights: np.ndarray | None = None
+
     def inputs(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: mean difference, means of the two highest windows, log of the number of windows."""
-        out = np.zeros((len(texts), 4))
+        """Of each text: for both tables the mean difference and the means of the two highest windows; log of the number of windows."""
+        out = np.zeros((len(texts), 7))
         half = WINDOW // 2
         for lo, hi, data, off in text_steps(texts):
             length = np.diff(off)
             some = np.flatnonzero(length)
             if not len(some):
                 continue
-            each = self.ratios(sequences(data, off)).astype(np.float64)
             length, begins = length[some], off[:-1][some]
             pieces = (length + half - 1) // half
             doc = np.repeat(np.arange(len(some)), pieces)
             first = np.cumsum(pieces) - pieces
             place = np.arange(len(doc)) - first[doc]
-            piece = np.add.reduceat(each, begins[doc] + place * half)
-            following = np.append(piece[1:], 0.0)
-            following[first[1:] - 1] = 0.0
-            window = piece + following
-            best = np.maximum.reduceat(window, first)
-            at = np.full(len(some), -9)
-            hit = np.flatnonzero(window == best[doc])[::-1]
-            at[doc[hit]] = place[hit]
-            second = np.maximum.reduceat(np.where(np.abs(place - at[doc]) <= 1, -np.inf, window), first)
-            out[lo + some, 0] = np.add.reduceat(each, begins) / length
-            out[lo + some, 1] = best / WINDOW
-            out[lo + some, 2] = np.where(np.isfinite(second), second, 0.0) / WINDOW
-            out[lo + some, 3] = np.log1p(pieces)
+            for kind, g in enumerate((sequences(data, off), sequences_in_words(data, off))):
+                each = self.tables[kind].ratios(g).astype(np.float64)
+                each[g == 0] = 0.0
+                piece = np.add.reduceat(each, begins[doc] + place * half)
+                following = np.append(piece[1:], 0.0)
+                following[first[1:] - 1] = 0.0
+                window = piece + following
+                best = np.maximum.reduceat(window, first)
+                at = np.full(len(some), -9)
+                hit = np.flatnonzero(window == best[doc])[::-1]
+                at[doc[hit]] = place[hit]
+                second = np.maximum.reduceat(np.where(np.abs(place - at[doc]) <= 1, -np.inf, window), first)
+                out[lo + some, 3 * kind] = np.add.reduceat(each, begins) / length
+                out[lo + some, 3 * kind + 1] = best / WINDOW
+                out[lo + some, 3 * kind + 2] = np.where(np.isfinite(second), second, 0.0) / WINDOW
+            out[lo + some, 6] = np.log1p(pieces)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -124,8 +151,10 @@ class Model:
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
-    mean, window, second, size = x[:, 0] * 50, x[:, 1] * 10, x[:, 2] * 10, x[:, 3]
-    return np.stack([np.ones(len(x)), mean, window, size, window * size, second, second * size], axis=1)
+    size, columns = x[:, 6], [np.ones(len(x)), x[:, 6]]
+    for mean, window, second in (x[:, 0:3].T, x[:, 3:6].T):
+        columns += [mean * 50, window * 10, window * 10 * size, second * 10, second * 10 * size]
+    return np.stack(columns, axis=1)
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -143,19 +172,21 @@ def _interpolated(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tu
     return np.maximum(counts - d, 0) / np.maximum(total, 1)[place] + back[place] * lower, contexts, back
 
 
-def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """keys: sorted distinct sequences; toxic, ordinary: their counts."""
+def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, top: int = ORDER) -> Table:
+    """keys: sorted distinct sequences of `top` bytes; toxic, ordinary: their counts."""
+    if not len(keys):
+        return Table(*[np.zeros(0, np.uint64), np.zeros(0)] * 2)
     levels = [keys]
-    for order in range(ORDER - 1, 0, -1):
+    for order in range(top - 1, 0, -1):
         levels.append(np.unique(levels[-1] & np.uint64((1 << 8 * order) - 1)))
     p = np.full(len(levels[-1]), 1 / 256)
-    for order in range(1, ORDER):
-        above, own = levels[ORDER - 1 - order], levels[ORDER - order]
+    for order in range(1, top):
+        above, own = levels[top - 1 - order], levels[top - order]
         continued = np.bincount(np.searchsorted(own, above & np.uint64((1 << 8 * order) - 1)), minlength=len(own)).astype(float)
         if order > 1:
-            p = p[np.searchsorted(levels[ORDER - order + 1], own & np.uint64((1 << 8 * (order - 1)) - 1))]
+            p = p[np.searchsorted(levels[top - order + 1], own & np.uint64((1 << 8 * (order - 1)) - 1))]
         p = _interpolated(own, continued, p)[0]
-    shared = p[np.searchsorted(levels[1], keys & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
+    shared = p[np.searchsorted(levels[1], keys & np.uint64((1 << 8 * (top - 1)) - 1))]
     both, contexts, _ = _interpolated(keys, toxic + ordinary, shared)
     place = np.searchsorted(contexts, keys >> np.uint64(8))
 
@@ -166,7 +197,7 @@ def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Mod
         return (counts - less) / np.maximum(total, 1)[place] + back[place] * both, back
 
     (p_toxic, back_toxic), (p_ordinary, back_ordinary) = of_class(toxic), of_class(ordinary)
-    return Model(keys, np.log(p_toxic / p_ordinary), contexts, np.log(np.maximum(back_toxic, 1e-6) / np.maximum(back_ordinary, 1e-6)))
+    return Table(keys, np.log(p_toxic / p_ordinary), contexts, np.log(np.maximum(back_toxic, 1e-6) / np.maximum(back_ordinary, 1e-6)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -184,35 +215,42 @@ def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     draw = F.md5(F.col("doc_id").cast("string"))
     ids = one.where("label = 1").orderBy(draw, "doc_id").limit(max_labelled // 3).union(one.where("label = 0").orderBy(draw, "doc_id").limit(max_labelled - max_labelled // 3))
     fifth = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % 4 == 0
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("label", fifth.alias("tuning"), "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    # one row an id, however often the id stands in the table: the sample is bounded in rows, too
+    one_each = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = written(one_each.select("label", fifth.alias("tuning"), "text"))
 
     def count(batches):
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in text_steps(batch.column(1)):
-                found = sequences(data, off)
                 of = np.repeat(label[lo:hi], np.diff(off))
-                for kind in (0, 1):
-                    keys, counts = np.unique(found[of == kind], return_counts=True)
+                for found, kind in ((f, kind) for f in (sequences(data, off), sequences_in_words(data, off)) for kind in (0, 1)):
+                    keys, counts = np.unique(found[(of == kind) & (found > 0)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.where(kind == 1, counts, 0)), pa.array(np.where(kind == 0, counts, 0))], names=["key", "toxic", "ordinary"])
 
     shares = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         n, ones = sum(shares.values()), shares.get(1, 0)
-        return Model(*[np.zeros(0)] * 4, constant=(ones + 0.5) / (n + 1))
+        return Model(constant=(ones + 0.5) / (n + 1))
     counts = sample.where("not tuning").select("label", "text").mapInArrow(count, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("key")
-    model = kneser_ney(counts["key"].to_numpy().astype(np.uint64), counts["toxic"].to_numpy().astype(float), counts["ordinary"].to_numpy().astype(float)) if len(counts) else Model(*[np.zeros(1, np.uint64), np.zeros(1)] * 2)
-    model.ratio = model.ratio.astype(np.float32)
-    shipped = docs.sparkSession.sparkContext.broadcast(model.indexed())
+    keys, toxic, ordinary = counts["key"].to_numpy().astype(np.uint64), counts["toxic"].to_numpy().astype(float), counts["ordinary"].to_numpy().astype(float)
+    # sequences of seven bytes are the larger numbers
+    cut = int(np.searchsorted(keys, np.uint64(1 << 8 * ORDER)))
+    tables = tuple(kneser_ney(keys[part], toxic[part], ordinary[part], top) for part, top in ((slice(0, cut), ORDER), (slice(cut, None), WORD_ORDER)))
+    for table in tables:
+        table.ratio = table.ratio.astype(np.float32)
+    model = Model(tuple(t.indexed() for t in tables))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
             x = shipped.value.inputs(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, i]) for i in range(4)]], names=["label", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, i]) for i in range(7)]], names=["label", *"abcdefg"])
 
-    tuning = np.array(sample.where("tuning").select("label", "text").mapInArrow(measure, "label int, a double, b double, c double, d double").collect())
+    tuning = np.array(sample.where("tuning").select("label", "text").mapInArrow(measure, "label int, a double, b double, c double, d double, e double, f double, g double").collect())
     if not len(tuning) or len(set(tuning[:, 0])) < 2:
-        model.weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+        model.weights = np.eye(12)[2] + np.eye(12)[7]
     else:
         model.weights = logistic(_terms(tuning[:, 1:]), tuning[:, 0])
     return model
