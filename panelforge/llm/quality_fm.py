@@ -8,13 +8,15 @@ of its layout, and n_chars. The score is the logistic of
 so that all pairwise interactions cost time linear in the features. Labels, lang, source and
 doc_id are never features.
 
-The model is fitted on the driver to at most max_labelled labelled rows, those of least MD5 of the id
-(a bounded sample; about 10 kB each); every text is scored on the executors in one scan, without a shuffle.
+The model is fitted on the driver to at most max_labelled labelled rows, those of least MD5 of the id, one row of
+each id (of several the one whose text has the least hash; a bounded sample of about 10 kB a row); every text is scored on the
+executors in one scan, without a shuffle.
 
 Defined cases: null and empty texts are scored by their constant features; a null n_chars is taken from the
 text; labels of one doc_id are averaged and count as 1 from 0.5 on, null labels are ignored; with no
 usable label every score is 0.5, with one class only it is that class's smoothed share; repeated rows
-are scored alike; an empty table gives an empty result.
+are scored alike; very long texts are measured whole; other columns, of any name, are kept by the stage and not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -186,7 +188,10 @@ def with_n_chars(docs: DataFrame):
 def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, column: str = "quality", usable=None) -> Machine:
     usable = remainder(3) != 1 if usable is None else usable
     ids = sampled_labels(labels, column, usable, max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_n_chars(docs).alias("n_chars")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "n_chars")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_n_chars(docs).alias("n_chars")).join(F.broadcast(ids), "doc_id")
+    # one row an id, however often the id stands in the table: what comes to the driver is bounded in rows, too
+    whole = F.struct(F.xxhash64("text"), "text", "n_chars")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(whole).alias("least")).select("doc_id", "label", "least.text", "least.n_chars")
 
     def run(batches):
         for batch in batches:
@@ -196,7 +201,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
                 found += [(index[a:b].astype(np.int16).tobytes(), value[a:b].astype(np.float16).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "label", "at", "value"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, at binary, value binary").collect()  # max_labelled ids
+    got = rows.mapInArrow(run, "doc_id long, label int, at binary, value binary").collect()  # max_labelled rows
     got = sorted(got, key=lambda r: (r.doc_id, bytes(r.at)))
     return fit([(np.frombuffer(r.at, np.int16).astype(np.int64), np.frombuffer(r.value, np.float16).astype(np.float32), r.label) for r in got])
 

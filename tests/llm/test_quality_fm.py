@@ -48,3 +48,79 @@ def test_odd_rows_and_labels(spark):
         assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert quality_fm.stage(docs, labelled(spark, [])).columns == docs.columns
     assert quality_fm.score(documents(spark, []), labelled(spark, [])).count() == 0
+
+
+def slow_fit(rows, seed=7):
+    """The same draws and steps, feature by feature."""
+    rng, n = np.random.default_rng(seed), len(rows)
+    label = [r[2] for r in rows]
+    share = sum(label) / n
+    bias, w, v = float(np.log(share / (1 - share))), {}, rng.normal(0, 0.05, (quality_fm.FEATURES, quality_fm.RANK))
+    seen_w, seen_v, seen_b = {}, np.full(v.shape, 1e-4), 1e-4
+    for _ in range(quality_fm.EPOCHS):
+        order = rng.permutation(n)
+        for at in range(0, n, 64):
+            some, g_w, g_v, g_b = order[at : at + 64], {}, {}, 0.0
+            for i in some:
+                index, value, y = rows[i]
+                x = dict(zip(index.tolist(), value.astype(float).tolist(), strict=True))
+                sums = sum(v[j] * a for j, a in x.items())
+                raw = bias + sum(w.get(j, 0.0) * a for j, a in x.items()) + 0.5 * (sums @ sums - sum((v[j] * a) @ (v[j] * a) for j, a in x.items()))
+                slope = (1 / (1 + np.exp(-raw)) - y) / len(some)
+                g_b += slope
+                for j, a in x.items():
+                    g_w[j] = g_w.get(j, 0.0) + slope * a
+                    g_v[j] = g_v.get(j, 0.0) + slope * a * (sums - v[j] * a)
+            for j in g_w:
+                a, b = g_w[j] + quality_fm.PENALTY * w.get(j, 0.0), g_v[j] + quality_fm.PENALTY * v[j]
+                seen_w[j] = seen_w.get(j, 1e-4) + a**2
+                seen_v[j] += b**2
+                w[j] = w.get(j, 0.0) - quality_fm.RATE * a / np.sqrt(seen_w[j])
+                v[j] = v[j] - quality_fm.RATE * b / np.sqrt(seen_v[j])
+            seen_b += g_b**2
+            bias -= quality_fm.RATE * g_b / np.sqrt(seen_b)
+    return bias, w, v
+
+
+def test_fit_against_plain_loops():
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(90):
+        index = np.sort(rng.choice(200, rng.integers(1, 9), replace=False))
+        rows.append((index, rng.normal(size=len(index)).astype(np.float32), int(rng.random() < 0.4)))
+    got = quality_fm.fit(rows)
+    bias, w, v = slow_fit(rows)
+    assert np.isclose(got.bias, bias, atol=1e-6)
+    assert np.allclose(got.w, [w.get(j, 0.0) for j in range(quality_fm.FEATURES)], atol=1e-5) and np.allclose(got.v, v, atol=1e-5)
+
+
+def test_statistics_against_plain_counts():
+    texts = ["One two, TWO; three! three\n4 5 é", "", "   ", "x" * 50, "a-b #c\n\n?!"]
+    for text in texts:
+        (_, _, _, index, value), *_ = quality_fm.features(pa.array([text]), pa.nulls(1, pa.float64()))
+        got = dict(zip(index.tolist(), value.tolist(), strict=True))
+        raw, words = text.encode(), text.lower().split()
+        n, m = max(len(raw), 1), max(len(words), 1)
+        count = lambda f: sum(1 for b in raw if f(b))
+        upper, lower, wide = count(lambda b: 65 <= b <= 90), count(lambda b: 97 <= b <= 122), count(lambda b: b >= 128)
+        letters, symbol = max(upper + lower + wide, 1), count(lambda b: 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:?!")
+        want = [1, np.log1p(len(raw)) / 10, np.log1p(len(raw)) / 10, np.log1p(len(words)) / 10, len(set(words)) / m, min(letters / m / 10, 2), upper / letters, count(lambda b: 48 <= b <= 57) / n * 4]
+        want += [count(lambda b: chr(b) in ".,;:?") / m * 2, min(text.count("!") / m, 2), min(symbol / m, 2), min(symbol / n * 4, 2), wide / n, min(text.count("\n") / m * 10, 2), float(not words), float(len(words) < 30)]
+        assert np.allclose([got[quality_fm.BUCKETS + i] for i in range(16)], want, atol=1e-6), text
+
+
+def test_a_labelled_id_on_many_rows_is_one_row_of_the_sample(spark):
+    docs = documents(spark, [(1, f"some text {i}", "a") for i in range(300)] + [(2, "bad words", "a"), (3, "other words", "a")])
+    labels = labelled(spark, [(1, 1, 0), (2, 0, 1), (3, 1, 0)])
+    one = documents(spark, [(2, "bad words", "a"), (3, "other words", "a"), (1, min((f"some text {i}" for i in range(300)), key=lambda t: _hash(spark, t)), "a")])
+    a, b = quality_fm.trained(docs, labels, usable=labels["doc_id"] > 0), quality_fm.trained(one, labels, usable=labels["doc_id"] > 0)
+    assert np.allclose(a.w, b.w) and a.bias == b.bias
+
+
+_hashes = {}
+
+
+def _hash(spark, text):
+    if not _hashes:
+        _hashes.update({r.t: r.h for r in spark.range(300).selectExpr("concat('some text ', id) as t", "xxhash64(concat('some text ', id)) as h").collect()})
+    return _hashes[text]
