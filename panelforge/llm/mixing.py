@@ -9,12 +9,13 @@ With a weight column, expected copies within a source are in proportion to it (h
 so inclusion probabilities differ within a source as well as between sources.
 
 How it scales: one scan counts words and writes (doc_id, source, size). The rank keys fall into
-about sqrt(n) buckets a source; sums by bucket find the bucket where the sample ends, and only that
+about sqrt(n) buckets a source (by u, so evenly, where a source has one p; with a weight column by the key); sums by bucket find the bucket where the sample ends, and only that
 bucket's rows are ordered. A source that holds a third of all rows is summed by parts like any other.
 
 Defined cases: null and empty texts have size 0, are never sampled and get taken 0; null sources
 are one source, the last; sources without words have target 0; rows with the same id and size are taken
-one by one; an empty table gives an empty result.
+one by one, rows alike in key, id and size in the order in which the table gives them; a very long text is one size like any other; columns
+of the caller, whatever their names, are not read but for the weight; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _looked_up(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, weight: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs, and copies (how often it is taken)."""
-    return _copies(_sized(docs, weight), weights, max_repeats).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return _copies(_sized(docs, weight), weights, max_repeats, weight is not None).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
@@ -76,7 +77,7 @@ def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
     return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), by.alias("weight"), F.monotonically_increasing_id().alias("rid")))
 
 
-def _copies(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+def _copies(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, weighted: bool) -> DataFrame:
     of_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.sum(F.col("size") * F.col("weight")).alias("weighted"))
     targets = written(with_targets(of_source, weights, max_repeats))
     small = targets.count() <= MAX_BROADCAST_SOURCES
@@ -88,7 +89,9 @@ def _copies(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Dat
         .withColumn("p", F.col("expected") - F.col("whole"))
         .withColumn("u", uniform(F.col("doc_id")))
         .withColumn("key", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * F.ceil(F.sqrt("n"))))
+        # of one inclusion probability the keys stand in the order of u, which is even; else key / (1 + key) orders them
+        .withColumn("spread", F.when(F.col("p") > 0, F.col("key") / (1 + F.col("key")) if weighted else F.col("u")))
+        .withColumn("bucket", F.floor(F.col("spread") * F.ceil(F.sqrt("n"))))
     )
     sums = ranked.groupBy("source", "bucket").agg(F.sum(F.when(F.col("p") > 0, F.col("size"))).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
