@@ -5,8 +5,15 @@ universe that level 0 wrongly admits; level 2 the listed keys that level 1 wrong
 until a level admits no wrong key. A key's answer is the parity of the first level that rejects it.
 Since every key that is asked is in the universe, no join is needed to look keys up.
 
-Everything is built and asked with DataFrame functions. Null urls and urls without `://` have an
-empty host and path, fit no rule, and are allowed unless the empty key is listed.
+The list is a table of hosts; one join with the distinct hosts of the corpus marks the members when the cascade
+is built, and none is needed when pages are judged.
+
+Everything is built and asked with DataFrame functions.
+
+Defined cases: null urls and urls without `://` have an empty host and path, fit no rule, and are allowed unless the empty
+key is listed; of rules that fit the longest (host and path together) wins, of equally long ones the last of the list; null and
+repeated keys of the list count for nothing more; very long urls are parsed whole; repeated rows give repeated rows; other
+columns, of any name, are not read; an empty table gives an empty result, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -115,22 +122,26 @@ def cascade(universe: DataFrame, listed: Column, bits_per_key: float = 10.0, has
         inside, outside = wrong, inside
 
 
-def mobile_mirror(key: Column) -> Column:
-    """The list of the registered query: mirrors of sites for phones, hosts that begin with `m.`."""
-    return key.startswith("m.")
+def mobile_mirrors(pages: DataFrame) -> DataFrame:
+    """The list of the registered query, a table of hosts: mirrors of sites for phones, whose names begin with `m.`."""
+    return pages.select(host(F.col("url")).alias("host")).where(F.col("host").startswith("m.")).distinct()
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, listed=mobile_mirror, **options) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, listed: DataFrame | None = None, **options) -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict, listed (is the host on the list).
 
-    One row per row of pages; repeated rows give repeated rows, an empty table an empty one.
+    listed: a table whose first column is a host a row.
     """
     parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    universe = parsed.select(F.col("host").alias("key")).distinct()
-    found = cascade(universe, listed(F.col("key")), **options)
+    hosts = parsed.select(F.col("host").alias("key")).distinct()
+    if listed is None:
+        universe = hosts.withColumn("listed", F.lit(False))
+    else:
+        members = listed.select(F.col(f"`{listed.columns[0]}`").cast("string").alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
+        universe = hosts.join(members, "key", "left")
+    found = cascade(universe, F.col("listed"), **options)
     if found is None:
-        members = universe.where(listed(F.col("key"))).select(F.col("key").alias("host"), F.lit(True).alias("listed"))
-        parsed = parsed.join(members, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        parsed = parsed.join(universe.where("listed").select(F.col("key").alias("host"), "listed"), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     else:
         parsed = parsed.withColumn("listed", found.contains(F.col("host")))
     by_rule = rule(rules, F.col("host"), F.col("path"), lambda r: r[2])

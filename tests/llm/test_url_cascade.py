@@ -11,9 +11,27 @@ def table(spark, urls):
     return spark.createDataFrame([(i, u, "", "h", "p", "r", "k") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, path string, rule string, key string")
 
 
+def judged(df, **options):
+    return url_cascade.judge(df, listed=url_cascade.mobile_mirrors(df), **options)
+
+
 def test_matches_sql(spark):
     df = table(spark, URLS + URLS + [f"http://m.h{i % 300}.org/" for i in range(900)] + [f"http://h{i}.org/p" for i in range(900)])
-    same(url_cascade.judge(df), duck(url_cascade.SQL, pages=df))
+    same(judged(df), duck(url_cascade.SQL, pages=df))
+
+
+def test_a_list_as_a_table(spark):
+    df = table(spark, URLS + [f"http://h{i}.org/p" for i in range(500)] + ["http://h7.org/x"] * 3)
+    keys = [(f"h{i}.org", 1) for i in range(0, 500, 7)] + [("h7.org", 2), (None, 3), ("not.there", 4), ("m.site.org", 5)]
+    got = url_cascade.judge(df, listed=spark.createDataFrame(keys, "domain string, rank int")).collect()
+    names = {k for k, _ in keys if k}
+    assert len(got) == df.count() and all(r.listed == (r.host in names) for r in got)
+    assert all(r.verdict == ("block" if r.listed else "allow") for r in got if r.rule is None)
+
+
+def test_of_equally_long_rules_the_last_wins(spark):
+    rules = (("a.org", "/x", "allow"), ("org", "/x/y", "block"), ("a.org", "/x", "block"))
+    assert [(r.rule, r.verdict) for r in url_cascade.judge(table(spark, ["http://a.org/x/y"]), rules).collect()] == [("a.org/x", "block")]
 
 
 def test_cascade_is_exact_even_with_few_bits(spark):
@@ -26,9 +44,10 @@ def test_cascade_is_exact_even_with_few_bits(spark):
 
 def test_joins_where_filters_would_be_too_large(spark):
     df = table(spark, URLS + [f"http://m.h{i % 30}.org/" for i in range(90)])
-    assert sorted(map(str, url_cascade.judge(df, max_bits=8).collect())) == sorted(map(str, url_cascade.judge(df).collect()))
+    assert sorted(map(str, judged(df, max_bits=8).collect())) == sorted(map(str, judged(df).collect()))
 
 
 def test_no_listed_key_and_empty(spark):
-    assert url_cascade.judge(table(spark, ["http://a.org/"]), listed=lambda k: F.lit(False)).first().verdict == "allow"
-    assert url_cascade.judge(table(spark, [])).count() == 0
+    assert judged(table(spark, ["http://a.org/"])).first().verdict == "allow"
+    assert url_cascade.judge(table(spark, ['http://m.a.org/'])).first().verdict == 'allow'
+    assert judged(table(spark, [])).count() == 0
