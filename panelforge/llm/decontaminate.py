@@ -11,11 +11,15 @@ with a chance below 1e-9. Candidates are verified on the words themselves.
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z, so layout, case and
 punctuation do not hide an item. Items of fewer than five words are one shingle of their own length.
 
-How it scales: documents are scanned once and are not shuffled; items come as batches of a bounded
-number of words, one scan for each batch (one for all usual benchmarks).
+How it scales: items are counted first. A benchmark of up to BROADCAST_WORDS words (all usual ones) is sent to every task, and
+documents are scanned once and not shuffled. A larger one stays a table: signatures are made on the executors, the
+documents' shingles that pass a filter of fixed size meet them in a join by shingle, and candidates meet both texts. Both ways give
+the same rows.
 
 Defined cases: null and empty texts hold no item, and items without words are in no document; rows with null ids are
-compared like others; repeated rows are reported each; a repeated item_id is one report for each of its rows.
+compared like others; repeated rows are reported each; a repeated item_id is one report for each of its rows; of equal least hashes
+the first shingle signs; very long texts are searched whole; other columns, of any name, are kept by the stage and not read; an empty
+table gives an empty result, an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, mix, shingle_hashes, text_steps, word_hashes
+from .common import PLAIN, mix, shingle_hashes, text_steps, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Words of items that one scan holds in each task.
-BATCH_WORDS = 1_000_000
+#: Words of items that every task may hold; larger benchmarks are joined.
+BROADCAST_WORDS = 1_000_000
 #: Hash functions for items of up to 2 ** key shingles; larger ones take the last.
 FUNCTIONS = {4: 24, 6: 32, 8: 48}
 _PREFILTER_BITS = 20
+_FILTER_BITS = 22
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -72,6 +76,19 @@ class Index:
     first: dict[int, np.ndarray]  # prefilter on the low bits of a key
 
 
+def signature(words: list[bytes]) -> tuple[int, int, list[tuple[int, int]]]:
+    """Shingle length, number of hash functions, and (shingle, functions that chose it) of an item with words."""
+    k = min(SHINGLE, len(words))
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    hashes, doc, _ = word_hashes(joined, np.array([0, len(joined)]), PLAIN)
+    distinct = np.unique(shingle_hashes(hashes, doc, k)[0])
+    functions = next((f for bits, f in FUNCTIONS.items() if len(distinct) <= 1 << bits), max(FUNCTIONS.values()))
+    seeds = mix(np.arange(1, functions + 1, dtype=np.uint64))
+    chosen = distinct[np.argmin(mix(distinct[None, :] ^ seeds[:, None]), axis=1)]
+    keys, counts = np.unique(chosen, return_counts=True)
+    return k, functions, list(zip(keys.tolist(), counts.tolist(), strict=True))
+
+
 def build(rows: list[tuple[int | None, str | None]], threshold: float) -> Index:
     items, needed = [], []
     owners: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -79,15 +96,9 @@ def build(rows: list[tuple[int | None, str | None]], threshold: float) -> Index:
         words = words_of(text)
         if not words:
             continue
-        k = min(SHINGLE, len(words))
-        joined = np.frombuffer(b" ".join(words), np.uint8)
-        hashes, doc, _ = word_hashes(joined, np.array([0, len(joined)]), PLAIN)
-        distinct = np.unique(shingle_hashes(hashes, doc, k)[0])
-        functions = next((f for bits, f in FUNCTIONS.items() if len(distinct) <= 1 << bits), max(FUNCTIONS.values()))
-        seeds = mix(np.arange(1, functions + 1, dtype=np.uint64))
-        chosen = distinct[np.argmin(mix(distinct[None, :] ^ seeds[:, None]), axis=1)]
-        for key, count in zip(*np.unique(chosen, return_counts=True), strict=True):
-            owners[k][int(key)].append((len(items), int(count)))
+        k, functions, chosen = signature(words)
+        for key, count in chosen:
+            owners[k][key].append((len(items), count))
         items.append((item_id, k, shingles_of(words, k)))
         needed.append(least_hits(functions, threshold))
     keys = {k: np.array(sorted(by), np.uint64) for k, by in owners.items()}
@@ -127,55 +138,111 @@ def search(texts: pa.Array, index: Index, threshold: float):
                 yield lo + row, item, shared
 
 
-def batches_of(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, in batches of about BATCH_WORDS words; an empty table is one empty batch."""
-    batch, words = [], 0
-    for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        batch.append((r.item_id, r.text))
-        words += len(r.text or "") // 4
-        if words > BATCH_WORDS:
-            yield batch
-            batch, words = [], 0
-    if batch or not words:
-        yield batch
+_FOUND = "doc_id long, item_id long, shared long, shingles long, containment double"
+_NAMES = [c.split(" ")[0] for c in _FOUND.split(", ")]
+
+
+def small_index(docs: DataFrame, items: DataFrame, threshold: float):
+    """The broadcast index of items, or None if they have more than BROADCAST_WORDS words."""
+    n = items.agg(F.sum(F.length("text") + 1), F.count("*")).first()
+    if (n[0] or 0) // 2 > BROADCAST_WORDS or n[1] > BROADCAST_WORDS:  # a word and what parts it are two characters or more
+        return None
+    rows = [(r.item_id, r.text) for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()]  # bounded by the count
+    return docs.sparkSession.sparkContext.broadcast(build(rows, threshold))
+
+
+def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """rid and the found pair of docs (rid, doc_id, text): signatures as a table, met by the documents' shingles."""
+    items = written(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text"))
+
+    def sign(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if words := words_of(text):
+                    k, functions, chosen = signature(words)
+                    out += [(item, k, least_hits(functions, threshold), key, count) for key, count in chosen]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(np.array(columns[3], np.uint64).view(np.int64)), pa.array(columns[4], pa.int32())], names=["item", "k", "needed", "key", "n"])
+
+    signed = written(items.select("item", "text").mapInArrow(sign, "item long, k int, needed int, key long, n int"))
+    lengths = sorted(r.k for r in signed.select("k").distinct().collect())  # SHINGLE rows at most
+    low = (1 << _FILTER_BITS) - 1
+    bits = np.zeros(1 << _FILTER_BITS, bool)
+    bits[signed.select(F.col("key").bitwiseAND(F.lit(low)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # a filter of fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def shingled(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, _, data, off in text_steps(batch.column(1)):
+                words, doc, _ = word_hashes(data, off, PLAIN)
+                for k in lengths:
+                    shingles, at = shingle_hashes(words, doc, k)
+                    maybe = np.flatnonzero(shipped.value[(shingles & np.uint64(low)).astype(np.int64)])
+                    row, key = doc[at[maybe]], shingles[maybe]
+                    order = np.lexsort((key, row))
+                    row, key = row[order], key[order]
+                    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row[new]]), pa.array(np.full(int(new.sum()), k, np.int32)), pa.array(key[new].view(np.int64))], names=["rid", "k", "key"])
+
+    hits = docs.select("rid", "text").mapInArrow(shingled, "rid long, k int, key long").join(signed, ["k", "key"]).groupBy("rid", "item").agg(F.sum("n").alias("n"), F.first("needed").alias("needed"))
+    pairs = hits.where("n >= needed").select("rid", "item").join(docs, "rid").join(items.select("item", "item_id", F.col("text").alias("wanted")), "item")
+
+    def verify(batches):
+        for batch in batches:
+            rid, doc_id, text, item_id, wanted = (batch.column(i).to_pylist() for i in range(5))
+            out = []
+            for i in range(len(batch)):
+                words = words_of(wanted[i])
+                k = min(SHINGLE, len(words))
+                own = shingles_of(words, k)
+                shared = len(own & shingles_of(words_of(text[i]), k))
+                if shared >= threshold * len(own):
+                    out.append((rid[i], doc_id[i], item_id[i], shared, len(own), shared / len(own)))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(columns)], names=["rid", *_NAMES])
+
+    return pairs.select("rid", "doc_id", "text", "item_id", "wanted").mapInArrow(verify, f"rid long, {_FOUND}")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, shared, shingles, containment of every pair at the threshold or above."""
-    out = None
-    for rows in batches_of(items):
-        index = docs.sparkSession.sparkContext.broadcast(build(rows, threshold))
-
-        def run(batches, index=index):
-            for batch in batches:
-                found = list(search(batch.column(1), index.value, threshold))
-                ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                of = [index.value.items[f[1]] for f in found]
-                total = [len(i[2]) for i in of]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([i[0] for i in of], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(total, pa.int64()), pa.array([f[2] / t for f, t in zip(found, total, strict=True)], pa.float64())],
-                    names=["doc_id", "item_id", "shared", "shingles", "containment"],
-                )
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, shared long, shingles long, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    index = small_index(docs, items, threshold)
+    if index is None:
+        keyed = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return joined(keyed, items, threshold).drop("rid")
+
+    def run(batches):
+        for batch in batches:
+            found = list(search(batch.column(1), index.value, threshold))
+            ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+            of = [index.value.items[f[1]] for f in found]
+            total = [len(i[2]) for i in of]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([i[0] for i in of], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(total, pa.int64()), pa.array([f[2] / t for f, t in zip(found, total, strict=True)], pa.float64())],
+                names=_NAMES,
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FOUND)
 
 
 def stage(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold an item, with all their columns."""
+    index = small_index(docs, items, threshold)
+    if index is None:
+        keyed = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid")))
+        found = joined(keyed.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text"), items, threshold)
+        return keyed.join(found.select("rid").distinct(), "rid", "left_anti").select("doc.*")
     at = docs.columns.index("text")
-    for rows in batches_of(items):
-        index = docs.sparkSession.sparkContext.broadcast(build(rows, threshold))
 
-        def run(batches, index=index):
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                keep[[row for row, _, _ in search(batch.column(at), index.value, threshold)]] = False
-                yield batch.filter(pa.array(keep))
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[row for row, _, _ in search(batch.column(at), index.value, threshold)]] = False
+            yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 SQL = r"""

@@ -30,11 +30,14 @@ def test_matches_sql(spark):
     same(decontaminate.contained(docs, tests), duck(decontaminate.SQL, documents=docs, benchmark=tests))
 
 
-def test_batches_of_items_give_the_same(spark, monkeypatch):
+def test_items_that_are_joined_give_the_same(spark, monkeypatch):
     docs, tests = world(spark)
     whole = sorted(map(tuple, decontaminate.contained(docs, tests).collect()), key=str)
-    monkeypatch.setattr(decontaminate, "BATCH_WORDS", 10)
+    left = sorted(map(str, decontaminate.stage(docs, tests).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 10)
     assert sorted(map(tuple, decontaminate.contained(docs, tests).collect()), key=str) == whole
+    out = decontaminate.stage(docs, tests)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == left
 
 
 def test_stage_drops_what_holds_an_item_and_keeps_the_rest(spark):
