@@ -14,7 +14,9 @@ round's links in a written table.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like
 others; shorter texts than a shingle hash the whole word sequence; repeated rows give repeated rows;
-a null doc_id has a fingerprint, and its group's id comes from its other members (null if none has one).
+a null doc_id has a fingerprint, and its group's id comes from its other members (null if none has one); very long
+texts are hashed whole; a bit that exactly half of the hashes set is 0; other columns, of any name, are kept by the stage and not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
