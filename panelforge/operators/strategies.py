@@ -42,12 +42,21 @@ def true_buy_and_hold(returns: DataFrame, weights: DataFrame, keys: Sequence[str
     return total.withColumn("r", F.coalesce(F.col("v") / F.lag("v").over(dated(keys)) - 1, F.lit(0.0))).drop("v")
 
 
-def held_weights(returns: DataFrame, weights: DataFrame, freq: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, date, asset, r, w, bps?: weights reset into each period's first date and drifting within it.
+def together(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows dealt once by keys: what follows is partitioned by them and more, and needs no other exchange.
+
+    A series of a panel is a row a date and asset, small enough for a task.
+    """
+    return rows.repartition(*[F.col(k) for k in keys]) if keys else rows
+
+
+def held_weights(returns: DataFrame, weights: DataFrame, freq: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, date, asset, r, w, and further columns of weights: weights reset into each period's first date and drifting within
+    it. freq: the name of a period, or the period itself (null all along: never reset).
 
     In closed form: the target times the growth since the reset, scaled to one over the assets.
     """
-    joined = returns.join(F.broadcast(weights), "asset").withColumn("__period", period(freq))
+    joined = together(returns.join(F.broadcast(weights), "asset"), keys).withColumn("__period", period(freq) if isinstance(freq, str) else freq)
     before = Window.partitionBy(*keys, "asset", "__period").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     grown = F.col("w") * F.coalesce(F.product(1 + F.coalesce("r", F.lit(0.0))).over(before), F.lit(1.0))
     return joined.withColumn("__g", grown).withColumn("w", F.col("__g") / F.sum("__g").over(Window.partitionBy(*keys, "date"))).drop("__g", "__period")
@@ -184,20 +193,20 @@ def control_grid(base: DataFrame, grid: DataFrame, keys: Sequence[str], lookback
     return controlled(measured.join(F.broadcast(grid), [*keys, "lookback"]), ["config_id"], cap, freq)
 
 
-def risk_parity(returns: DataFrame, lookback: int = 63, freq: str = "monthly", strict: bool = True) -> DataFrame:
-    """date, asset, w: inverse rolling volatility of the date before, held by period; dates with weights only.
+def risk_parity(returns: DataFrame, lookback: int = 63, freq: str = "monthly", strict: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, date, asset, r, w: inverse rolling volatility of the date before, held by period; dates with weights only.
 
     strict: a period takes the weights known at its first date. Otherwise its first known weights fill the
     whole period, also backwards.
     """
     inverse = F.when(F.col("__s") > 0, 1 / F.col("__s"))
-    raw = returns.withColumn("__s", rolling_std(F.col("r"), ["asset"], lookback)).withColumn("__i", inverse)
-    share = F.col("__i") / F.sum("__i").over(Window.partitionBy("date"))
-    lagged = raw.withColumn("__w", share).withColumn("__w", F.lag("__w").over(dated(["asset"]))).withColumn("__period", period(freq))
-    within = Window.partitionBy("asset", "__period").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    raw = together(returns, keys).withColumn("__s", rolling_std(F.col("r"), [*keys, "asset"], lookback)).withColumn("__i", inverse)
+    share = F.col("__i") / F.sum("__i").over(Window.partitionBy(*keys, "date"))
+    lagged = raw.withColumn("__w", share).withColumn("__w", F.lag("__w").over(dated([*keys, "asset"]))).withColumn("__period", period(freq))
+    within = Window.partitionBy(*keys, "asset", "__period").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = lagged.withColumn("w", F.first("__w", ignorenulls=not strict).over(within))
-    live = held.withColumn("__total", F.sum("w").over(Window.partitionBy("date"))).where("__total > 0.5")
-    return live.select("date", "asset", "r", "w")
+    live = held.withColumn("__total", F.sum("w").over(Window.partitionBy(*keys, "date"))).where("__total > 0.5")
+    return live.select(*keys, "date", "asset", "r", "w")
 
 
 def inverse_vol_weights(returns: DataFrame) -> DataFrame:

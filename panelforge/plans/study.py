@@ -69,28 +69,71 @@ def controlled(study: Inputs, cfg: Config, mix: DataFrame | None = None) -> Data
     return strategies.vol_control(rows, ["strategy"], cfg.lookback, cfg.trading_days, cfg.max_leverage, cfg.rebalance, cfg.dead_band, cfg.vol_method, cfg.halflife)
 
 
-def run_strategies(study: Inputs, cfg: Config) -> DataFrame:
+def base_legs(study: Inputs, cfg: Config, pit: DataFrame | None) -> DataFrame:
+    """strategy, date, asset, r, w: the held weights of every strategy, in one long table dealt by strategy.
+
+    Controlled strategies hold the base portfolio, so its path stands there once for each. pit: a point-in-time base
+    (date, asset, w); then no strategy buys once and holds, since members join later.
+    """
+    spark, dim = study.returns.sparkSession, study.dim
+    names = ["BuyHold", *(f"VolControl_{v:g}" for v in cfg.target_vols)]
+    two = constants(spark, [("Benchmark_Classic", a, w, True) for a, w in BENCHMARK], "strategy string, asset string, w double, resets boolean")
+    if pit is None:
+        base = strategies.class_weights(dim, shares_of(spark, [cfg.crypto_share])).drop("share")
+        every = constants(spark, [(n, True) for n in names] + [("Benchmark_TrueBH", False)], "strategy string, resets boolean")
+        fixed = every.crossJoin(F.broadcast(base)).select("strategy", "asset", "w", "resets").unionByName(two)
+    else:
+        fixed = two
+    when = F.when(F.col("resets"), period(cfg.weight_rebalance))
+    path = strategies.held_weights(study.returns, fixed, when, ["strategy"]).select("strategy", "date", "asset", "r", "w")
+    if pit is not None:
+        given = pit.join(study.returns, ["date", "asset"], "left").crossJoin(F.broadcast(constants(spark, [(n,) for n in names], "strategy string")))
+        path = path.unionByName(given.select(*path.columns))
+    parity = strategies.risk_parity(study.returns.withColumn("strategy", F.lit("Benchmark_RiskParity")), cfg.parity_lookback, keys=["strategy"])
+    return strategies.together(path.unionByName(parity.select(*path.columns)), ["strategy"])
+
+
+def run_strategies(study: Inputs, cfg: Config, pit: DataFrame | None = None) -> DataFrame:
     """strategy, date, r, gross, exposure, turnover_exposure, turnover_sleeve, turnover, rf of every strategy, each on its own calendar.
 
-    A few rows a date, kept in memory, since most reports read them more than once.
+    All strategies are one plan: weights, turnover, rates and control are windows within a strategy, and rows are dealt by
+    strategy once. pit: see base_legs; costs of a point-in-time sleeve are part of its turnover's, charged once. A few
+    rows a date, kept in memory, since most reports read them more than once (`release` lets go).
     """
     spark, none = study.returns.sparkSession, F.lit(None).cast("double")
-    net = base(study, cfg).persist()
-    mix = net.select(F.lit("BuyHold").alias("strategy"), "date", "r", "gross", none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), F.col("turnover").alias("turnover_sleeve"))
-    vc = controlled(study, cfg, net).select("strategy", "date", "r", "gross", "exposure", F.col("turnover").alias("turnover_exposure"), (F.col("base_turnover") * F.col("exposure")).alias("turnover_sleeve"))
-    weights = strategies.class_weights(study.dim, shares_of(spark, [cfg.crypto_share]))
-
-    def benchmark(name: str, net: DataFrame, gross: str = "gross", turnover: str | None = "turnover") -> DataFrame:
-        return net.select(F.lit(name).alias("strategy"), "date", "r", F.col(gross).alias("gross"), none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), (F.col(turnover) if turnover else F.lit(0.0)).alias("turnover_sleeve"))
-
-    held = strategies.true_buy_and_hold(study.returns, weights, ["share"])
-    two = constants(spark, list(BENCHMARK), "asset string, w double")
-    classic = strategies.periodic_mix(study.returns, two, study.dim, cfg.weight_rebalance)
-    parity = strategies.with_turnover(strategies.risk_parity(study.returns, cfg.parity_lookback), study.dim)
-    parity = parity.withColumnRenamed("r", "gross").withColumn("r", F.col("gross") - F.col("cost"))
-    rows = mix.unionByName(vc).unionByName(benchmark("Benchmark_TrueBH", held, "r", None)).unionByName(benchmark("Benchmark_Classic", classic)).unionByName(benchmark("Benchmark_RiskParity", parity))
-    rows = rows.withColumn("turnover", F.col("turnover_exposure") + F.col("turnover_sleeve"))
-    return with_rf(rows, study, cfg, ["strategy"]).persist()
+    rows = strategies.with_turnover(base_legs(study, cfg, pit), study.dim, ["strategy"]).withColumnRenamed("r", "gross")
+    # bought once: no trade, and no return on the first date
+    bought = F.col("strategy") == "Benchmark_TrueBH"
+    first = F.row_number().over(dated(["strategy"])) == 1
+    rows = rows.withColumn("gross", F.when(bought & first, 0.0).otherwise(F.col("gross")))
+    rows = rows.withColumns({c: F.when(bought, 0.0).otherwise(F.col(c)) for c in ("turnover", "cost")})
+    rows = with_rf(rows.select("strategy", "date", "gross", (F.col("gross") - F.col("cost")).alias("r"), "turnover"), study, cfg, ["strategy"])
+    rows = rows.join(F.broadcast(targets_of(spark, cfg)), "strategy", "left").withColumnRenamed("turnover", "sleeve")
+    if cfg.dead_band:  # folds series by series, so only the controlled ones
+        plain, rows = rows.where("target is null").drop("target", "bps"), rows.where("target is not null")
+    vc = strategies.vol_control(rows.withColumnRenamed("gross", "base_gross").withColumn("base", F.col("r")), ["strategy"], cfg.lookback, cfg.trading_days, cfg.max_leverage, cfg.rebalance, cfg.dead_band, cfg.vol_method, cfg.halflife)
+    own = lambda controlled, other: F.when(F.col("target").isNotNull(), controlled).otherwise(other)
+    out = vc.select(
+        "strategy",
+        "date",
+        own(F.col("r"), F.col("base")).alias("r"),
+        own(F.col("gross"), F.col("base_gross")).alias("gross"),
+        own(F.col("exposure"), none).alias("exposure"),
+        own(F.col("turnover"), F.lit(0.0)).alias("turnover_exposure"),
+        own(F.col("sleeve") * F.col("exposure"), F.col("sleeve")).alias("turnover_sleeve"),
+        "rf",
+    )
+    if cfg.dead_band:
+        out = out.unionByName(plain.select("strategy", "date", "r", "gross", none.alias("exposure"), F.lit(0.0).alias("turnover_exposure"), F.col("sleeve").alias("turnover_sleeve"), "rf"))
+    out = out.withColumn("turnover", F.col("turnover_exposure") + F.col("turnover_sleeve"))
+    return out.select("strategy", "date", "r", "gross", "exposure", "turnover_exposure", "turnover_sleeve", "turnover", "rf").persist()
+
+
+def release(*tables: DataFrame | Inputs) -> None:
+    """Lets go of what inputs and run_strategies keep in memory."""
+    for t in tables:
+        for df in (t.returns, t.rates, t.known) if isinstance(t, Inputs) else (t,):
+            df.unpersist()
 
 
 def metrics_table(rows: DataFrame, cfg: Config) -> DataFrame:
