@@ -48,35 +48,42 @@ def deflated_sharpe(selected: DataFrame, trials: DataFrame, keys: Sequence[str])
     return m.withColumn("z", (F.col("sr") - F.col("sr0")) * F.sqrt(F.col("n") - 1) / spread).withColumn("dsr", normal_cdf("z")).select(*keys, "sr", "sr0", "n_trials", "z", "dsr")
 
 
-def mann_kendall(points: DataFrame, keys: Sequence[str] = (), most: int = 100_000) -> DataFrame:
+def mann_kendall(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, s, tau, z, p of (keys, x, y): a trend of y along x, variance without ties.
 
-    Every point meets the later ones of its own series, so keep series short (grids, not facts): over `most` points
-    in a series this raises.
+    Pairs are counted by ranks: two points differ first at one bit of their ranks, so a running count of zeros and ones by bit
+    and leading bits, in the order of x, gives all pairs in n log n rows. Points without a y are no points.
     """
-    ordered = points.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("x")))
-    n = points.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest = n.agg(F.max("n")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a series has {largest} points; pairs of more than {most} are not compared")
-    a, b = ordered.select(*keys, F.col("__i").alias("i"), F.col("y").alias("u")), ordered.select(*keys, F.col("__i").alias("j"), F.col("y").alias("v"))
-    pairs = (a.join(b, [*keys]) if keys else a.crossJoin(b)).where("i < j").groupBy(*keys).agg(F.sum(F.signum(F.col("v") - F.col("u"))).alias("s"))
-    out = n.join(pairs, [*keys]) if keys else n.crossJoin(pairs)
+    of = list(keys)
+    ranked = points.where("y is not null").withColumn("__d", F.dense_rank().over(Window.partitionBy(*of).orderBy("y")) - 1)
+    highest = F.ceil(F.log2(F.max("__d").over(Window.partitionBy(*of)) + 1)).cast("int")
+    each = ranked.withColumn("__h", F.greatest(highest, F.lit(1))).withColumn("__b", F.explode(F.expr("sequence(0, __h - 1)")))
+    each = each.withColumn("__lead", F.expr("shiftright(__d, __b + 1)")).withColumn("__one", F.expr("shiftright(__d, __b) & 1"))
+    before = Window.partitionBy(*of, "__b", "__lead").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    ones, zeros = F.coalesce(F.sum("__one").over(before), F.lit(0)), F.coalesce(F.sum(1 - F.col("__one")).over(before), F.lit(0))
+    pairs = each.withColumn("__s", F.when(F.col("__one") == 1, zeros).otherwise(-ones))
+    out = pairs.groupBy(*of).agg(F.sum(F.when(F.col("__b") == 0, 1).otherwise(0)).alias("n"), F.sum("__s").cast("double").alias("s"))
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     return out.withColumn("tau", F.col("s") / (F.col("n") * (F.col("n") - 1) / 2.0)).withColumn("z", z).withColumn("p", two_sided_p("z"))
 
 
-def hac_ols(points: DataFrame, keys: Sequence[str] = (), lags: int | None = None, most_lags: int = 16) -> DataFrame:
+def hac_ols(points: DataFrame, keys: Sequence[str] = (), lags: int | None = None) -> DataFrame:
     """keys, n, slope, intercept, r2, se, z, p of y on x, with Newey-West errors of the slope in closed form.
 
-    The slope's part of the sandwich is the long-run variance of (x - mean) * residual, over Sxx squared. lags: n ** 0.25 rounded, at least 1.
+    The slope's part of the sandwich is the long-run variance of (x - mean) * residual, over Sxx squared. lags: n ** 0.25 of each
+    series rounded, at least 1; the longest series, which is counted first, says how many lags are summed.
     """
+    if lags is None:
+        longest = points.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        most_lags = max(1, round(longest**0.25))
+    else:
+        most_lags = lags
     over = Window.partitionBy(*keys)
     order = over.orderBy("x")
     fit = points.withColumn("slope", F.regr_slope("y", "x").over(over)).withColumn("intercept", F.regr_intercept("y", "x").over(over)).withColumn("r2", F.regr_r2("y", "x").over(over))
     fit = fit.withColumn("__c", F.col("x") - F.avg("x").over(over)).withColumn("__u", F.col("__c") * (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")))
-    back = {i: F.coalesce(F.lag("__u", i).over(order), F.lit(0.0)) for i in range(1, (lags or most_lags) + 1)}
+    back = {i: F.coalesce(F.lag("__u", i).over(order), F.lit(0.0)) for i in range(1, most_lags + 1)}
     fit = fit.withColumns({f"__l{i}": F.col("__u") * c for i, c in back.items()})
     sums = fit.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -85,7 +92,7 @@ def hac_ols(points: DataFrame, keys: Sequence[str] = (), lags: int | None = None
         F.sum(F.col("__u") ** 2).alias("__s0"),
         *[F.sum(f"__l{i}").alias(f"__s{i}") for i in back],
     )
-    most = F.lit(lags) if lags else F.greatest(F.lit(1), F.bround(F.pow(F.col("n").cast("double"), F.lit(0.25))))
+    most = F.lit(lags) if lags is not None else F.greatest(F.lit(1), F.bround(F.pow(F.col("n").cast("double"), F.lit(0.25))))
     total = F.col("__s0")
     for i in back:
         total = total + F.when(most >= i, 2 * (1 - i / (most + 1)) * F.col(f"__s{i}")).otherwise(0.0)

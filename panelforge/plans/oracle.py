@@ -82,13 +82,14 @@ def paths(name: str, source: str, k: str) -> str:
   FROM (SELECT *, product(1 + r) OVER (PARTITION BY {k} ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM {source}))"""
 
 
-def summary(name: str, source: str, k: str) -> str:
+def summary(name: str, source: str, k: str, slack: str = "") -> str:
+    """slack: added to the quantile where values repeat, since DuckDB may interpolate equal values to one an ulp below them."""
     return f"""{paths(name + "_p", source, k)},
 {name} AS (
   SELECT {k}, count(r)::BIGINT AS n, min(date) AS first, max(date) AS last, avg(r) * {DAYS} AS ann_return,
          CASE WHEN product(1 + r) <= 0 THEN -1.0 ELSE power(product(1 + r), {DAYS}.0::DOUBLE / count(r)) - 1 END AS cagr,
          stddev_samp(r) * sqrt({DAYS}.0::DOUBLE) AS ann_vol, CASE WHEN stddev_samp(r - rf) <> 0 THEN avg(r - rf) / stddev_samp(r - rf) * sqrt({DAYS}.0::DOUBLE) END AS sharpe,
-         min(drawdown) AS max_drawdown, avg(r) FILTER (r <= var) AS cvar
+         min(drawdown) AS max_drawdown, avg(r) FILTER (r <= var{slack}) AS cvar
   FROM (SELECT *, quantile_cont(r, {CFG.cvar_alpha}) OVER (PARTITION BY {k}) AS var FROM {name}_p) GROUP BY {k})"""
 
 

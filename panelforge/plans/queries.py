@@ -354,8 +354,9 @@ def sharpe_trials(spark, sf_dir):
 _CONTROLLED = f"""w1 AS (SELECT asset, w FROM w WHERE share = {CFG.crypto_share}), {oracle.held('h1', 'w1', '')}, {oracle.turnover('m1', 'h1', '')}, m2 AS (SELECT 1 AS share, * FROM m1), {oracle.rf('b1', 'm2', 'share')},
 {oracle.TARGETS}, vin AS (SELECT strategy, target, date, r, rf, {oracle.BPS} AS bps FROM b1, targets), {oracle.control('vc', 'vin', 'strategy')}"""
 _LUCK = (1 - statistics.EULER) * NormalDist().inv_cdf(1 - 1 / len(_TRIALS)) + statistics.EULER * NormalDist().inv_cdf(1 - 1 / (len(_TRIALS) * math.e))
-#: The normal distribution function of z as the series of z^(2k + 1) / (2k + 1)!!.
+#: The normal distribution function of z as the series of z^(2k + 1) / (2k + 1)!!, and both tails beyond z.
 _PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([z ** (2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) FOR k IN range(200)])"
+_TAILS = "greatest(1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([abs(z) ** (2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) FOR k IN range(200)]), 0)"
 
 
 @query(f"""WITH {_DAILY}, t AS (SELECT count(*)::BIGINT AS n_trials, sqrt(var_samp(sr)) * {_LUCK}::DOUBLE AS sr0 FROM (SELECT avg(r) / stddev_samp(r) AS sr FROM g GROUP BY config_id)),
@@ -370,10 +371,11 @@ def deflated_sharpe(spark, sf_dir):
 
 
 @query(f"""WITH {oracle.STRATEGIES}, c AS (SELECT *, avg(r) OVER (PARTITION BY strategy) AS mu FROM rows),
-m AS (SELECT strategy, count(r)::BIGINT AS n, avg(r) / stddev_samp(r) AS sr, avg((r - mu) ** 3) / power(avg((r - mu) ** 2), 1.5::DOUBLE) AS skew, avg((r - mu) ** 4) / power(avg((r - mu) ** 2), 2) AS kurt FROM c GROUP BY strategy)
-SELECT strategy, n, {numbers('sr skew kurt')}, {number('sr * sqrt((n - 1)::DOUBLE) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr ** 2, 1e-12))', 'z')} FROM m""")
+m AS (SELECT strategy, count(r)::BIGINT AS n, avg(r) / stddev_samp(r) AS sr, avg((r - mu) ** 3) / power(avg((r - mu) ** 2), 1.5::DOUBLE) AS skew, avg((r - mu) ** 4) / power(avg((r - mu) ** 2), 2) AS kurt FROM c GROUP BY strategy),
+e AS (SELECT *, sr * sqrt((n - 1)::DOUBLE) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr ** 2, 1e-12)) AS z FROM m)
+SELECT strategy, n, {numbers('sr skew kurt z')}, {number(_PHI, 'psr')} FROM e""")
 def probabilistic_sharpe(spark, sf_dir):
-    return statistics.probabilistic_sharpe(study.run_strategies(study.inputs(spark, sf_dir), CFG), ["strategy"]).drop("psr")
+    return statistics.probabilistic_sharpe(study.run_strategies(study.inputs(spark, sf_dir), CFG), ["strategy"])
 
 
 @query(f"""WITH {oracle.study()}, t AS (SELECT asset AS name, avg(CASE WHEN r <= 0 THEN 1.0::DOUBLE ELSE 0 END) / 10 AS p FROM ret GROUP BY asset),
@@ -391,10 +393,11 @@ def _monthly(r: DataFrame) -> DataFrame:
     return r.groupBy("asset", F.trunc("date", "MM").alias("x")).agg((F.product(1 + F.col("r")) - 1).alias("y"))
 
 
-@query(f"""WITH {oracle.study()}, {_MONTHS}, s AS (SELECT a.asset, sum(sign(b.y - a.y)) AS s FROM num a JOIN num b ON a.asset = b.asset AND a.i < b.i GROUP BY 1), c AS (SELECT asset, count(*)::BIGINT AS n FROM num GROUP BY 1)
-SELECT asset, n, {number('s::DOUBLE', 's')}, {number('s / (n * (n - 1) / 2.0::DOUBLE)', 'tau')}, {number('CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(n * (n - 1) * (2 * n + 5) / 18.0::DOUBLE)', 'z')} FROM s JOIN c USING (asset)""")
+@query(f"""WITH {oracle.study()}, {_MONTHS}, s AS (SELECT a.asset, sum(sign(b.y - a.y)) AS s FROM num a JOIN num b ON a.asset = b.asset AND a.i < b.i GROUP BY 1), c AS (SELECT asset, count(*)::BIGINT AS n FROM num GROUP BY 1),
+e AS (SELECT *, CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(n * (n - 1) * (2 * n + 5) / 18.0::DOUBLE) AS z FROM s JOIN c USING (asset))
+SELECT asset, n, {number('s::DOUBLE', 's')}, {number('s / (n * (n - 1) / 2.0::DOUBLE)', 'tau')}, {number('z')}, {number(_TAILS, 'p')} FROM e""")
 def mann_kendall(spark, sf_dir):
-    return statistics.mann_kendall(_monthly(study.inputs(spark, sf_dir).returns), ["asset"]).drop("p")
+    return statistics.mann_kendall(_monthly(study.inputs(spark, sf_dir).returns), ["asset"])
 
 
 _LAGS = "greatest(1, round_even(power(n, 0.25::DOUBLE), 0))"
@@ -404,23 +407,25 @@ _LAGS = "greatest(1, round_even(power(n, 0.25::DOUBLE), 0))"
 fit AS (SELECT *, regr_slope(y, x) OVER p AS slope, regr_intercept(y, x) OVER p AS intercept, regr_r2(y, x) OVER p AS r2, x - avg(x) OVER p AS c, count(*) OVER p AS n FROM f WINDOW p AS (PARTITION BY asset)),
 u AS (SELECT *, c * (y - intercept - slope * x) AS u, row_number() OVER (PARTITION BY asset ORDER BY x) AS i FROM fit),
 s AS (SELECT a.asset, any_value(a.n)::BIGINT AS n, any_value(a.slope) AS slope, any_value(a.intercept) AS intercept, any_value(a.r2) AS r2, sum(a.c * a.c) FILTER (a.i = b.i) AS sxx,
-  sum(a.u * b.u * CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / ({_LAGS.replace('n,', 'a.n,')} + 1)) END) AS total FROM u a JOIN u b ON a.asset = b.asset AND a.i - b.i BETWEEN 0 AND {_LAGS.replace('n,', 'a.n,')} GROUP BY a.asset)
-SELECT asset, n, {numbers('slope intercept r2', 8)}, {number('sqrt(greatest(total, 0)) / sxx', 'se', 8)}, {number('slope / (sqrt(greatest(total, 0)) / sxx)', 'z', 8)} FROM s""", digits=8)
+  sum(a.u * b.u * CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / ({_LAGS.replace('n,', 'a.n,')} + 1)) END) AS total FROM u a JOIN u b ON a.asset = b.asset AND a.i - b.i BETWEEN 0 AND {_LAGS.replace('n,', 'a.n,')} GROUP BY a.asset),
+e AS (SELECT *, sqrt(greatest(total, 0)) / sxx AS se, slope / (sqrt(greatest(total, 0)) / sxx) AS z FROM s)
+SELECT asset, n, {numbers('slope intercept r2 se z', 8)}, {number(_TAILS, 'p', 8)} FROM e""", digits=8)
 def hac_ols(spark, sf_dir):
     points = _monthly(study.inputs(spark, sf_dir).returns)
     points = points.withColumn("x", F.row_number().over(Window.partitionBy("asset").orderBy("x")).cast("double"))
-    return statistics.hac_ols(points, ["asset"]).drop("p")
+    return statistics.hac_ols(points, ["asset"])
 
 
 @query(f"""WITH {oracle.STRATEGIES}, d AS (SELECT v.r - b.r AS d, v.strategy FROM rows v JOIN rows b ON v.date = b.date AND b.strategy = 'BuyHold' WHERE v.strategy LIKE 'VolControl%' AND v.r <> b.r),
 g AS (SELECT strategy, abs(d) AS a, count(*) AS t, count(*) FILTER (d > 0) AS plus FROM d GROUP BY 1, 2),
 k AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY strategy ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + (t + 1) / 2.0::DOUBLE AS rank FROM g),
-s AS (SELECT strategy, sum(t)::BIGINT AS n, sum(rank * plus) AS w_plus, sum(rank * (t - plus)) AS w_minus, sum(t * t * t - t)::DOUBLE AS ties FROM k GROUP BY 1)
-SELECT strategy, n, {numbers('w_plus w_minus')}, {number('(least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)', 'z')} FROM s""")
+s AS (SELECT strategy, sum(t)::BIGINT AS n, sum(rank * plus) AS w_plus, sum(rank * (t - plus)) AS w_minus, sum(t * t * t - t)::DOUBLE AS ties FROM k GROUP BY 1),
+e AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM s)
+SELECT strategy, n, {numbers('w_plus w_minus z')}, {number(_TAILS, 'p')} FROM e""")
 def wilcoxon(spark, sf_dir):
     rows = study.run_strategies(study.inputs(spark, sf_dir), CFG)
     base = rows.where("strategy = 'BuyHold'").select("date", F.col("r").alias("b"))
-    return statistics.wilcoxon(rows.where("strategy like 'VolControl%'").join(base, "date").select("strategy", (F.col("r") - F.col("b")).alias("d")), ["strategy"]).drop("p")
+    return statistics.wilcoxon(rows.where("strategy like 'VolControl%'").join(base, "date").select("strategy", (F.col("r") - F.col("b")).alias("d")), ["strategy"])
 
 
 _LISTED = {"NO": "1996-03-01", "RO": "1998-06-15"}
@@ -508,26 +513,61 @@ def dataset_hash(spark, sf_dir):
     return hashing.panel_hash(study.inputs(spark, sf_dir).returns)
 
 
+_MIXED = "(({x}::UHUGEINT * " + str(bootstrap.SPREAD) + "::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+_SHIFTED = "xor({x}, {x} >> 32)"
+
+
+def _paths_sql(days: str, reps: int, seed: int = CFG.seed) -> str:
+    """steps (rep, step, i): replicate paths over the rows i (from 0) of a CTE, by the library's draws; rep -1 is the sample."""
+    stages = [("u0", f"SELECT rep, j, kind, n, (({seed}::HUGEINT * 1000003 + rep) * 1000003 + j) * 2 + kind AS x FROM (SELECT count(*) AS n FROM {days}), (SELECT unnest(range({reps})) AS rep), (SELECT unnest(range((SELECT count(*) FROM {days}))) AS j), (SELECT unnest([0, 1]) AS kind)")]
+    for k in (1, 2):
+        stages.append((f"v{k}", f"SELECT * REPLACE ({_MIXED.format(x='x')} AS x) FROM {stages[-1][0]}"))
+        stages.append((f"u{k}", f"SELECT * REPLACE ({_SHIFTED.format(x='x')} AS x) FROM v{k}"))
+    parts = [f"{name} AS ({sql})" for name, sql in stages]
+    parts.append("uni AS (SELECT rep, j, kind, n, ((x >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992.0::DOUBLE AS u FROM u2)")
+    parts.append(f"blocks AS (SELECT rep, j, any_value(n) AS n, 1 + floor(ln(max(u) FILTER (kind = 0)) / ln(1 - 1.0::DOUBLE / {CFG.expected_block}))::BIGINT AS len, least(floor(max(u) FILTER (kind = 1) * any_value(n))::BIGINT, any_value(n) - 1) AS start FROM uni GROUP BY rep, j)")
+    parts.append("laid AS (SELECT *, sum(len) OVER (PARTITION BY rep ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT - len AS before FROM blocks)")
+    parts.append(f"steps AS MATERIALIZED (SELECT rep, before + k AS step, (start + k) % n AS i FROM (SELECT *, unnest(range(least(len, n - before))) AS k FROM laid WHERE before < n) UNION ALL SELECT -1, i, i FROM {days})")
+    return ",\n".join(parts)
+
+
+_MARKET = """market AS MATERIALIZED (SELECT row_number() OVER (ORDER BY date) - 1 AS i, sum(r * base_weight) / (SELECT sum(base_weight) FROM dim) AS t, avg(r) FILTER (asset_class = 'crypto') AS c FROM ret JOIN dim USING (asset) GROUP BY date)"""
+_OUTCOMES = "d_mdd d_cvar sharpe_bh sharpe_vc calmar_vc"
+_SWEEP_DRAWS = f"""{oracle.study()}, cal AS (SELECT DISTINCT 1 AS k, date FROM ret), {oracle.rf('calrf', 'cal', 'k')}, hurdle AS (SELECT avg(rf) AS rf FROM calrf), {_MARKET}, {_paths_sql('market', CFG.sweep_bootstrap_n)},
+sh AS ({oracle.SWEEP}),
+bin AS (SELECT rep, share, step AS date, (1 - share) * t + share * c AS r, (SELECT rf FROM hurdle) AS rf, {TARGET}::DOUBLE AS target, (1 - share) * 10.0::DOUBLE + share * 25.0::DOUBLE AS bps FROM steps JOIN market USING (i), sh),
+{oracle.control('cin', 'bin', 'rep, share')}, {oracle.summary('bm', 'bin', 'rep, share', ' + 1e-15')}, {oracle.summary('cm', 'cin', 'rep, share', ' + 1e-15')},
+draws AS MATERIALIZED (SELECT rep AS replicate, share, c.max_drawdown - b.max_drawdown AS d_mdd, c.cvar - b.cvar AS d_cvar, b.sharpe AS sharpe_bh, c.sharpe AS sharpe_vc, CASE WHEN c.max_drawdown < 0 THEN c.cagr / abs(c.max_drawdown) END AS calmar_vc FROM bm b JOIN cm c USING (rep, share))"""
+
+
 def _draws(spark, sf_dir):
     return hypotheses.sweep_bootstrap(study.inputs(spark, sf_dir), CFG, TARGET)
 
 
-@query()
+@query(f"WITH {_SWEEP_DRAWS} SELECT replicate::BIGINT AS replicate, share, {numbers(_OUTCOMES)} FROM draws")
 def bootstrap_sweep(spark, sf_dir):
     return _draws(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_SWEEP_DRAWS}, b AS (SELECT share, quantile_cont(sharpe_vc, 0.025) AS low, quantile_cont(sharpe_vc, 0.975) AS high, stddev_samp(sharpe_vc) AS sd FROM draws WHERE replicate >= 0 GROUP BY share),
+o AS (SELECT share, sharpe_vc AS point FROM draws WHERE replicate < 0),
+f AS (SELECT quantile_cont(z, 0.95) AS factor FROM (SELECT replicate, max(abs(sharpe_vc - point) / sd) AS z FROM draws JOIN b USING (share) JOIN o USING (share) WHERE replicate >= 0 AND sd > 0 GROUP BY replicate))
+SELECT share, {number('point')}, {number('low', 'pointwise_low')}, {number('high', 'pointwise_high')}, {number('point - factor * sd', 'simultaneous_low')}, {number('point + factor * sd', 'simultaneous_high')}, {number('factor')} FROM b JOIN o USING (share), f""")
 def bootstrap_bands(spark, sf_dir):
     return bootstrap.bands(_draws(spark, sf_dir).persist(), "sharpe_vc")
 
 
-@query()
+@query(f"""WITH {_SWEEP_DRAWS}, e AS (SELECT replicate, regr_slope(d_mdd, share) AS s FROM draws GROUP BY replicate), o AS (SELECT s AS slope FROM e WHERE replicate < 0), m AS (SELECT avg(s) AS mean FROM e WHERE replicate >= 0)
+SELECT {number('any_value(slope)', 'slope')}, {number('any_value(mean)', 'boot_mean')}, {number('quantile_cont(s, 0.025)', 'ci_low')}, {number('quantile_cont(s, 0.975)', 'ci_high')}, {number('(count(*) FILTER (abs(s - mean) >= abs(slope)) + 1) / (count(*) + 1)::DOUBLE', 'p')}, {number('avg(CASE WHEN s > 0 THEN 1.0::DOUBLE ELSE 0 END)', 'share_positive')} FROM e, o, m WHERE replicate >= 0""")
 def bootstrap_sweep_slope(spark, sf_dir):
     return bootstrap.slope(_draws(spark, sf_dir).persist(), "d_mdd")
 
 
-@query()
+@query(f"""WITH {_SWEEP_DRAWS}, best AS (SELECT replicate, share AS best FROM (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY sharpe_vc DESC, share) AS k FROM draws WHERE sharpe_vc IS NOT NULL) WHERE k = 1),
+top AS (SELECT best AS top FROM best WHERE replicate < 0), fr AS (SELECT best AS share, count(*)::BIGINT AS freq FROM best WHERE replicate >= 0 GROUP BY 1),
+nv AS (SELECT quantile_cont(best, 0.025) AS lo, quantile_cont(best, 0.975) AS hi FROM best WHERE replicate >= 0),
+df AS (SELECT a.share, quantile_cont(a.sharpe_vc - b.sharpe_vc, 0.025) AS low, quantile_cont(a.sharpe_vc - b.sharpe_vc, 0.975) AS high FROM draws a JOIN draws b ON a.replicate = b.replicate AND b.share = (SELECT top FROM top) WHERE a.replicate >= 0 GROUP BY 1)
+SELECT share, coalesce(freq, 0)::BIGINT AS freq, {number(f'coalesce(freq, 0) / {CFG.sweep_bootstrap_n}.0::DOUBLE', 'prob')}, {number('low', 'diff_low')}, {number('high', 'diff_high')}, share = top AS is_best, low <= 0 AND high >= 0 AS indistinguishable, {number('lo', 'naive_low')}, {number('hi', 'naive_high')} FROM df LEFT JOIN fr USING (share), top, nv""")
 def bootstrap_argmax(spark, sf_dir):
     return bootstrap.argmax(_draws(spark, sf_dir).persist())
 
