@@ -52,13 +52,18 @@ def limit_flags(table: DataFrame, mdd_limit: float | None, cvar_limit: float | N
     return table.withColumn("mdd_breach", below("max_drawdown", mdd_limit)).withColumn("cvar_breach", below("cvar", cvar_limit))
 
 
-def describe_assets(returns: DataFrame, keys: Sequence[str] = ("asset",), alpha: float = 0.05, least: int = 3) -> DataFrame:
-    """Distribution of each asset's returns on its own calendar, annualised by its rows a year (200 to 366, or its own)."""
-    rows = with_quantile(with_paths(returns, keys), keys, alpha)
-    per_year = F.round(F.count("r") / (F.datediff(F.max("date"), F.min("date")) / 365.25))
-    out = rows.groupBy(*keys).agg(
+def describe_assets(prices: DataFrame, rf_annual: float = 0.0, alpha: float = 0.05, least: int = 3, clamp: tuple[int, int] = (200, 366)) -> DataFrame:
+    """asset and the distribution of its returns on its own calendar, for prices (date, asset, price).
+
+    Annualised by trading_days: its returns a year from its first price to its last, rounded half to even and held to
+    `clamp`. The Sharpe ratio is over rf_annual / trading_days a period. Assets of fewer than `least` returns are left out.
+    """
+    own = prices.where("price is not null")
+    span = own.groupBy("asset").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    r = own.withColumn("r", F.col("price") / F.lag("price").over(dated(["asset"])) - 1).where("r is not null").select("asset", "date", "r")
+    rows = with_quantile(with_paths(r, ["asset"]), ["asset"], alpha)
+    out = rows.groupBy("asset").agg(
         F.count("r").alias("n"),
-        per_year.alias("periods"),
         F.avg("r").alias("mean"),
         F.stddev_samp("r").alias("sd"),
         F.skewness("r").alias("skew"),
@@ -70,7 +75,11 @@ def describe_assets(returns: DataFrame, keys: Sequence[str] = ("asset",), alpha:
         F.min("r").alias("worst"),
         F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("pct_positive"),
     )
-    return out.where(F.col("n") >= least).withColumn("ann_return", F.col("mean") * F.col("periods")).withColumn("ann_vol", F.col("sd") * F.sqrt("periods")).withColumn("sharpe", ratio(F.col("ann_return"), F.col("ann_vol")))
+    years = F.greatest(F.datediff("last", "first") / 365.25, F.lit(1e-9))
+    days = F.least(F.greatest(F.bround(F.col("n") / years), F.lit(float(clamp[0]))), F.lit(float(clamp[1])))
+    out = out.where(F.col("n") >= least).join(F.broadcast(span), "asset").withColumn("trading_days", days)
+    sharpe = ratio(F.col("mean") - rf_annual / F.col("trading_days"), F.col("sd")) * F.sqrt("trading_days")
+    return out.withColumn("ann_return", F.col("mean") * F.col("trading_days")).withColumn("ann_vol", F.col("sd") * F.sqrt("trading_days")).withColumn("sharpe", sharpe).drop("mean", "sd")
 
 
 def correlation_matrix(returns: DataFrame) -> DataFrame:
@@ -125,8 +134,10 @@ def drawdown_episodes(series: DataFrame, keys: Sequence[str], top: int = 5) -> D
 
 
 def return_distribution(series: DataFrame, keys: Sequence[str], bins: int = 41, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """keys, bin, lower, upper, density over common edges of all series; what lies outside is left out."""
-    edges = series.agg(F.percentile("r", F.lit(low)).alias("lo"), F.percentile("r", F.lit(high)).alias("hi"))
+    """keys, bin, lower, upper, density over common edges: from the least low quantile of the series to the largest high one;
+    what lies outside is left out."""
+    each = series.groupBy(*keys).agg(F.percentile("r", F.lit(low)).alias("lo"), F.percentile("r", F.lit(high)).alias("hi"))
+    edges = each.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     inside = series.crossJoin(F.broadcast(edges)).where("r between lo and hi").withColumn("width", width)
     at = F.least(F.floor((F.col("r") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
@@ -135,6 +146,17 @@ def return_distribution(series: DataFrame, keys: Sequence[str], bins: int = 41,
     return counts.withColumn("density", F.col("n") / total / F.col("width")).select(*keys, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("upper"), "n", "density")
 
 
+def tail_marks(series: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """keys, var (the interpolated alpha quantile of r) and cvar (the mean of what is not above it)."""
+    return with_quantile(series, keys, alpha).groupBy(*keys).agg(F.first("var").alias("var"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"))
+
+
+def block_means(series: DataFrame, blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, block, n, mean of a value over named blocks of dates (block, a, b): from a on, before b; nulls count for nothing."""
+    inside = series.join(F.broadcast(blocks), (F.col("date") >= F.col("a")) & (F.col("date") < F.col("b")))
+    return inside.groupBy(*keys, "block").agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
 def exposure_stats(series: DataFrame, keys: Sequence[str], cap: float = 1.0) -> DataFrame:
     """Share at the cap, mean, sd, mean change, share of dates with a change, turnover, of a daily exposure series."""
     change = F.abs(F.col("exposure") - F.lag("exposure").over(dated(keys)))

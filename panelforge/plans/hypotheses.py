@@ -8,25 +8,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ASSETS, Config
-from ..operators import bootstrap, statistics
+from ..config import Config
+from ..operators import bootstrap, statistics, strategies
 from . import study
 
 
-def weight_matrix(shares: list[float], assets: list[str], members: tuple = ASSETS) -> np.ndarray:
-    """assets by shares: the traditional split scaled to 1 - share, the share dealt equally over crypto assets."""
-    kind = {a: k for a, k, *_ in members}
-    base = {a: w for a, _, w, _ in members}
-    whole = sum(base[a] for a in assets if kind[a] != "crypto")
-    n = sum(kind[a] == "crypto" for a in assets)
-    return np.array([[s / n if kind[a] == "crypto" else base[a] / whole * (1 - s) for s in shares] for a in assets])
+def weight_matrix(dim: DataFrame, shares: list[float], assets: list[str]) -> np.ndarray:
+    """assets by shares: the table of class weights as an array (a number for each asset and share, both given by name)."""
+    spark = dim.sparkSession
+    found = {(r.asset, r.share): r.w for r in strategies.class_weights(dim, study.shares_of(spark, shares)).collect()}
+    return np.array([[found.get((a, s), 0.0) for s in shares] for a in assets])
 
 
 def sweep_bootstrap(s: study.Inputs, cfg: Config, target: float) -> DataFrame:
     """sweep_bootstrap_n draws of the whole sweep (see bootstrap.sweep_draws); the rate is the sample's mean, as resampled paths have no calendar."""
     rf = study.with_rf(s.returns.select("date").distinct(), s, cfg).agg(F.avg("rf")).first()[0]
-    assets, shares = [a for a, *_ in ASSETS], cfg.sweep_shares()
-    return bootstrap.sweep_draws(s.returns, assets, weight_matrix(shares, assets), shares, target, float(rf), replace(cfg, bootstrap_n=cfg.sweep_bootstrap_n))
+    shares = cfg.sweep_shares()
+    assets = sorted(r.asset for r in s.dim.select("asset").collect())
+    return bootstrap.sweep_draws(s.returns, assets, weight_matrix(s.dim, shares, assets), shares, target, float(rf), replace(cfg, bootstrap_n=cfg.sweep_bootstrap_n))
 
 
 def pairs(rows: DataFrame, strategy: str, against: str = "BuyHold") -> DataFrame:
@@ -35,11 +34,11 @@ def pairs(rows: DataFrame, strategy: str, against: str = "BuyHold") -> DataFrame
     return a.join(rows.where(F.col("strategy") == against).select("date", F.col("r").alias("b")), "date")
 
 
-def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap") -> DataFrame:
-    """name, estimate, p, p_holm, low, high. basis: H3 by data-level bootstrap, or by HAC regression on the sweep's points."""
+def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap", pit: study.Builder | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """name, estimate, p, p_holm, low, high. basis: H3 by data-level bootstrap, or by HAC regression on the sweep's points. rows: the strategies, where they are at hand."""
     if basis not in ("bootstrap", "hac"):
         raise ValueError(f"basis is bootstrap or hac, not {basis!r}")
-    both = pairs(study.run_strategies(s, cfg), f"VolControl_{cfg.target(target):g}").persist()
+    both = pairs(rows or study.run_strategies(s, cfg, pit), f"VolControl_{cfg.target(target):g}").persist()
     rf = both.agg(F.avg("rf")).first()[0]
     days = cfg.trading_days
 
@@ -56,9 +55,58 @@ def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap")
         for metric in ("d_mdd", "d_cvar"):
             family = family.unionByName(row(f"H3 {metric}", bootstrap.slope(draws, metric), "slope", "ci_low", "ci_high"))
     else:
-        sweep = study.crypto_sweep(s, cfg, target).persist()
+        sweep = study.crypto_sweep(s, cfg, target, pit).persist()
         for metric in ("d_mdd", "d_cvar"):
             fit = statistics.hac_ols(sweep.select(F.col("share").alias("x"), F.col(metric).alias("y")))
             fit = fit.withColumn("low", F.col("slope") - 1.959964 * F.col("se")).withColumn("high", F.col("slope") + 1.959964 * F.col("se"))
             family = family.unionByName(row(f"H3 {metric}", fit, "slope", "low", "high"))
     return statistics.holm(family)
+
+
+def report(s: study.Inputs, cfg: Config, target: float, pit: study.Builder | None = None) -> DataFrame:
+    """name, estimate, p, low, high of every test of the study, and p_holm in the three families: the confirmatory one (H1, H2
+    and the data-level slopes), that with the Wilcoxon test, which is descriptive, and that with the sweep-level slopes instead.
+
+    A probabilistic or deflated ratio's estimate is the chance it states; neither has a p value.
+    """
+    none = F.lit(None).cast("double")
+    rows = study.run_strategies(s, cfg, pit)
+    chosen = f"VolControl_{cfg.target(target):g}"
+    both = pairs(rows, chosen).persist()
+    sweep = study.crypto_sweep(s, cfg, target, pit).persist()
+    out = tests(s, cfg, target, "bootstrap", pit, rows).drop("p_holm").persist()
+    signed = statistics.wilcoxon(both.select((F.col("a") - F.col("b")).alias("d")))
+    out = out.unionByName(signed.select(F.lit("Wilcoxon of periods").alias("name"), F.least("w_plus", "w_minus").alias("estimate"), "p", none.alias("low"), none.alias("high")))
+    for metric in ("d_mdd", "d_cvar"):
+        points = sweep.select(F.col("share").alias("x"), F.col(metric).alias("y"))
+        fit = statistics.hac_ols(points).select(F.lit(f"HAC {metric}").alias("name"), F.col("slope").alias("estimate"), "p", (F.col("slope") - 1.959964 * F.col("se")).alias("low"), (F.col("slope") + 1.959964 * F.col("se")).alias("high"))
+        trend = statistics.mann_kendall(points).select(F.lit(f"Mann-Kendall {metric}").alias("name"), F.col("tau").alias("estimate"), "p", none.alias("low"), none.alias("high"))
+        again = bootstrap.slope_resampled(points, seed=cfg.seed).select(F.lit(f"Resampled slope {metric}").alias("name"), F.col("slope").alias("estimate"), none.alias("p"), F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
+        out = out.unionByName(fit).unionByName(trend).unionByName(again)
+    own = rows.where(F.col("strategy") == chosen)
+    chance = statistics.probabilistic_sharpe(own, ["strategy"]).select(F.lit("Probabilistic Sharpe ratio").alias("name"), F.col("psr").alias("estimate"))
+    luck = statistics.deflated_sharpe(own, study.trials(s, cfg, target, pit), ["strategy"]).select(F.lit("Deflated Sharpe ratio").alias("name"), F.col("dsr").alias("estimate"))
+    out = out.unionByName(chance.unionByName(luck).select("name", "estimate", none.alias("p"), none.alias("low"), none.alias("high")))
+    name = F.col("name")
+    core, data, level = name.startswith("H1") | name.startswith("H2"), name.startswith("H3"), name.startswith("HAC")
+    families = {"p_holm": core | data, "p_holm_with_wilcoxon": core | data | name.startswith("Wilcoxon"), "p_holm_sweep_level": core | level}
+    out = out.persist()
+    member = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in families.items()]))
+    adjusted = statistics.holm(out.select("name", "p", F.explode(member).alias("family")), ["family"])
+    wide = adjusted.groupBy("name").pivot("family", list(families)).agg(F.first("p_holm"))
+    return out.join(wide, "name", "left")
+
+
+def over_samples(prices: DataFrame, specs: list, rates: DataFrame, dim: DataFrame, cfg: Config, target: float) -> DataFrame:
+    """scenario, n, H1, H2 and the data-level slope with their bounds, and the best share, of every sample."""
+    out = None
+    for spec in specs:  # a handful of named samples
+        s, pit = study.of_sample(prices, spec, rates, dim)
+        found = tests(s, cfg, target, "bootstrap", pit)
+        of = lambda start, c: F.max(F.when(F.col("name").startswith(start), F.col(c)))
+        wide = found.agg(*[of(start, c).alias(f"{short}_{c}") for short, start in (("h1", "H1"), ("h2", "H2"), ("slope", "H3 d_mdd")) for c in ("estimate", "low", "high")])
+        best = bootstrap.argmax(sweep_bootstrap(s, cfg, target).persist()).where("is_best").select(F.col("share").alias("best_share"))
+        n = s.returns.agg(F.countDistinct("date").alias("n"))
+        row = wide.crossJoin(best).crossJoin(n).withColumn("scenario", F.lit(spec.name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("scenario", "n", *[c for c in out.columns if c not in ("scenario", "n")])

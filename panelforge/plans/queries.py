@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import hashing
+from ..functions.tables import constants
 from ..operators import alignment, bootstrap, metrics, riskfree, statistics, strategies
 from ..sources.panel import asset_dim, price_panel, rate_summary, rf_fixings
 from . import hypotheses, oracle, sample, study
@@ -205,17 +206,20 @@ def limit_flags(spark, sf_dir):
     return metrics.limit_flags(m, -0.5, -0.2).select("strategy", "max_drawdown", "cvar", "mdd_breach", "cvar_breach")
 
 
-_M = f"""WITH {oracle.study()}, {oracle.paths('p', 'ret', 'asset')},
+_M = f"""WITH {oracle.panel('day')}, own AS (SELECT asset, date, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM panel WHERE price IS NOT NULL),
+span AS (SELECT asset, min(date) AS first, max(date) AS last FROM panel WHERE price IS NOT NULL GROUP BY asset), rr AS (SELECT * FROM own WHERE r IS NOT NULL), {oracle.paths('p', 'rr', 'asset')},
 q AS (SELECT *, quantile_cont(r, 0.05) OVER (PARTITION BY asset) AS var, avg(r) OVER (PARTITION BY asset) AS mu FROM p),
-d AS (SELECT asset, count(r)::BIGINT AS n, round(count(r) / (date_diff('day', min(date), max(date)) / 365.25::DOUBLE)) AS periods, avg(r) AS mean, stddev_samp(r) AS sd,
-  avg((r - mu) ** 3) / power(avg((r - mu) ** 2), 1.5::DOUBLE) AS skew, avg((r - mu) ** 4) / power(avg((r - mu) ** 2), 2) - 3 AS excess_kurtosis,
-  min(drawdown) AS max_drawdown, any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar, max(r) AS best, min(r) AS worst, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS pct_positive FROM q GROUP BY asset)
-SELECT asset, n, {numbers('periods mean sd skew excess_kurtosis max_drawdown var cvar best worst pct_positive')}, {number('mean * periods', 'ann_return')}, {number('sd * sqrt(periods)', 'ann_vol')}, {number('mean * periods / (sd * sqrt(periods))', 'sharpe')} FROM d WHERE n >= 3"""
+d AS (SELECT asset, count(r)::BIGINT AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg((r - mu) ** 3) / power(avg((r - mu) ** 2), 1.5::DOUBLE) AS skew, avg((r - mu) ** 4) / power(avg((r - mu) ** 2), 2) - 3 AS excess_kurtosis,
+  min(drawdown) AS max_drawdown, any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar, max(r) AS best, min(r) AS worst, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) AS pct_positive FROM q GROUP BY asset),
+t AS (SELECT *, least(greatest(round_even(n / greatest(date_diff('day', first, last) / 365.25::DOUBLE, 1e-9), 0), 200), 366)::DOUBLE AS trading_days FROM d JOIN span USING (asset) WHERE n >= 3)
+SELECT asset, n, first, last, {numbers('trading_days skew excess_kurtosis max_drawdown var cvar best worst pct_positive')}, {number('mean * trading_days', 'ann_return')}, {number('sd * sqrt(trading_days)', 'ann_vol')},
+  {number(f'(mean - {CFG.rf_annual}::DOUBLE / trading_days) / sd * sqrt(trading_days)', 'sharpe')} FROM t"""
 
 
 @query(_M)
 def describe_assets(spark, sf_dir):
-    return metrics.describe_assets(study.inputs(spark, sf_dir).returns)
+    """Every asset on its own daily calendar."""
+    return metrics.describe_assets(price_panel(spark, sf_dir, "daily"), CFG.rf_annual, CFG.cvar_alpha)
 
 
 @query(f"WITH {oracle.study()} SELECT x.asset AS a, y.asset AS b, {number('corr(x.r, y.r)', 'corr')} FROM ret x JOIN ret y USING (date) GROUP BY 1, 2")
@@ -265,7 +269,7 @@ def drawdown_episodes(spark, sf_dir):
 
 
 @query(f"""WITH {oracle.STRATEGIES}, two_s AS (SELECT * FROM rows WHERE strategy IN ('BuyHold', 'VolControl_0.3')),
-e AS (SELECT quantile_cont(r, 0.005) AS lo, quantile_cont(r, 0.995) AS hi FROM two_s),
+e AS (SELECT min(lo) AS lo, max(hi) AS hi FROM (SELECT quantile_cont(r, 0.005) AS lo, quantile_cont(r, 0.995) AS hi FROM two_s GROUP BY strategy)),
 b AS (SELECT strategy, lo, (hi - lo) / 41 AS width, least(floor((r - lo) / ((hi - lo) / 41)), 40)::INTEGER AS bin FROM two_s, e WHERE r BETWEEN lo AND hi),
 c AS (SELECT strategy, bin, lo, width, count(*)::BIGINT AS n FROM b GROUP BY ALL)
 SELECT strategy, bin, {number('lo + bin * width', 'lower')}, {number('lo + (bin + 1) * width', 'upper')}, n, {number('n / sum(n) OVER (PARTITION BY strategy) / width', 'density')} FROM c""")
@@ -301,6 +305,35 @@ def wealth_paths(spark, sf_dir):
     return study.wealth_paths(study.run_strategies(study.inputs(spark, sf_dir), CFG))
 
 
+@query(f"WITH {oracle.STRATEGIES}, q AS (SELECT *, quantile_cont(r, 0.05) OVER (PARTITION BY strategy) AS var FROM rows) SELECT strategy, {number('any_value(var)', 'var')}, {number('avg(r) FILTER (r <= var)', 'cvar')} FROM q GROUP BY strategy")
+def tail_marks(spark, sf_dir):
+    return metrics.tail_marks(study.run_strategies(study.inputs(spark, sf_dir), CFG), ["strategy"], CFG.cvar_alpha)
+
+
+_BLOCKS = (("before", "1995-01-01", "1998-01-01"), ("stress", "1998-01-01", "1999-01-01"), ("after", "1999-01-01", "2002-01-01"))
+
+
+@query(f"""WITH {oracle.study()}, b AS (SELECT asset, date, x.r, y.r AS ref FROM ret x JOIN (SELECT date, r FROM ret WHERE asset = 'AF') y USING (date) WHERE asset IN ('AO', 'NO', 'RO')),
+c AS (SELECT asset, date, CASE WHEN count(r) OVER o = {CFG.rolling_window} THEN corr(r, ref) OVER o END AS corr FROM b WINDOW o AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {CFG.rolling_window - 1} PRECEDING AND CURRENT ROW)),
+k(block, a, b) AS (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _BLOCKS)})
+SELECT asset, block, count(corr)::BIGINT AS n, {number('avg(corr)', 'mean')} FROM c JOIN k ON date >= k.a AND date < k.b GROUP BY asset, block""")
+def correlation_blocks(spark, sf_dir):
+    """Means of the rolling correlation by phase."""
+    s = study.inputs(spark, sf_dir)
+    blocks = constants(spark, list(_BLOCKS), "block string, a string, b string").select("block", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+    return metrics.block_means(study.rolling_correlation(s.returns, s.dim, "AF", CFG.rolling_window), blocks, ["asset"], "corr")
+
+
+@query(f"WITH {oracle.study()}, cal AS (SELECT DISTINCT 1 AS k, date FROM ret), {oracle.rf('x', 'cal', 'k')} SELECT date, {number('rf', None, 8)}, {number(f'rf * {CFG.trading_days}', 'annualised', 8)} FROM x", digits=8)
+def rate_series(spark, sf_dir):
+    return study.rate_series(study.inputs(spark, sf_dir), CFG)
+
+
+@query(f"WITH {oracle.study()}, cal AS (SELECT DISTINCT date FROM ret), k AS (SELECT coalesce(fix.rf_annual, (SELECT arg_min(rf_annual, date) FROM fix)) AS a FROM cal ASOF LEFT JOIN fix ON cal.date >= fix.date) SELECT {number('avg(a)', 'window_mean', 8)}, {number('min(a)', 'window_min', 8)}, {number('max(a)', 'window_max', 8)}, {number('avg(CASE WHEN a < 0 THEN 1.0::DOUBLE ELSE 0 END)', 'window_share_negative', 8)} FROM k", digits=8)
+def rate_window(spark, sf_dir):
+    return study.rate_window(study.inputs(spark, sf_dir))
+
+
 _SH = f"CASE WHEN stddev_samp(r - rf) <> 0 THEN avg(r - rf) / stddev_samp(r - rf) * sqrt({CFG.trading_days}.0::DOUBLE) END"
 
 
@@ -487,6 +520,79 @@ def pit_portfolio(spark, sf_dir):
     return sample.weighted_portfolio(alignment.simple_returns(kept), weights).drop("share")
 
 
+def _pit_study(spark, sf_dir):
+    prices, dim = sample.late_listing(price_panel(spark, sf_dir), _LISTED).persist(), asset_dim(spark)
+    return study.of_sample(prices, sample.scenario("S2"), rf_fixings(spark, sf_dir).persist(), dim)
+
+
+_PIT_RET = f"{_PIT}, {oracle.FIXINGS}, ret AS (SELECT date, asset, r FROM (SELECT date, asset, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM kept) WHERE r IS NOT NULL)"
+_PIT_EVERY = f"""{_PIT_RET},
+ph AS (SELECT share, date, asset, w, coalesce(r, 0) AS r FROM pw LEFT JOIN ret USING (date, asset)), {oracle.turnover('pm', 'ph', 'share')}, {oracle.rf('base', 'pm', 'share')}, {oracle.TARGETS},
+vin AS (SELECT strategy, target, date, r, rf, turnover AS base_turnover, {oracle.BPS} AS bps FROM base, targets), {oracle.control('vc', 'vin', 'strategy')}, {oracle.PARITY},
+two(asset, w) AS (VALUES ('AF', 0.6::DOUBLE), ('NF', 0.4::DOUBLE)), {oracle.held('classic_w', 'two', '')}, {oracle.turnover('classic', 'classic_w', '')}, {oracle.turnover('parity', 'rp', '')},
+every AS (SELECT 'BuyHold' AS strategy, date, r, gross, 0.0::DOUBLE AS turnover_exposure, turnover AS turnover_sleeve FROM pm
+  UNION ALL SELECT strategy, date, r, vc_gross, move, base_turnover * exposure FROM vc
+  UNION ALL SELECT 'Benchmark_Classic', date, r, gross, 0, turnover FROM classic UNION ALL SELECT 'Benchmark_RiskParity', date, r, gross, 0, turnover FROM parity), {oracle.rf('rows', 'every', 'strategy')}"""
+
+
+@query(f"""WITH {_PIT_EVERY}, {oracle.summary('m', 'rows', 'strategy')}
+SELECT strategy, n, first, last, {numbers(oracle.SUMMARY)}, {numbers('turnover turnover_exposure turnover_sleeve')} FROM m JOIN (SELECT strategy, sum(turnover_exposure + turnover_sleeve) AS turnover, sum(turnover_exposure) AS turnover_exposure, sum(turnover_sleeve) AS turnover_sleeve FROM rows GROUP BY strategy) USING (strategy)""")
+def metrics_table_pit(spark, sf_dir):
+    """Every strategy on a base whose members join as they list."""
+    s, pit = _pit_study(spark, sf_dir)
+    return study.metrics_table(study.run_strategies(s, CFG, pit), CFG).drop("ann_return_gross", "cagr_gross", "sharpe_gross")
+
+
+def _by_share(sql: str) -> str:
+    """The point-in-time weights at every share of the sweep instead of the chosen one."""
+    head, tail = sql.split("ww AS (", 1)
+    tail = tail.replace(f"{CFG.crypto_share}::DOUBLE AS share", "sh.share").replace(f"{CFG.crypto_share}::DOUBLE", "sh.share")
+    tail = tail.replace("FROM act JOIN days USING (date)) a)", f"FROM act JOIN days USING (date)) a, ({oracle.SWEEP}) sh)").replace("PARTITION BY asset ORDER BY date), today)", "PARTITION BY share, asset ORDER BY date), today)")
+    return f"{head}ww AS ({tail}"
+
+
+_PIT_SHARES = _by_share(_PIT_RET)
+
+
+@query(f"""WITH {_PIT_SHARES}, sc AS (SELECT share, date, sum(d) * 25.0::DOUBLE / 1e4 AS sleeve_cost FROM (SELECT *, coalesce(abs(w - lag(w) OVER (PARTITION BY share, asset ORDER BY date)), 0) AS d FROM pw WHERE member) GROUP BY ALL),
+gb AS (SELECT share, date, sum(w * coalesce(r, 0)) - any_value(sleeve_cost) AS r FROM pw LEFT JOIN ret USING (date, asset) JOIN sc USING (share, date) GROUP BY ALL), {oracle.rf('gross', 'gb', 'share')},
+{oracle.grid('g', 'gross', _SHARES)}, {oracle.summary('bh', 'gross', 'share')}, {oracle.summary('vcm', 'g', 'share')}
+SELECT share, {number('v.max_drawdown - b.max_drawdown', 'd_mdd')}, {number('v.cvar - b.cvar', 'd_cvar')}, {number('b.sharpe', 'sharpe_bh')}, {number('v.sharpe', 'sharpe_vc')} FROM bh b JOIN vcm v USING (share)""")
+def crypto_sweep_pit(spark, sf_dir):
+    s, pit = _pit_study(spark, sf_dir)
+    return study.crypto_sweep(s, CFG, TARGET, pit)
+
+
+def _compared(names: list[str]) -> str:
+    """scenario, strategy and metrics of fixed samples."""
+    specs = [sample.scenario(n) for n in names]
+    windows = ", ".join(f"('{s.name}', DATE '{s.start}', DATE '{s.end}')" for s in specs)
+    return f"""{oracle.panel()}, {oracle.COMPLETE}, {oracle.DIM}, {oracle.FIXINGS}, spec(scenario, a, b) AS (VALUES {windows}),
+sret AS (SELECT * FROM (SELECT scenario, date, asset, price / lag(price) OVER (PARTITION BY scenario, asset ORDER BY date) - 1 AS r FROM cc JOIN spec ON date BETWEEN a AND b) WHERE r IS NOT NULL),
+{oracle.weights()}, sh AS (SELECT scenario, date, asset, r, g / sum(g) OVER (PARTITION BY scenario, date) AS w
+  FROM (SELECT scenario, date, asset, r, w * coalesce(product(1 + r) OVER (PARTITION BY scenario, asset, date_trunc('month', date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS g FROM sret JOIN w USING (asset))),
+{oracle.turnover('sm', 'sh', 'scenario')}, {oracle.rf('sb', 'sm', 'scenario')}, si AS (SELECT scenario, date, r, rf, turnover AS base_turnover, {TARGET}::DOUBLE AS target, {oracle.BPS} AS bps FROM sb), {oracle.control('sv', 'si', 'scenario')},
+both_ AS (SELECT scenario, 'BuyHold' AS strategy, date, r, rf, turnover FROM sb UNION ALL SELECT scenario, 'VolControl_{TARGET:g}', date, r, rf, move + base_turnover * exposure FROM sv), {oracle.summary('cm', 'both_', 'scenario, strategy')}"""
+
+
+@query(f"WITH {_compared(['S1', 'S3'])} SELECT scenario, strategy, n, first, last, {numbers(oracle.SUMMARY)}, {number('t', 'turnover')} FROM cm JOIN (SELECT scenario, strategy, sum(turnover) AS t FROM both_ GROUP BY ALL) USING (scenario, strategy)")
+def sample_comparison(spark, sf_dir):
+    """Base and control in the fixed samples."""
+    specs = [sample.scenario(n) for n in ("S1", "S3")]
+    return study.compare_samples(price_panel(spark, sf_dir), specs, rf_fixings(spark, sf_dir), asset_dim(spark), CFG, TARGET)
+
+
+_STARTS = [f"S4_{y}" for y in (1996, 1997, 1998, 1999, 2000)]
+
+
+@query(f"""WITH {_compared(_STARTS)} SELECT scenario, v.n, {number('v.sharpe', 'vc_sharpe')}, {number('v.cagr', 'vc_cagr')}, {number('v.max_drawdown', 'vc_max_drawdown')}, {number('b.sharpe', 'bh_sharpe')}, {number('b.cagr', 'bh_cagr')}, {number('b.max_drawdown', 'bh_max_drawdown')},
+  {number('v.sharpe - b.sharpe', 'd_sharpe')}, {number('v.max_drawdown - b.max_drawdown', 'd_mdd')} FROM cm v JOIN cm b USING (scenario) WHERE b.strategy = 'BuyHold' AND v.strategy <> 'BuyHold'""")
+def start_sensitivity(spark, sf_dir):
+    """How much the first year matters."""
+    specs = [sample.scenario(n) for n in _STARTS]
+    return study.start_sensitivity(study.compare_samples(price_panel(spark, sf_dir), specs, rf_fixings(spark, sf_dir), asset_dim(spark), CFG, TARGET))
+
+
 @query(f"""WITH {oracle.STRATEGIES}, {oracle.summary('m', 'rows', 'strategy')}, con AS (SELECT * REPLACE (0.03::DOUBLE / {CFG.trading_days} AS rf) FROM rows), {oracle.summary('c', 'con', 'strategy')}
 SELECT strategy, {number('m.sharpe', 'sharpe')}, {number('c.sharpe', 'sharpe_constant')}, {number('c.sharpe - m.sharpe', 'difference')} FROM m JOIN c USING (strategy) WHERE strategy NOT LIKE 'VolControl%'""")
 def rf_sensitivity(spark, sf_dir):
@@ -585,4 +691,5 @@ def bootstrap_slope(spark, sf_dir):
 
 @query()
 def hypothesis_tests(spark, sf_dir):
-    return hypotheses.tests(study.inputs(spark, sf_dir), CFG, TARGET)
+    """The whole report: the confirmatory family, its companions, and the three corrections."""
+    return hypotheses.report(study.inputs(spark, sf_dir), CFG, TARGET)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,12 @@ from ..operators import metrics, strategies
 from ..operators.alignment import complete_case, on_calendar, simple_returns, strided
 from ..operators.riskfree import as_of, daily_rate
 from ..sources.panel import asset_dim, price_panel, rf_fixings
+from .sample import SampleSpec, entry_dates, pit_weights, resolve, sleeve_cost
 
 #: The mix of the two-asset benchmark.
 BENCHMARK = (("AF", 0.6), ("NF", 0.4))
+#: Dates that risk parity needs in the panel, and with weights.
+PARITY_DATES, PARITY_LIVE = 80, 20
 CONVENTIONS = {"fixings": "act360", "simple": "simple", "constant": "constant", "manual": "constant"}
 
 
@@ -37,6 +41,19 @@ def inputs(spark: SparkSession, sf_dir: str, grain: str = "weekly") -> Inputs:
     return Inputs(returns, rates, asset_dim(spark), as_of(returns.select("date").distinct(), rates, "rf_annual").persist())
 
 
+def of_sample(prices: DataFrame, spec: SampleSpec, rates: DataFrame, dim: DataFrame) -> tuple[Inputs, Builder | None]:
+    """The panel of a sample, and the weights of its sleeve by share if members join as they list."""
+    kept = resolve(prices, spec, dim)
+    returns = simple_returns(kept).persist()
+    found = Inputs(returns, rates, dim, as_of(returns.select("date").distinct(), rates, "rf_annual").persist())
+    if not spec.point_in_time:
+        return found, None
+    first = kept.agg(F.min("date").alias("first_date"))
+    days = kept.select("date").distinct().crossJoin(F.broadcast(first)).where("date > first_date").select("date")
+    entries = entry_dates(prices, spec.members, spec.buffer)
+    return found, lambda shares: pit_weights(days, spec, entries, dim, shares)
+
+
 def with_rf(series: DataFrame, study: Inputs, cfg: Config, keys=()) -> DataFrame:
     """series with rf on each series' own calendar, a part of the panel's."""
     return daily_rate(series, study.known, cfg.trading_days, CONVENTIONS[cfg.rf_mode], cfg.rf_annual, keys, aligned=True)
@@ -46,11 +63,21 @@ def shares_of(spark: SparkSession, shares: list[float]) -> DataFrame:
     return constants(spark, [(float(s),) for s in shares], "share double")
 
 
-def base(study: Inputs, cfg: Config, shares: list[float] | None = None) -> DataFrame:
-    """share, date, gross, turnover, cost, r (net), rf of the base portfolio at each crypto share."""
-    spark = study.returns.sparkSession
-    weights = strategies.class_weights(study.dim, shares_of(spark, shares or [cfg.crypto_share]))
-    mix = strategies.periodic_mix(study.returns, weights, study.dim, cfg.weight_rebalance, ["share"])
+#: Weights (share, date, asset, is_member, w) of a point-in-time sleeve at the shares (share) given.
+Builder = Callable[[DataFrame], DataFrame]
+
+
+def base(study: Inputs, cfg: Config, shares: list[float] | None = None, pit: Builder | None = None) -> DataFrame:
+    """share, date, gross, turnover, cost, r (net), rf of the base portfolio at each crypto share; with a point-in-time sleeve
+    also sleeve_cost, the part of the cost that its re-spreading makes."""
+    wanted = shares_of(study.returns.sparkSession, shares or [cfg.crypto_share])
+    if pit is None:
+        mix = strategies.periodic_mix(study.returns, strategies.class_weights(study.dim, wanted), study.dim, cfg.weight_rebalance, ["share"])
+    else:
+        weights = pit(wanted)
+        path = strategies.together(weights.join(study.returns, ["date", "asset"], "left"), ["share"])
+        mix = strategies.with_turnover(path, study.dim, ["share"]).withColumnRenamed("r", "gross").withColumn("r", F.col("gross") - F.col("cost"))
+        mix = mix.join(sleeve_cost(weights).select("share", "date", F.col("cost").alias("sleeve_cost")), ["share", "date"])
     return with_rf(mix, study, cfg, ["share"])
 
 
@@ -69,11 +96,11 @@ def controlled(study: Inputs, cfg: Config, mix: DataFrame | None = None) -> Data
     return strategies.vol_control(rows, ["strategy"], cfg.lookback, cfg.trading_days, cfg.max_leverage, cfg.rebalance, cfg.dead_band, cfg.vol_method, cfg.halflife)
 
 
-def base_legs(study: Inputs, cfg: Config, pit: DataFrame | None) -> DataFrame:
+def base_legs(study: Inputs, cfg: Config, pit: Builder | None) -> DataFrame:
     """strategy, date, asset, r, w: the held weights of every strategy, in one long table dealt by strategy.
 
-    Controlled strategies hold the base portfolio, so its path stands there once for each. pit: a point-in-time base
-    (date, asset, w); then no strategy buys once and holds, since members join later.
+    Controlled strategies hold the base portfolio, so its path stands there once for each. pit: the weights of a
+    point-in-time base; then no strategy buys once and holds, since members join later.
     """
     spark, dim = study.returns.sparkSession, study.dim
     names = ["BuyHold", *(f"VolControl_{v:g}" for v in cfg.target_vols)]
@@ -87,13 +114,17 @@ def base_legs(study: Inputs, cfg: Config, pit: DataFrame | None) -> DataFrame:
     when = F.when(F.col("resets"), period(cfg.weight_rebalance))
     path = strategies.held_weights(study.returns, fixed, when, ["strategy"]).select("strategy", "date", "asset", "r", "w")
     if pit is not None:
-        given = pit.join(study.returns, ["date", "asset"], "left").crossJoin(F.broadcast(constants(spark, [(n,) for n in names], "strategy string")))
+        given = pit(shares_of(spark, [cfg.crypto_share])).join(study.returns, ["date", "asset"], "left").crossJoin(F.broadcast(constants(spark, [(n,) for n in names], "strategy string")))
         path = path.unionByName(given.select(*path.columns))
     parity = strategies.risk_parity(study.returns.withColumn("strategy", F.lit("Benchmark_RiskParity")), cfg.parity_lookback, keys=["strategy"])
-    return strategies.together(path.unionByName(parity.select(*path.columns)), ["strategy"])
+    # only of two assets or more, over enough dates, and with enough dates left
+    whole = Window.partitionBy("strategy")
+    size = study.returns.agg(F.countDistinct("date").alias("dates"), F.countDistinct("asset").alias("assets"))
+    live = parity.withColumn("days", F.size(F.collect_set("date").over(whole))).crossJoin(F.broadcast(size)).where(f"assets >= 2 and dates > {PARITY_DATES} and days > {PARITY_LIVE}")
+    return strategies.together(path.unionByName(live.select(*path.columns)), ["strategy"])
 
 
-def run_strategies(study: Inputs, cfg: Config, pit: DataFrame | None = None) -> DataFrame:
+def run_strategies(study: Inputs, cfg: Config, pit: Builder | None = None) -> DataFrame:
     """strategy, date, r, gross, exposure, turnover_exposure, turnover_sleeve, turnover, rf of every strategy, each on its own calendar.
 
     All strategies are one plan: weights, turnover, rates and control are windows within a strategy, and rows are dealt by
@@ -177,10 +208,16 @@ def cost_sensitivity(study: Inputs, cfg: Config, target: float) -> DataFrame:
     return metrics.summary(priced, ["multiplier"], cfg.trading_days, cfg.cvar_alpha)
 
 
-def crypto_sweep(study: Inputs, cfg: Config, target: float) -> DataFrame:
+def gross_of(mix: DataFrame, pit: Builder | None):
+    """The return before the base's own costs, but after those of a point-in-time sleeve, which are charged once everywhere."""
+    return F.col("gross") if pit is None else F.col("gross") - F.col("sleeve_cost")
+
+
+def crypto_sweep(study: Inputs, cfg: Config, target: float, pit: Builder | None = None) -> DataFrame:
     """share, d_mdd, d_cvar, sharpe_bh, sharpe_vc at every share, on the gross base."""
     spark = study.returns.sparkSession
-    gross = base(study, cfg, cfg.sweep_shares()).select("share", "date", F.col("gross").alias("r"), "rf")
+    mix = base(study, cfg, cfg.sweep_shares(), pit)
+    gross = mix.select("share", "date", gross_of(mix, pit).alias("r"), "rf")
     grid = [(f"{s:g}", float(s), cfg.lookback, float(target), (1 - s) * 10.0 + s * 25.0) for s in cfg.sweep_shares()]
     paths = strategies.control_grid(gross, constants(spark, grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], [cfg.lookback], cfg.trading_days, cfg.max_leverage, cfg.rebalance)
     both = gross.withColumn("kind", F.lit("bh")).unionByName(paths.select("share", "date", "r", "rf", F.lit("vc").alias("kind")))
@@ -194,7 +231,7 @@ def crypto_sweep(study: Inputs, cfg: Config, target: float) -> DataFrame:
     )
 
 
-def trials(study: Inputs, cfg: Config, target: float) -> DataFrame:
+def trials(study: Inputs, cfg: Config, target: float, pit: Builder | None = None) -> DataFrame:
     """config_id, share, lookback, target, date, r of every setting the study looks at, each once: the stability grid at
     the chosen share, and the sweep at the chosen target; the base is the daily mix, gross."""
     spark = study.returns.sparkSession
@@ -202,8 +239,12 @@ def trials(study: Inputs, cfg: Config, target: float) -> DataFrame:
     keys |= {(cfg.lookback, round(target, 6), s) for s in cfg.sweep_shares()}
     grid = [(f"{n}/{v:g}/{s:g}", s, n, v, (1 - s) * 10.0 + s * 25.0) for n, v, s in sorted(keys)]
     shares = sorted({k[2] for k in keys})
-    weights = strategies.class_weights(study.dim, shares_of(spark, shares))
-    mix = with_rf(strategies.constant_mix(study.returns, weights, ["share"]), study, cfg, ["share"])
+    if pit is None:
+        weights = strategies.class_weights(study.dim, shares_of(spark, shares))
+        mix = with_rf(strategies.constant_mix(study.returns, weights, ["share"]), study, cfg, ["share"])
+    else:
+        mix = base(study, cfg, shares, pit)
+        mix = mix.select("share", "date", gross_of(mix, pit).alias("r"), "rf")
     return strategies.control_grid(mix, constants(spark, grid, "config_id string, share double, lookback int, target double, bps double"), ["share"], sorted({k[0] for k in keys}), cfg.trading_days, cfg.max_leverage, cfg.rebalance)
 
 
@@ -235,13 +276,13 @@ def rolling_correlation(returns: DataFrame, dim: DataFrame, reference: str, wind
     return both.select("asset", "date", full(F.corr("r", "ref").over(trailing(["asset"], window)), F.col("r"), ["asset"], window).alias("corr"))
 
 
-def walk_forward(rows: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """Folds (fold, first and last test date, chosen target, is_sharpe, oos_sharpe) and the joined out-of-sample rows.
+def walk_forward(rows: DataFrame, cfg: Config, least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Series of fewer than `least` dates have no folds. Folds (fold, first and last test date, chosen target, is_sharpe, oos_sharpe) and the joined out-of-sample rows.
 
     rows: the controlled strategies (strategy, target, date, r, rf). Fold k trains on all dates before its test
     dates; of equal Sharpe ratios the smaller target wins.
     """
-    numbered = rows.withColumn("rn", F.row_number().over(dated(["strategy"])) - 1).withColumn("n", F.count("*").over(Window.partitionBy("strategy")))
+    numbered = rows.withColumn("rn", F.row_number().over(dated(["strategy"])) - 1).withColumn("n", F.count("*").over(Window.partitionBy("strategy"))).where(F.col("n") >= least)
     folds = rows.sparkSession.range(cfg.folds).select(F.col("id").cast("int").alias("fold"))
     first = F.floor(F.col("n") * F.lit(cfg.train_share))
     bound = lambda k: F.floor(first + (F.col("n") - first) * k / cfg.folds)
@@ -261,3 +302,51 @@ def held_by_period(series: DataFrame, freq: str, keys=()) -> DataFrame:
     """date, held: the first value of x in each day, ISO week or month, held through it."""
     within = Window.partitionBy(*keys, period(freq)).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return series.withColumn("held", F.first("x", ignorenulls=True).over(within))
+
+
+def rate_series(study: Inputs, cfg: Config) -> DataFrame:
+    """date, rf (what the date's period earns), annualised (times trading_days), on the panel's calendar."""
+    return with_rf(study.returns.select("date").distinct(), study, cfg).select("date", "rf", (F.col("rf") * cfg.trading_days).alias("annualised"))
+
+
+def rate_window(study: Inputs) -> DataFrame:
+    """One row: mean, least, largest and share below zero of the annual rates known on the panel's dates."""
+    r = F.col("rf_annual")
+    return study.known.agg(F.avg(r).alias("window_mean"), F.min(r).alias("window_min"), F.max(r).alias("window_max"), F.avg(F.when(r < 0, 1.0).otherwise(0.0)).alias("window_share_negative"))
+
+
+def compare_samples(prices: DataFrame, specs: Sequence[SampleSpec], rates: DataFrame, dim: DataFrame, cfg: Config, target: float) -> DataFrame:
+    """scenario, strategy and metrics of the base and of one controlled strategy in every sample, as one plan keyed by scenario."""
+    spark = prices.sparkSession
+    fixed = [s for s in specs if not s.point_in_time]
+    parts = []
+    if fixed:
+        windows = constants(spark, [(s.name, s.start, s.end) for s in fixed], "scenario string, a string, b string").select("scenario", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+        inside = complete_case(prices, dim.count()).join(F.broadcast(windows), F.col("date").between(F.col("a"), F.col("b"))).select("scenario", "date", "asset", "price")
+        weights = strategies.class_weights(dim, shares_of(spark, [cfg.crypto_share])).select("asset", "w")
+        parts.append(strategies.held_weights(simple_returns(inside, ["scenario", "asset"]), weights, cfg.weight_rebalance, ["scenario"]).select("scenario", "date", "asset", "r", "w"))
+    for spec in specs:
+        if spec.point_in_time:
+            found, pit = of_sample(prices, spec, rates, dim)
+            path = pit(shares_of(spark, [cfg.crypto_share])).join(found.returns, ["date", "asset"], "left")
+            parts.append(path.select(F.lit(spec.name).alias("scenario"), "date", "asset", "r", "w"))
+    path = parts[0]
+    for more in parts[1:]:
+        path = path.unionByName(more)
+    mix = strategies.with_turnover(strategies.together(path, ["scenario"]), dim, ["scenario"])
+    known = as_of(prices.select("date").distinct(), rates, "rf_annual")
+    mix = daily_rate(mix.withColumn("r", F.col("r") - F.col("cost")), known, cfg.trading_days, CONVENTIONS[cfg.rf_mode], cfg.rf_annual, ["scenario"], aligned=True)
+    mix = mix.select("scenario", "date", "r", "rf", F.col("turnover").alias("sleeve")).persist()
+    bps = (1 - cfg.crypto_share) * 10.0 + cfg.crypto_share * 25.0
+    vc = strategies.vol_control(mix.withColumns({"target": F.lit(float(target)), "bps": F.lit(bps)}), ["scenario"], cfg.lookback, cfg.trading_days, cfg.max_leverage, cfg.rebalance, cfg.dead_band, cfg.vol_method, cfg.halflife)
+    rows = mix.select("scenario", F.lit("BuyHold").alias("strategy"), "date", "r", "rf", F.col("sleeve").alias("turnover"))
+    rows = rows.unionByName(vc.select("scenario", F.lit(f"VolControl_{target:g}").alias("strategy"), "date", "r", "rf", (F.col("turnover") + F.col("sleeve") * F.col("exposure")).alias("turnover")))
+    return metrics.summary(rows, ["scenario", "strategy"], cfg.trading_days, cfg.cvar_alpha, (F.sum("turnover").alias("turnover"),))
+
+
+def start_sensitivity(table: DataFrame) -> DataFrame:
+    """scenario, and Sharpe ratio, growth and drawdown of both strategies of compare_samples side by side, with their differences."""
+    of = lambda kind, c: F.max(F.when(F.col("strategy").startswith(kind), F.col(c)))
+    names = ("sharpe", "cagr", "max_drawdown")
+    wide = table.groupBy("scenario").agg(F.max("n").alias("n"), *[of(kind, c).alias(f"{short}_{c}") for short, kind in (("vc", "VolControl"), ("bh", "BuyHold")) for c in names])
+    return wide.withColumn("d_sharpe", F.col("vc_sharpe") - F.col("bh_sharpe")).withColumn("d_mdd", F.col("vc_max_drawdown") - F.col("bh_max_drawdown"))
