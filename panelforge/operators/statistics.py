@@ -65,7 +65,7 @@ def mann_kendall(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     out = pairs.groupBy(*of).agg(F.sum(F.when(F.col("__b") == 0, 1).otherwise(0)).alias("n"), F.sum("__s").cast("double").alias("s"))
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
-    return out.withColumn("tau", F.col("s") / (F.col("n") * (F.col("n") - 1) / 2.0)).withColumn("z", z).withColumn("p", two_sided_p("z"))
+    return out.withColumn("tau", F.when(F.col("n") > 1, F.col("s") / (F.col("n") * (F.col("n") - 1) / 2.0))).withColumn("z", z).withColumn("p", two_sided_p("z"))
 
 
 def hac_ols(points: DataFrame, keys: Sequence[str] = (), lags: int | None = None) -> DataFrame:

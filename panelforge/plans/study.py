@@ -43,7 +43,7 @@ def inputs(spark: SparkSession, sf_dir: str, grain: str = "weekly") -> Inputs:
 
 def of_sample(prices: DataFrame, spec: SampleSpec, rates: DataFrame, dim: DataFrame) -> tuple[Inputs, Builder | None]:
     """The panel of a sample, and the weights of its sleeve by share if members join as they list."""
-    kept = resolve(prices, spec, dim)
+    kept = resolve(prices, spec, dim).persist()
     returns = simple_returns(kept).persist()
     found = Inputs(returns, rates, dim, as_of(returns.select("date").distinct(), rates, "rf_annual").persist())
     if not spec.point_in_time:
@@ -74,7 +74,7 @@ def base(study: Inputs, cfg: Config, shares: list[float] | None = None, pit: Bui
     if pit is None:
         mix = strategies.periodic_mix(study.returns, strategies.class_weights(study.dim, wanted), study.dim, cfg.weight_rebalance, ["share"])
     else:
-        weights = pit(wanted)
+        weights = pit(wanted).persist()
         path = strategies.together(weights.join(study.returns, ["date", "asset"], "left"), ["share"])
         mix = strategies.with_turnover(path, study.dim, ["share"]).withColumnRenamed("r", "gross").withColumn("r", F.col("gross") - F.col("cost"))
         mix = mix.join(sleeve_cost(weights).select("share", "date", F.col("cost").alias("sleeve_cost")), ["share", "date"])

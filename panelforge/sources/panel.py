@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date as Date
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,11 @@ def rf_fixings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.where((F.col("o_orderdate") >= F.lit("1995-02-01").cast("timestamp")) & (F.dayofmonth(day) <= 7)).groupBy(day.alias("date")).agg(((_mean_of_cents("o_totalprice") - 250000) / 2e6).alias("rf_annual"))
 
 
+def universe(spark: SparkSession, assets: tuple = ASSETS) -> DataFrame:
+    """asset, asset_class and whether a study takes it unasked."""
+    return constants(spark, [(a, kind, True) for a, kind, *_ in assets], "asset string, asset_class string, is_default boolean")
+
+
 def asset_dim(spark: SparkSession, assets: tuple = ASSETS) -> DataFrame:
     return constants(spark, list(assets), "asset string, asset_class string, base_weight double, cost_bps double")
 
@@ -76,18 +81,38 @@ def rate_summary(rates: DataFrame) -> DataFrame:
     return rates.agg(F.count(r).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg(r).alias("mean"), F.min(r).alias("lowest"), F.max(r).alias("highest"), F.avg(F.when(r < 0, 1.0).otherwise(0.0)).alias("share_negative"))
 
 
-def synthetic_prices(spark: SparkSession, n_days: int = 600, seed: int = 7, start: str = "2014-01-01", assets: tuple = ASSETS) -> DataFrame:
-    """Geometric random walks with a common factor, on business days; later assets list later."""
-    rng = np.random.default_rng(seed)
-    days = pd.bdate_range(start, periods=n_days)
-    factor = rng.normal(0, 0.01, n_days)
-    parts = []
-    for i, (asset, kind, *_) in enumerate(assets):
-        vol, load = (0.008, 0.5) if kind == "traditional" else (0.04, 0.3)
-        path = 100 * np.exp(np.cumsum(load * factor + rng.normal(0.0003, vol, n_days)))
-        late = 0 if kind == "traditional" else 40 * (i - 3)
-        parts.append(pd.DataFrame({"date": days[late:].date, "asset": asset, "price": path[late:]}))
-    return spark.createDataFrame(pd.concat(parts), PRICES)
+#: Fixed values of the synthetic panel: asset, drift and volatility a year, first listed business day.
+SYNTHETIC = (
+    ("MSCI_World", 0.08, 0.16, 0),
+    ("Global_Bonds", 0.02, 0.05, 0),
+    ("Gold", 0.05, 0.13, 0),
+    ("Bitcoin", 0.40, 0.75, 0),
+    ("Ethereum", 0.45, 0.90, 400),
+    ("XRP", 0.20, 1.00, 0),
+    ("BNB", 0.50, 0.95, 900),
+    ("Solana", 0.60, 1.10, 1600),
+)
+
+
+def _normal(*of: Column) -> Column:
+    """A standard normal number by hashes of the columns (Box and Muller)."""
+    u = lambda kind: (F.shiftrightunsigned(F.xxhash64(F.lit(kind), *of), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * math.pi * u("b"))
+
+
+def synthetic_prices(spark: SparkSession, n_days: int = 3000, seed: int = 7, start: str = "2014-01-01", assets: tuple = SYNTHETIC) -> DataFrame:
+    """Geometric random walks with a common factor on business days, from 100; later assets have no price before they list.
+
+    Every number is a hash of seed, asset and day, so the panel doesn't depend on how it is partitioned.
+    """
+    whole = spark.range(n_days + 2 * (n_days // 5 + 2)).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("date"))
+    days = whole.where(F.weekday("date") < 5).withColumn("day", F.row_number().over(Window.orderBy("date")) - 1).where(F.col("day") < n_days)
+    dim = constants(spark, [(a, float(mu), float(vol), late, 0.9 if a == "MSCI_World" else 0.5 if vol < 0.2 else 0.3) for a, mu, vol, late in assets], "asset string, mu double, vol double, late int, beta double")
+    market, own = _normal(F.lit(seed), F.lit("market"), F.col("day")), _normal(F.lit(seed), F.col("asset"), F.col("day"))
+    step = F.col("mu") / 252 + F.col("vol") / math.sqrt(252) * (F.col("beta") * market + F.sqrt(1 - F.col("beta") ** 2) * own)
+    path = Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    grown = days.crossJoin(F.broadcast(dim)).withColumn("step", step).withColumn("price", 100 * F.exp(F.sum("step").over(path)))
+    return grown.where("day >= late").select("date", "asset", "price")
 
 
 def panel_slice(prices: DataFrame, assets: list[str] | None = None, start: str | Date | None = None, end: str | Date | None = None) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import os
 import platform
 import subprocess
 import sys
+from importlib.metadata import version
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a workbook sheet may hold.
 MAX_SHEET_ROWS = 1_000_000
+#: And an exhibit.
+MAX_EXHIBIT_ROWS = 10_000
 
 
 def write_wide(prices: DataFrame, path: str, assets: list[str], run_hash: str) -> str:
@@ -26,18 +32,85 @@ def german(x: Column, digits: int = 2) -> Column:
     return F.translate(F.format_number(x, digits), ".,", ",.")
 
 
-def write_exhibit(table: DataFrame, path: str, digits: int = 2) -> None:
-    """A table with semicolons and German numbers."""
+def exhibit_rows(table: DataFrame, order: list[str], digits: int = 2) -> tuple[list[str], list[list[str]]]:
+    """Header and cells of a table as text, German numbers; MAX_EXHIBIT_ROWS at most."""
+    shown = [german(F.col(c), digits) if t in ("double", "float") else F.col(c).cast("string") for c, t in table.dtypes]
+    cells = [F.coalesce(x, F.lit("\u2014")).alias(c) for c, x in zip(table.columns, shown, strict=True)]
+    rows = table.orderBy(*order).select(*cells).limit(MAX_EXHIBIT_ROWS + 1).collect()
+    if len(rows) > MAX_EXHIBIT_ROWS:
+        raise ValueError(f"an exhibit has at most {MAX_EXHIBIT_ROWS} rows; write_table takes larger tables")
+    return table.columns, [list(r) for r in rows]
+
+
+def write_table(table: DataFrame, path: str, digits: int = 2) -> None:
+    """A table of any size with semicolons and German numbers, one file a task."""
     shown = [german(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes]
-    table.select(*shown).coalesce(1).write.mode("overwrite").csv(path, header=True, sep=";")
+    table.select(*shown).write.mode("overwrite").csv(path, header=True, sep=";")
+
+
+def write_exhibit(table: DataFrame, folder: str, ident: str, title: str, order: list[str], run_hash: str, scenario: str = "S1", source: str = "", note: str = "", digits: int = 2, chapter: str = "") -> dict[str, str]:
+    """A small table as <ident>_<hash>.csv (semicolons, byte order mark, comment lines before the header) and as aligned .txt;
+    returns its entry in the register."""
+    header, rows = exhibit_rows(table, order, digits)
+    base, about = f"{ident}_{run_hash}", f"scenario {scenario} | run {run_hash} | source {source}"
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{base}.csv", "w", newline="", encoding="utf-8-sig") as f:
+        out = csv.writer(f, delimiter=";")
+        out.writerows([[f"# {line}"] for line in (f"{ident}: {title}", about, note) if line])
+        out.writerows([header, *rows])
+    widths = [max(map(len, column)) for column in zip(header, *rows, strict=True)]
+    aligned = [" | ".join(c.rjust(w) if i else c.ljust(w) for i, (c, w) in enumerate(zip(r, widths, strict=True))) for r in [header, *rows]]
+    lines = [f"{ident}: {title}", about, "", aligned[0], "=" * len(aligned[0]), *aligned[1:], *(["", note] if note else [])]
+    with open(f"{folder}/{base}.txt", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+    return {"exhibit": ident, "kind": "table", "chapter": chapter, "scenario": scenario, "source": source, "run_hash": run_hash, "files": f"{base}.csv, {base}.txt", "title": title}
+
+
+def write_register(spark: SparkSession, entries: list[dict[str, str]], path: str) -> DataFrame:
+    """The register of exhibits in the order of chapters, as one CSV file; returns it."""
+    found = register(spark.createDataFrame(entries, ", ".join(f"{k} string" for k in entries[0])))
+    found.coalesce(1).write.mode("overwrite").csv(path, header=True, sep=";")
+    return found
+
+
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """A value without NaN and infinities, which become null, at any depth of structs and arrays."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[json_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
 
 
 def write_archive(records: DataFrame, path: str) -> None:
     """JSON lines, a folder a record; NaN and infinite values are null."""
-    clean = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in records.dtypes]
+    clean = [json_safe(F.col(f.name), f.dataType).alias(f.name) for f in records.schema.fields]
     records.select(*clean).write.mode("overwrite").partitionBy("record").json(path)
 
 
+def write_index(spark: SparkSession, path: str, entries: list[dict], environment: dict[str, str]) -> None:
+    """INDEX.md of an archive: what made it, and record, dates, hashes and run time of each of its records."""
+    columns = ["record", "n", "dataset_hash", "run_hash", "runtime_seconds"]
+    lines = ["# Archive", "", *[f"- {k}: {v}" for k, v in environment.items()], "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    lines += ["| " + " | ".join(str(e.get(c, "")) for c in columns) + " |" for e in entries]
+    with open(f"{path}/INDEX.md", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def write_inference(key: str, scenario: str, result: DataFrame, path: str) -> None:
+    """A precomputed report under its analysis key; a key that is there is replaced."""
+    keyed = result.select(F.lit(scenario).alias("scenario"), *result.columns, F.lit(key).alias("key"))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(path)
+
+
+def read_inference(spark: SparkSession, key: str, path: str) -> DataFrame | None:
+    """The report of that key, or None: what was computed under other settings is never served."""
+    found = spark.read.parquet(path).where(F.col("key") == key)
+    return None if found.isEmpty() else found.drop("key")
+
+
 def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -64,15 +137,49 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
             rows.to_excel(book, sheet_name=name, index=False)
 
 
+def workbook_sheets(study, cfg, target: float) -> dict[str, DataFrame]:
+    """The sheets of a study's workbook as tables; values only, without formulas."""
+    from ..operators import metrics, strategies
+    from ..plans import hypotheses
+    from ..plans import study as plans
+
+    spark = study.returns.sparkSession
+    rows = plans.run_strategies(study, cfg)
+    weights = strategies.class_weights(study.dim, plans.shares_of(spark, [cfg.crypto_share]))
+    controlled = plans.controlled(study, cfg)
+    info = [(k, str(v)) for k, v in {**provenance(spark), **vars(cfg)}.items()]
+    names = [r.asset for r in study.dim.select("asset").orderBy("asset").collect()]
+    return {
+        "Info": spark.createDataFrame(info, "setting string, value string"),
+        "Returns": study.returns.groupBy("date").pivot("asset", names).agg(F.first("r")).orderBy("date"),
+        "Rates": plans.rate_series(study, cfg).orderBy("date"),
+        "Weights": weights,
+        "WeightPath": strategies.held_weights(study.returns, weights.drop("share"), cfg.weight_rebalance).groupBy("date").pivot("asset", names).agg(F.first("w")).orderBy("date"),
+        "Portfolio": rows.orderBy("strategy", "date"),
+        "Metrics": plans.metrics_table(rows, cfg),
+        "Descriptive": metrics.tail_marks(study.returns, ["asset"], cfg.cvar_alpha),
+        "Sweep": plans.crypto_sweep(study, cfg, target).orderBy("share"),
+        "Regimes": plans.subperiods(rows, study, cfg),
+        "WalkForward": plans.walk_forward(controlled, cfg)[0],
+        "Hypotheses": hypotheses.report(study, cfg, target),
+    }
+
+
+_captured: dict[str, str] = {}
+
+
 def provenance(spark: SparkSession) -> dict[str, str]:
-    """Interpreter, platform, Spark and source revision."""
-    git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True).stdout.strip()
+    """Interpreter, platform, libraries, Spark, and the library's source revision, taken once before anything is written."""
+    if not _captured:
+        here = os.path.dirname(os.path.abspath(__file__))
+        git = lambda *a: subprocess.run(["git", "-C", here, *a], capture_output=True, text=True).stdout.strip()
+        _captured.update(commit=git("rev-parse", "HEAD"), dirty=str(bool(git("status", "--porcelain"))).lower())
     return {
         "python": sys.version.split()[0],
         "platform": platform.platform(),
+        **{name: version(name) for name in ("numpy", "pandas", "pyarrow", "pyspark")},
         "spark": spark.version,
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "adaptive": spark.conf.get("spark.sql.adaptive.enabled"),
-        "commit": git("rev-parse", "HEAD"),
-        "dirty": str(bool(git("status", "--porcelain"))).lower(),
+        **_captured,
     }

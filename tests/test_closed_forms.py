@@ -4,6 +4,7 @@ import datetime
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def test_wilcoxon_and_hac_against_numpy(spark):
 
 
 def test_bootstrap_repeats_and_covers(spark):
-    path = bootstrap.index_path(500, 20, np.random.default_rng(3))
+    path = bootstrap.index_paths(500, 20, 3, np.array([0]))[0]
     assert len(path) == 500 and path.min() >= 0 and path.max() < 500
     assert abs((np.diff(path) % 500 == 1).mean() - 0.95) < 0.05
     points = spark.createDataFrame([(i / 40, 0.3 * i / 40 + 0.001) for i in range(21)], "x double, y double")
@@ -113,3 +114,40 @@ def test_settings_are_checked():
     with pytest.raises(ValueError):
         Config().target(0.2)
     assert Config().run_hash() != Config(crypto_share=0.2).run_hash()
+
+
+def test_hac_sums_every_lag_of_long_series(spark):
+    """17 lags at 90 000 points, against numpy."""
+    rng = np.random.default_rng(1)
+    n = 90_000
+    noise = np.convolve(rng.normal(size=n + 20), np.ones(20) / 20, "valid")[:n]
+    x = np.arange(n, dtype=float)
+    y = 1e-6 * x + noise
+    points = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = statistics.hac_ols(points).first()
+    slope, intercept = np.polyfit(x, y, 1)
+    u = (x - x.mean()) * (y - intercept - slope * x)
+    lags = round(n**0.25)
+    total = u @ u + 2 * sum((1 - k / (lags + 1)) * (u[k:] @ u[:-k]) for k in range(1, lags + 1))
+    assert lags == 17 and math.isclose(got.se, math.sqrt(total) / ((x - x.mean()) ** 2).sum(), rel_tol=1e-6)
+
+
+def test_trend_counts_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    series = {"ties": rng.integers(0, 4, 60), "real": rng.normal(size=75), "equal": np.ones(12), "one": np.array([3.0]), "down": -np.arange(33.0)}
+    points = spark.createDataFrame([(k, float(i), float(v)) for k, values in series.items() for i, v in enumerate(values)], "k string, x double, y double")
+    for r in statistics.mann_kendall(points, ["k"]).collect():
+        v = series[r.k]
+        assert (r.n, r.s) == (len(v), sum(np.sign(v[j] - v[i]) for i in range(len(v)) for j in range(i + 1, len(v))))
+
+
+def test_assets_are_described_on_their_own_calendars(spark):
+    """Daily crypto and business days: each is annualised by its own rows a year, held to 200 to 366."""
+    day = datetime.date(2020, 1, 1)
+    rows = [(day + datetime.timedelta(days=i), "every", 100.0 + i % 7) for i in range(800)]
+    rows += [(day + datetime.timedelta(days=i), "week", 100.0 + i % 5) for i in range(0, 800, 7)]
+    got = {r.asset: r for r in metrics.describe_assets(spark.createDataFrame(rows, "date date, asset string, price double"), 0.03).collect()}
+    assert got["every"].trading_days == 365 and got["week"].trading_days == 200
+    r = np.array([p for _, a, p in rows if a == "every"])
+    r = r[1:] / r[:-1] - 1
+    assert math.isclose(got["every"].sharpe, (r.mean() - 0.03 / 365) / r.std(ddof=1) * math.sqrt(365))
