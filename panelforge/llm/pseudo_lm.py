@@ -16,9 +16,10 @@ parameters on one in EVERY of its positions, and the shards' parameters are aver
 shards. The rounds take each position once, so every position of every document is a target. A document's score is the sum
 of its tokens' log-probabilities.
 
-How it scales: tokens are written once, two bytes each and eight more for a word beyond the HEAD most frequent, and
-dealt once a round; the network is 1.1 MB however large the corpus, parameters of shards stream through two levels of sums
-in constant memory, and their number grows with the root of the corpus. A shard streams, so its size needs no memory. Word
+How it scales: tokens are written once, two bytes each and eight more for a word beyond the HEAD most frequent, and once more
+as shards; rounds read them where they are. The network is 1.1 MB however large the corpus, parameters of shards stream
+through two levels of sums in constant memory, and their number grows with the root of the corpus until a shard is a
+row of 64 MB. Word
 counts are a table that grows with the corpus: its HEAD is broadcast, all other words are joined, so no frequent
 word is a key of the join.
 
@@ -40,9 +41,11 @@ from .common import text_steps, word_hashes, written
 
 VOCABULARY_BITS, CLASSES, WIDTH, REACH = 14, 64, 16, 2
 VOCABULARY = 1 << VOCABULARY_BITS
-EVERY, STEP, RATE = 4, 1024, 0.1
+EVERY, STEP, RATE = 2, 1024, 0.1
 #: Of a corpus of one shard; larger ones have a root's share of it more shards and of longer ones.
 TOKENS_A_SHARD = 4000
+#: A shard is a row of two bytes a token, so it has no more tokens than this.
+TOKENS_A_ROW = 1 << 25
 #: Most frequent words, whose shares are broadcast.
 HEAD = 1 << 16
 _PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
@@ -112,6 +115,15 @@ def tokens(docs: DataFrame, head: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, own double, tail array<long>")
 
 
+def stretches(off: np.ndarray, limit: int = 1 << 17):
+    """(first, end) of runs of whole documents, about limit tokens each, by their offsets."""
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def token_steps(column: pa.Array, limit: int = 1 << 17):
     """(first row, ids, offsets) of runs of whole documents, about limit tokens each."""
     column = column.cast(pa.large_binary())
@@ -119,11 +131,8 @@ def token_steps(column: pa.Array, limit: int = 1 << 17):
     data = column.buffers()[2] if len(column) else None
     ids = np.frombuffer(data, np.uint16) if data is not None and data.size else np.zeros(0, np.uint16)
     off = off // 2
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+    for lo, hi in stretches(off, limit):
         yield lo, ids[off[lo] : off[hi]].astype(np.int64), off[lo : hi + 1] - off[lo]
-        lo = hi
 
 
 def frequencies(tokenised: DataFrame) -> np.ndarray:
@@ -244,22 +253,30 @@ class Trainer:
 
     def step(self, context: np.ndarray, wanted: np.ndarray) -> None:
         net, n = self.net, len(wanted)
-        h = net.hidden(context)
-        p = np.exp(net.log_class(h))
-        p[np.arange(n), wanted] -= 1
-        p /= n
+        around = net.embedding[context]
+        h = net.bias + around[:, 0] * net.places[0]
+        for j in range(1, len(_PLACES)):
+            h += around[:, j] * net.places[j]
+        np.tanh(h, out=h)
+        p = h @ net.out
+        p += net.out_bias
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (np.float32(1 / n) / p.sum(axis=1))[:, None]
+        p[np.arange(n), wanted] -= np.float32(1 / n)
         back = (p @ net.out.T) * (1 - h * h)
         self._move("out", h.T @ p)
         self._move("out_bias", p.sum(axis=0))
-        places = np.stack([(back * net.embedding[context[:, j]]).sum(axis=0) for j in range(len(_PLACES))])
-        each = (back[:, None, :] * net.places[None]).reshape(-1, WIDTH)
-        order = np.argsort(context.ravel(), kind="stable")
-        sorted_ = context.ravel()[order]
-        begins = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        used = sorted_[begins]
-        grad = np.add.reduceat(each[order], begins, axis=0)
-        self.sums["embedding"][used] += grad**2
-        net.embedding[used] -= RATE * grad / np.sqrt(self.sums["embedding"][used])
+        places = np.stack([(back * around[:, j]).sum(axis=0) for j in range(len(_PLACES))])
+        flat = context.astype(np.uint16).ravel()  # sorts by radix
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        begins = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        used = flat[begins].astype(np.int64)
+        grad = np.add.reduceat((back[:, None, :] * net.places[None]).reshape(-1, WIDTH)[order], begins, axis=0)
+        seen = self.sums["embedding"][used] + grad * grad
+        self.sums["embedding"][used] = seen
+        net.embedding[used] -= RATE * grad / np.sqrt(seen)
         self._move("places", places)
         self._move("bias", back.sum(axis=0))
         self.seen += n
@@ -275,12 +292,39 @@ def masked_at(ids: np.ndarray, off: np.ndarray, turn: int, every: int = EVERY) -
     return np.flatnonzero((at + ids * 5) % every == turn)
 
 
+def shards_of(tokens: int) -> int:
+    """About the root of the corpus's size, and no shard over TOKENS_A_ROW."""
+    return max(int(np.ceil(np.sqrt(tokens / TOKENS_A_SHARD))), -(-tokens // TOKENS_A_ROW))
+
+
 def sharded(tokenised: DataFrame, shards: int) -> DataFrame:
-    """shard, ids: every document, copies of a text by number, each shard whole in one partition and in the order of hashes."""
+    """shard, ids, ends: a row for each shard: its documents' ids one after the other, in the order of hashes, and where each ends.
+
+    Copies of a text are numbered and dealt like other texts, so no shard gets more than its part of them.
+    """
     copies = tokenised.where(F.length("ids") > 0).groupBy(F.xxhash64("ids").alias("a"), F.xxhash64(F.lit("second"), "ids").alias("b")).agg(F.first("ids").alias("ids"), F.count("*").alias("n"))
     each = copies.select("a", "b", "ids", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
     dealt = each.select(F.pmod(F.xxhash64("a", "b", "copy"), F.lit(shards)).cast("int").alias("shard"), "a", "b", "copy", "ids")
-    return dealt.repartition(min(shards, max(200, tokenised.sparkSession.sparkContext.defaultParallelism)), "shard").sortWithinPartitions("shard", "a", "b", "copy").select("shard", "ids")
+    in_order = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "a", "b", "copy").select("shard", "ids")
+
+    def pack(batches):
+        now, ids, ends = None, [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([b"".join(ids)], pa.binary()), pa.array([np.cumsum(ends, dtype=np.int64).tobytes()], pa.binary())], names=["shard", "ids", "ends"])
+
+        for shard, batch in _runs(batches):
+            if shard != now:
+                if ids:
+                    yield out()
+                now, ids, ends = shard, [], []
+            for text in batch.column(1):
+                ids.append(text.as_buffer().to_pybytes())
+                ends.append(len(ids[-1]) // 2)
+        if ids:
+            yield out()
+
+    return in_order.mapInArrow(pack, "shard int, ids binary, ends binary")
 
 
 def _runs(batches, key: int = 0):
@@ -299,7 +343,8 @@ def trained(tokenised: DataFrame) -> Network:
     net = Network.fresh(counts)
     if not counts.sum():
         return net
-    shards = int(np.ceil(np.sqrt(counts.sum() / TOKENS_A_SHARD)))
+    shards = shards_of(int(counts.sum()))
+    lessons = written(sharded(tokenised, shards))
     streams, every = int(np.ceil(np.sqrt(shards))), EVERY
     for turn in range(every):
         common = sc.broadcast(net)
@@ -307,21 +352,16 @@ def trained(tokenised: DataFrame) -> Network:
         def learn(batches, common=common, turn=turn):
             from copy import deepcopy
 
-            def out(shard, trainer):
-                flat = trainer.done().flat().astype(np.float32).tobytes()
-                return pa.RecordBatch.from_arrays([pa.array([shard % streams], pa.int32()), pa.array([shard], pa.int32()), pa.array([trainer.seen]), pa.array([flat], pa.binary())], names=["stream", "part", "n", "flat"])
-
-            now, trainer = None, None
-            for shard, batch in _runs(batches):
-                if shard != now:
-                    if trainer:
-                        yield out(now, trainer)
-                    now, trainer = shard, Trainer(deepcopy(common.value))
-                for _, ids, off in token_steps(batch.column(1)):
-                    at = masked_at(ids, off, turn, every)
-                    trainer.take(contexts(ids, off, at), trainer.net.class_of[ids[at]])
-            if trainer:
-                yield out(now, trainer)
+            for batch in batches:
+                for shard, ids, ends in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    ids, off = np.frombuffer(ids.as_buffer(), np.uint16), np.append(0, np.frombuffer(ends.as_buffer(), np.int64))
+                    trainer = Trainer(deepcopy(common.value))
+                    for lo, hi in stretches(off):
+                        own, at = ids[off[lo] : off[hi]].astype(np.int64), off[lo : hi + 1] - off[lo]
+                        masked = masked_at(own, at, turn, every)
+                        trainer.take(contexts(own, at, masked), trainer.net.class_of[own[masked]])
+                    flat = trainer.done().flat().astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([shard % streams], pa.int32()), pa.array([shard], pa.int32()), pa.array([trainer.seen]), pa.array([flat], pa.binary())], names=["stream", "part", "n", "flat"])
 
         def add(batches):
             """One weighted mean for each stream, its parts in order."""
@@ -341,7 +381,7 @@ def trained(tokenised: DataFrame) -> Network:
                 yield out()
 
         form = "stream int, part int, n long, flat binary"
-        learnt = sharded(tokenised, shards).mapInArrow(learn, form)
+        learnt = lessons.mapInArrow(learn, form)
         for width in (streams, 1):
             learnt = learnt.repartition(width, "stream").sortWithinPartitions("stream", "part").mapInArrow(add, form)
         net.load(np.frombuffer(learnt.collect()[0].flat, np.float32).astype(np.float64))  # one row

@@ -74,8 +74,16 @@ def test_every_position_is_a_target_once(spark, monkeypatch):
 def test_shards_hold_every_copy(spark):
     texts = [[1, 2, 3]] * 50 + [[4], [5, 6]] + [[]] * 3
     got = pseudo_lm.sharded(table(spark, texts), 7).collect()
-    assert sorted(np.frombuffer(r.ids, np.uint16).tolist() for r in got) == sorted(t for t in texts if t)
-    assert len({r.shard for r in got if len(r.ids) == 6}) > 3
+    assert sorted(t for r in got for t in documents_of(r)) == sorted(t for t in texts if t)
+    assert len(got) == len({r.shard for r in got}) and sum([1, 2, 3] in documents_of(r) for r in got) > 3
+
+
+def documents_of(row):
+    return [x.tolist() for x in np.split(np.frombuffer(row.ids, np.uint16), np.frombuffer(row.ends, np.int64)[:-1])]
+
+
+def test_the_number_of_shards_grows_with_the_root():
+    assert [pseudo_lm.shards_of(n) for n in (1, 4000, 16001, 4 * 10**6, 10**12)] == [1, 1, 3, 32, 29803]
 
 
 def test_scores_do_not_depend_on_partitions(spark):
@@ -129,7 +137,7 @@ def test_a_round_against_plain_loops(spark, monkeypatch):
     assert shards > 1
     by = {}
     for r in pseudo_lm.sharded(tokenised, shards).collect():
-        by.setdefault(r.shard, []).append(np.frombuffer(r.ids, np.uint16).astype(int))
+        by[r.shard] = [np.array(t) for t in documents_of(r)]
     total, seen = 0.0, 0
     for docs in by.values():
         net = deepcopy(start)
