@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Defined cases, each as the stage's operator states them: null and empty texts are scored like others and, if kept, have no
+line, no benchmark item and size 0, and are one group of near copies, of which the least doc_id stays; rows without a doc_id
+stay only if no row of their group has one; of repeated rows and exact copies one stays; very long texts go through whole; ties go
+to the smaller doc_id; an empty table gives an empty result with the columns of the last stage, tables without labels keep every
+document (the score is 0.5), an empty benchmark drops none; further columns, of any name, are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 
