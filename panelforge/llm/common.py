@@ -63,12 +63,10 @@ def scratch(spark: SparkSession):
             system.delete(at, True)
 
 
-def fresh(name: str, *taken: str) -> str:
-    """A column name like `name` that none of the names taken equals, whatever their case."""
-    used = {t.lower() for t in taken}
-    while name.lower() in used:
-        name += "_"
-    return name
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """docs through mapInArrow by `run`, which keeps the columns; their names, which may hold dots, are set aside for it."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

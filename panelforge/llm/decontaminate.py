@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, mix, shingle_hashes, text_steps, word_hashes, written
+from .common import PLAIN, filtered, mix, shingle_hashes, text_steps, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Words of items that every task may hold; larger benchmarks are joined.
@@ -242,7 +242,7 @@ def stage(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             keep[[row for row, _, _ in search(batch.column(at), index.value, threshold)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, text_steps, word_hashes
+from .common import WORDS, filtered, text_steps, word_hashes
 
 BUCKETS = 4096
 MAX_LABELLED = 6000
@@ -229,4 +229,4 @@ def stage(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             n_chars = pa.nulls(len(batch), pa.float64()) if chars is None else batch.column(chars)
             yield batch.filter(pa.array(model.value.scores(batch.column(text), n_chars) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
