@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one numpy step takes; one longer text is a step of its own.
@@ -63,6 +64,25 @@ def scratch(spark: SparkSession):
             system.delete(at, True)
 
 
+#: A key is frequent if it holds over 4096 rows and over one in this many of all: no more keys than this can be.
+FREQUENT_KEYS = 100_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """many joined to one by key, where a key may hold a third of many's rows: frequent keys are dealt over `salts` tasks.
+
+    many is read three times, so it should be a written table or small.
+    """
+    least = max(4096, many.count() // FREQUENT_KEYS)
+    # a broadcast of FREQUENT_KEYS rows at most, by the definition of the bound
+    often = F.broadcast(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key, F.lit(True).alias("often")))
+    dealt = F.when(F.col("often"), F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(F.lit(0)).cast("long")
+    everywhere = F.when(F.col("often"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = many.join(often, key, "left").select(*many.columns, dealt.alias("salt"))
+    right = one.join(often, key, "left").select(*one.columns, F.explode(everywhere).alias("salt"))
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def filtered(docs: DataFrame, run) -> DataFrame:
     """docs through mapInArrow by `run`, which keeps the columns; their names, which may hold dots, are set aside for it."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -4,6 +4,7 @@ import re
 import xxhash
 
 from panelforge.llm import simhash
+from panelforge.llm.common import spread_join
 
 from .helpers import documents, tuples
 
@@ -61,12 +62,67 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000
 
 
+def least_of_near(rows, k=5, least=0.8):
+    """The least id of each group of texts that links of a Jaccard similarity of least or more connect, by all pairs."""
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in set(group))
+
+
+def mutated(count, seed):
+    """Copies of one text with one to twelve changed words: their similarities lie on both sides of the threshold."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(count):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 13)):
+            words[at] = f"new{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rows = corpus()
     df = documents(spark, [(i, t, "s") for i, t in rows])
     got = simhash.stage(df)
     assert got.columns == df.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted({g for _, _, g in union_find(rows)})
+    assert sorted(r.doc_id for r in got.collect()) == least_of_near(rows)
+
+
+def test_stage_links_a_group_of_near_copies(spark, monkeypatch):
+    rows = mutated(150, 6)
+    want = least_of_near(rows)
+    assert 2 < len(want) < 100
+    df = documents(spark, [(i, t, "s") for i, t in rows])
+    assert sorted(r.doc_id for r in simhash.stage(df).collect()) == want
+    monkeypatch.setattr(simhash, "BLOCK", 2000)
+    assert sorted(r.doc_id for r in simhash.stage(df).collect()) == want
+
+
+def test_signatures_follow_the_shingles(spark):
+    texts = [(0, "a b c d e f g"), (1, "A  b\tc d e f G"), (2, "a b c"), (3, "a b c d"), (4, None), (5, " "), (6, "x " * 5000)]
+    got = {r.rid: r for r in simhash.signatures(spark.createDataFrame(texts, "rid long, text string")).collect()}
+    same = lambda i: (got[i].same_a, got[i].same_b, got[i].bands)
+    assert same(0) == same(1) and same(2) != same(3) and same(4) == same(5) and got[4].bands == []
+    assert len(set(got[0].bands)) == simhash.BANDS and len(got[6].least) == simhash.BANDS * simhash.BAND_ROWS
+
+
+def test_frequent_keys_join_whole(spark):
+    many = spark.range(30000).selectExpr("case when id % 3 < 2 then 7 else id end as k", "id as v").cache()
+    one = spark.range(30000).selectExpr("id as k", "id * 2 as w")
+    got = spread_join(many, one, "k")
+    assert got.count() == 30000 and got.where("w <> k * 2").count() == 0 and sorted(got.columns) == ["k", "v", "w"]
 
 
 def test_stage_keeps_columns_of_any_name(spark):
