@@ -80,13 +80,13 @@ def least_of_near(rows, k=5, least=0.8):
 
 
 def mutated(count, seed):
-    """Copies of one text with one to twelve changed words: their similarities lie on both sides of the threshold."""
+    """Copies of one text with one to six changed words: their similarities lie on both sides of the threshold."""
     rng = random.Random(seed)
     base = [f"b{rng.randrange(400)}" for _ in range(150)]
     rows = []
     for i in range(count):
         words = list(base)
-        for at in rng.sample(range(150), rng.randrange(1, 13)):
+        for at in rng.sample(range(150), rng.randrange(1, 7)):
             words[at] = f"new{rng.randrange(30)}"
         rows.append((i, " ".join(words)))
     return rows
