@@ -53,15 +53,17 @@ def _located(spark: SparkSession, path: str):
 
 
 @contextmanager
-def scratch(spark: SparkSession):
-    """Tables that operators write within the block go at its end: a long-lived driver wraps each job whose result it saves."""
+def scratch(spark: SparkSession, keep_last: bool = False):
+    """With keep_last, the table written last stays. Tables that operators write within the block go at its end: a long-lived driver wraps each job whose result it saves."""
     before = len(_tables)
     try:
         yield
     finally:
+        kept = [_tables.pop()] if keep_last and len(_tables) > before else []
         while len(_tables) > before:
             at, system = _located(spark, _tables.pop())
             system.delete(at, True)
+        _tables.extend(kept)
 
 
 #: A key is frequent if it holds over 4096 rows and over one in this many of all: no more keys than this can be.

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, spread_join, text_steps, word_hashes, written
+from .common import mix, scratch, shingle_hashes, spread_join, text_steps, word_hashes, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: The rule of the stage.
@@ -212,10 +212,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.select("a", "b"))
-    one = written(spread_join(pairs, texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b"))
-    two = spread_join(one, texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    with scratch(texts.sparkSession, keep_last=True):
+        pairs = written(pairs.select("a", "b"))
+        one = written(spread_join(pairs, texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b"))
+        two = spread_join(one, texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
+        return written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _apart(dealt: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -281,14 +282,14 @@ def near_pairs(texts: DataFrame, marks: DataFrame, k: int = STAGE_SHINGLE, least
 
     first = grid.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")).unionByName(same_fp)
     first = first.unionByName(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    linked = written(_verified(first, texts, k, least))
+    linked = _verified(first, texts, k, least)
 
     # what meets in a band and is not connected yet: first with the bands' hubs, then each with each
     reached = written(components(linked))
     sides = met.select("a", "b")
     for side in ("a", "b"):
         sides = sides.join(reached.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-    linked = linked.unionByName(written(_verified(sides.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), texts, k, least)))
+    linked = linked.unionByName(_verified(sides.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), texts, k, least))
     reached = components(linked).withColumnRenamed("node", "rid")
     dealt = written(rows.join(reached, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("of")))
     return linked.unionByName(written(_apart(dealt, texts, k, least)))
