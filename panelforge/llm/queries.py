@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, line_dedup, mixing, pseudo_lm, quality_fm, simhash, toxicity, url_cascade
+from . import ann, cosine_dedup, decontaminate, license_scan, line_dedup, mixing, pseudo_lm, quality_fm, simhash, source_divergence, spelling, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_hyperplane_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_dedup.groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_int8_block_join,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_kneser_ney_toxicity,
         op9_url_cascade,
         op10_benchmark_containment,
+        op11_hyperplane_groups,
+        op12_source_divergence,
+        op13_errata_trie,
     )
     return {f.__name__: f for f in every}
 
@@ -78,4 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mixing": mixing.SQL,
         "op9_url_cascade": url_cascade.SQL,
         "op10_benchmark_containment": decontaminate.SQL,
+        "op11_hyperplane_groups": cosine_dedup.SQL,
+        "op12_source_divergence": source_divergence.SQL,
+        "op13_errata_trie": spelling.SQL,
     }
