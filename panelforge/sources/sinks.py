@@ -1,8 +1,7 @@
-"""Sinks: wide CSV, exhibit tables, archives by record, workbooks of small tables, and where a result came from."""
+"""Sinks: wide CSV, large tables, archives by record, workbooks of small tables, and where a result came from."""
 
 from __future__ import annotations
 
-import csv
 import os
 import platform
 import subprocess
@@ -13,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exhibits import _fixed, german, write_lines
+
 #: Rows that a workbook sheet may hold.
 MAX_SHEET_ROWS = 1_000_000
-#: And an exhibit.
-MAX_EXHIBIT_ROWS = 10_000
 
 
 def write_wide(prices: DataFrame, path: str, assets: list[str], run_hash: str) -> str:
@@ -27,52 +26,12 @@ def write_wide(prices: DataFrame, path: str, assets: list[str], run_hash: str) -
     return target
 
 
-def german(x: Column, digits: int = 2) -> Column:
-    """1234.5 as 1.234,50."""
-    return F.translate(F.format_number(x, digits), ".,", ",.")
-
-
-def exhibit_rows(table: DataFrame, order: list[str], digits: int = 2) -> tuple[list[str], list[list[str]]]:
-    """Header and cells of a table as text, German numbers; MAX_EXHIBIT_ROWS at most."""
-    shown = [german(F.col(c), digits) if t in ("double", "float") else F.col(c).cast("string") for c, t in table.dtypes]
-    cells = [F.coalesce(x, F.lit("\u2014")).alias(c) for c, x in zip(table.columns, shown, strict=True)]
-    rows = table.orderBy(*order).select(*cells).limit(MAX_EXHIBIT_ROWS + 1).collect()
-    if len(rows) > MAX_EXHIBIT_ROWS:
-        raise ValueError(f"an exhibit has at most {MAX_EXHIBIT_ROWS} rows; write_table takes larger tables")
-    return table.columns, [list(r) for r in rows]
-
-
 def write_table(table: DataFrame, path: str, digits: int = 2) -> None:
     """A table of any size with semicolons and German numbers, one file a task."""
     shown = [german(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes]
     table.select(*shown).write.mode("overwrite").csv(path, header=True, sep=";")
 
 
-def write_exhibit(table: DataFrame, folder: str, ident: str, title: str, order: list[str], run_hash: str, scenario: str = "S1", source: str = "", note: str = "", digits: int = 2, chapter: str = "") -> dict[str, str]:
-    """A small table as <ident>_<hash>.csv (semicolons, byte order mark, comment lines before the header) and as aligned .txt;
-    returns its entry in the register."""
-    header, rows = exhibit_rows(table, order, digits)
-    base, about = f"{ident}_{run_hash}", f"scenario {scenario} | run {run_hash} | source {source}"
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/{base}.csv", "w", newline="", encoding="utf-8-sig") as f:
-        out = csv.writer(f, delimiter=";")
-        out.writerows([[f"# {line}"] for line in (f"{ident}: {title}", about, note) if line])
-        out.writerows([header, *rows])
-    widths = [max(map(len, column)) for column in zip(header, *rows, strict=True)]
-    aligned = [" | ".join(c.rjust(w) if i else c.ljust(w) for i, (c, w) in enumerate(zip(r, widths, strict=True))) for r in [header, *rows]]
-    lines = [f"{ident}: {title}", about, "", aligned[0], "=" * len(aligned[0]), *aligned[1:], *(["", note] if note else [])]
-    with open(f"{folder}/{base}.txt", "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
-    return {"exhibit": ident, "kind": "table", "chapter": chapter, "scenario": scenario, "source": source, "run_hash": run_hash, "files": f"{base}.csv, {base}.txt", "title": title}
-
-
-def write_register(spark: SparkSession, entries: list[dict[str, str]], path: str) -> DataFrame:
-    """The register of exhibits in the order of chapters, as one CSV file; returns it."""
-    found = register(spark.createDataFrame(entries, ", ".join(f"{k} string" for k in entries[0])))
-    found.coalesce(1).write.mode("overwrite").csv(path, header=True, sep=";")
-    return found
-
-
 def json_safe(value: Column, kind: T.DataType) -> Column:
     """A value without NaN and infinities, which become null, at any depth of structs and arrays."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -95,8 +54,7 @@ def write_index(spark: SparkSession, path: str, entries: list[dict], environment
     columns = ["record", "n", "dataset_hash", "run_hash", "runtime_seconds"]
     lines = ["# Archive", "", *[f"- {k}: {v}" for k, v in environment.items()], "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     lines += ["| " + " | ".join(str(e.get(c, "")) for c in columns) + " |" for e in entries]
-    with open(f"{path}/INDEX.md", "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+    write_lines(_fixed(spark, 0, lines), f"{path}/INDEX.md")
 
 
 def write_inference(key: str, scenario: str, result: DataFrame, path: str) -> None:
@@ -115,11 +73,6 @@ def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def register(exhibits: DataFrame) -> DataFrame:
-    """The exhibits in the order of chapters."""
-    return exhibits.orderBy("chapter", "exhibit")
-
-
 def write_rates(rates: DataFrame, path: str) -> None:
     """date and rate with eight digits."""
     rates.select("date", F.format_string("%.8f", "rf_annual").alias("rf_annual")).orderBy("date").coalesce(1).write.mode("overwrite").csv(path, header=True)

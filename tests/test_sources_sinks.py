@@ -11,7 +11,7 @@ from panelforge.config import Config
 from panelforge.operators import metrics
 from panelforge.plans import hypotheses, request, sample, study
 from panelforge.plans.request import Request
-from panelforge.sources import panel, sinks
+from panelforge.sources import exhibits, panel, sinks
 
 D = datetime.date
 CFG = replace(Config(), bootstrap_n=60, sweep_bootstrap_n=40)
@@ -117,15 +117,25 @@ def test_wide_and_rate_files(spark, tmp_path):
 
 
 def test_exhibits_and_their_register(spark, tmp_path):
-    table = spark.createDataFrame([("b", 1234.5, 7), ("a", None, 8)], "name string, x double, n long")
-    entry = sinks.write_exhibit(table, str(tmp_path), "tab_1", "Numbers", ["name"], "cafe", note="a note", chapter="4")
+    table = spark.createDataFrame([("b", 1234.5, 7), ("a", None, 8), ('say "x;y"', -0.125, 9)], "name string, x double, n long")
+    entry = exhibits.write_exhibit(table, f"file://{tmp_path}", "tab_1", "Numbers", ["name"], "cafe", note="a note", chapter="4")
     raw = (tmp_path / "tab_1_cafe.csv").read_bytes()
-    assert raw.startswith(b"\xef\xbb\xbf# tab_1: Numbers") and raw.decode("utf-8-sig").splitlines()[-3:] == ["name;x;n", "a;—;8", "b;1.234,50;7"]
+    assert raw.startswith(b"\xef\xbb\xbf# tab_1: Numbers") and raw.count(b"\r\n") == raw.count(b"\n") == 7
+    assert raw.decode("utf-8-sig").splitlines()[-4:] == ["name;x;n", "a;\u2014;8", "b;1.234,50;7", '"say ""x;y""";-0,12;9']
     lines = (tmp_path / "tab_1_cafe.txt").read_text().splitlines()
-    assert len({len(x) for x in lines[3:7]}) == 1 and lines[-1] == "a note"
-    assert [r.exhibit for r in sinks.write_register(spark, [entry | {"exhibit": "tab_2", "chapter": "5"}, entry], str(tmp_path / "register")).collect()] == ["tab_1", "tab_2"]
+    assert lines[:3] == ["tab_1: Numbers", "scenario S1 | run cafe | source ", ""] and lines[-2:] == ["", "a note"]
+    assert lines[3:8] == ["name      |        x | n", "=" * 24, "a         |        \u2014 | 8", "b         | 1.234,50 | 7", 'say "x;y" |    -0,12 | 9']
+    shown = [exhibits.Shown("name", "Name"), exhibits.Shown("x", "Share", 1, True)]
+    exhibits.write_exhibit(table, str(tmp_path), "tab_1", "Numbers", ["n"], "cafe", shown=shown)
+    assert (tmp_path / "tab_1_cafe.csv").read_text("utf-8-sig").splitlines()[2:] == ["Name;Share", "b;123.450,0 %", "a;\u2014", '"say ""x;y""";-12,5 %']
+    assert [r.exhibit for r in exhibits.write_register(spark, [entry | {"exhibit": "tab_2", "chapter": "5"}, entry | {"title": "a|b"}], str(tmp_path)).collect()] == ["tab_1", "tab_2"]
+    made = (tmp_path / "register.md").read_text().splitlines()
+    assert made[0] == "# Exhibits" and made[5] == "|" + " --- |" * 8 and made[6].startswith("| tab_1 | table | 4 | S1 |") and "a\\|b" in made[6]
+    assert (tmp_path / "register.csv").read_text("utf-8-sig").splitlines()[1].startswith("exhibit;kind;chapter")
     sinks.write_table(table, str(tmp_path / "t"))
-    assert spark.read.csv(str(tmp_path / "t"), header=True, sep=";").count() == 2
+    assert spark.read.csv(str(tmp_path / "t"), header=True, sep=";").count() == 3
+    with pytest.raises(ValueError, match="10000 rows"):
+        exhibits.cells(spark.range(10_001), [exhibits.Shown("id", "id", 0)], ["id"])
 
 
 def test_archives_hold_no_number_that_json_lacks(spark, tmp_path):
