@@ -7,8 +7,9 @@ Of each boilerplate line one occurrence stays (least doc_id, then least position
 lost from the corpus, and a page that was copied to many sites stays whole once.
 
 How it scales: hashes of lines move, not lines, and sketches are merged before they move, so a line
-on a third of all pages arrives as one sketch from each task. Texts move once, to meet their list of
-lines to drop.
+on a third of all pages arrives as one sketch from each task. Boilerplate lines meet all lines as a broadcast up to
+MAX_BROADCAST of them, and beyond by a join that deals frequent lines over tasks. Texts move once, to meet their list of
+lines to drop; every step is linear in the lines of a text.
 
 Threshold: min_sites (10 by default) distinct sites, whatever the length of the line. A line that is repeated within fewer
 sites, however often, is not cross-site boilerplate and stays.
@@ -25,18 +26,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 #: log2 of a sketch's size; its relative standard error is about 0.8 / sqrt(2 ** 10) = 2.6 %.
 SKETCH_LOG = 10
 #: Estimates within this share of the threshold are counted exactly: ten standard errors.
 NEAR = 0.26
+#: Boilerplate lines (some 60 bytes each) that a broadcast may hold.
+MAX_BROADCAST = 200_000
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def without(lines: Column, drop: Column) -> Column:
+    """The lines but for the places in drop, as a text: kept places by a hash set, each line by its place."""
+    # the array of one struct names both arrays, so that they are made once and not for every line
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    both = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    return F.array_join(F.element_at(F.transform(both, lambda x: F.transform(x["kept"], lambda at: F.get(x["lines"], at))), 1), "\n")
+
+
 def _keys(text: Column) -> Column:
     """Of each line: two hashes, null if it is blank."""
 
@@ -50,7 +61,9 @@ def _keys(text: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), site, pos, key of every line that is not blank."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    return docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), F.posexplode(_keys(F.col("text"))).alias("pos", "key")).where("key is not null")
+    # the text is hashed before its lines become rows, not once a line
+    hashed = docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), _keys(F.col("text")).alias("keys"))
+    return hashed.select("doc_id", "site", "row", F.posexplode("keys").alias("pos", "key")).where("key is not null")
 
 
 def spread_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
@@ -73,20 +86,15 @@ def clean(docs: DataFrame, min_sites: int = 10) -> DataFrame:
 
     The caller's columns stay within the struct, so that none can clash with a helper's name.
     """
-    boilerplate = written(spread_lines(docs, min_sites))
-    drop = (
-        _lines(docs)
-        .drop("site")
-        .join(boilerplate.select("key", "first"), "key")
-        .where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "row")
-        .agg(F.collect_set("pos").alias("drop"))
-    )
+    boilerplate = written(spread_lines(docs, min_sites)).select("key", "first")
+    lines = _lines(docs).drop("site")
+    small = boilerplate.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    met = lines.join(F.broadcast(boilerplate), "key") if small else spread_join(lines, boilerplate, "key")
+    drop = met.where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("own"))
     joined = own.join(drop, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("row")), "left").select("doc", "drop")
     before = F.col("doc.text")
-    kept = F.filter(lines_of(before), lambda line, at: ~F.array_contains(F.col("drop"), at))
-    text = F.when(F.col("drop").isNull(), before).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("drop").isNull(), before).otherwise(without(lines_of(before), F.col("drop")))
     return joined.select(
         F.col("doc").withField("text", text).alias("doc"),
         F.when(before.isNull(), 0).otherwise(F.size(lines_of(before))).cast("long").alias("lines"),

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 from panelforge.llm import line_dedup
@@ -68,3 +69,27 @@ def test_repeated_rows_are_cleaned_alike(spark):
 
 def test_empty(spark):
     assert tuples(line_dedup.spread(documents(spark, []))) == []
+
+
+def many_lines(n, sites=11):
+    """Equal texts of n lines, each with one line of its own in the middle."""
+    lines = [f"menu {k}" for k in range(n)]
+    return [(i, "\n".join([*lines[: n // 2], f"own {i}", *lines[n // 2 :]]), f"s{i}") for i in range(sites)]
+
+
+def test_a_text_of_many_boilerplate_lines_is_cleaned_in_linear_time(spark):
+    line_dedup.spread(documents(spark, many_lines(50))).collect()
+    rows = many_lines(200_000)
+    df = documents(spark, rows)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.spread(df).collect()}
+    assert time.perf_counter() - began < 20
+    assert {i: r.text for i, r in got.items()} == dict(brute(rows, 10))
+    assert {r.removed for r in got.values()} == {0, 200_000}
+
+
+def test_more_boilerplate_than_a_broadcast_holds(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 3)
+    rows = many_lines(40) + [(100 + i, "menu 1\nown", f"s{i % 3}") for i in range(30)]
+    got = line_dedup.spread(documents(spark, rows)).select("doc_id", "text")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 10)
