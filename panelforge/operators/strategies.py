@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,29 +95,43 @@ def periodic_mix(returns: DataFrame, weights: DataFrame, dim: DataFrame, freq: s
     return out.withColumnRenamed("r", "gross").withColumn("r", F.col("gross") - F.col("cost"))
 
 
-def realised_vol(r: Column, keys: Sequence[str], method: str, lookback: Column | int, trading_days: int, halflife: int = 20) -> Column:
-    """Annualised; null until the window is full."""
+def realised_vol(rows: DataFrame, keys: Sequence[str], method: str, lookback: Column | int, trading_days: int, halflife: int = 20, name: str = "__vol") -> DataFrame:
+    """rows with the annualised volatility of r as `name`; null until the window is full."""
+    annual = F.sqrt(F.lit(float(trading_days)))
     if method == "rolling":
-        return rolling_std(r, keys, lookback) * F.sqrt(F.lit(float(trading_days)))
-    return ewma_std(r, keys, halflife) * F.sqrt(F.lit(float(trading_days)))
+        return rows.withColumn(name, rolling_std(F.col("r"), keys, lookback) * annual)
+    return ewma_std(rows, keys, halflife, name).withColumn(name, F.col(name) * annual)
 
 
-def ewma_std(r: Column, keys: Sequence[str], halflife: int) -> Column:
-    """Exponentially weighted, bias-corrected standard deviation; null for the first rows.
+#: Half-lives of a block of rows (weights within it stay below 2 to the power of that), and how many of them still count.
+BLOCK_LIVES, REACH_LIVES = 20, 60
 
-    Weights older than 60 half-lives are below the last bit of a double, so the sums run over a trailing
-    frame and no power of the decay can overflow, however long the series.
+
+def ewma_std(rows: DataFrame, keys: Sequence[str], halflife: int, name: str = "ewma") -> DataFrame:
+    """rows with the exponentially weighted, bias-corrected standard deviation of r as `name`; null for the first rows.
+
+    A scan of two levels. Rows that have an r are numbered and cut into blocks; within a block running sums weigh a row by
+    how far it is from the block's first, so that one division gives sums that decay towards the current row. Blocks' sums, decayed in
+    turn, are carried into the blocks after them, as far as a weight can change a double.
     """
-    decay = 0.5 ** (1 / halflife)
-    rows = dated(keys)
-    least = max(5, halflife)
-    reach = 60 * halflife
-    values = F.collect_list(r).over(rows.rowsBetween(-reach, 0))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("s0", "s00", "s1", "s2")])
-    sums = F.aggregate(values, zero, lambda a, x: F.struct((a["s0"] * decay + 1).alias("s0"), (a["s00"] * decay * decay + 1).alias("s00"), (a["s1"] * decay + x).alias("s1"), (a["s2"] * decay + x * x).alias("s2")))
+    of, decay, size = list(keys), 0.5 ** (1 / halflife), BLOCK_LIVES * halflife
+    moments = {"s0": (1.0, 1), "s00": (1.0, 2), "s1": (F.col("r"), 1), "s2": (F.col("r") * F.col("r"), 1)}
+    grown = lambda power: F.pow(F.lit(1 / decay), F.col("__at").cast("double") * power)
+    placed = rows.withColumn("__n", F.count("r").over(so_far(of))).withColumn("__b", F.floor((F.col("__n") - 1) / size)).withColumn("__at", F.col("__n") - 1 - F.col("__b") * size)
+    terms = {m: F.when(F.col("r").isNotNull(), F.lit(x) * grown(power) if isinstance(x, float) else x * grown(power)).otherwise(0.0) for m, (x, power) in moments.items()}
+    placed = placed.withColumns({f"__{m}": t for m, t in terms.items()})
+
+    # a block's sums as its last place sees them, and what of all blocks before reaches its first place
+    last = lambda power: decay ** ((size - 1) * power)
+    blocks = placed.groupBy(*of, "__b").agg(*[(F.sum(f"__{m}") * last(power)).alias(f"__{m}") for m, (_, power) in moments.items()])
+    order, back = Window.partitionBy(*of).orderBy("__b"), range(1, -(-REACH_LIVES // BLOCK_LIVES) + 1)
+    carried = blocks.select(*of, "__b", *[sum((F.coalesce(F.lag(f"__{m}", j).over(order), F.lit(0.0)) * decay ** (((j - 1) * size + 1) * power) for j in back), F.lit(0.0)).alias(f"__c{m}") for m, (_, power) in moments.items()])
+    within = Window.partitionBy(*of, "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"__{m}": F.sum(f"__{m}").over(within) for m in moments}).join(carried, [*of, "__b"])
+    sums = {m: (F.col(f"__{m}") + F.col(f"__c{m}")) / grown(power) for m, (_, power) in moments.items()}
     mean = sums["s1"] / sums["s0"]
     var = (sums["s2"] / sums["s0"] - mean * mean) * sums["s0"] * sums["s0"] / (sums["s0"] * sums["s0"] - sums["s00"])
-    return F.when(F.count(r).over(rows.rowsBetween(Window.unboundedPreceding, 0)) >= least, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return summed.select(*rows.columns, F.when(F.col("__n") >= max(5, halflife), F.sqrt(F.greatest(var, F.lit(0.0)))).alias(name))
 
 
 def target_exposure(vol: Column, target: Column | float, cap: float, keys: Sequence[str]) -> Column:
@@ -138,21 +151,36 @@ def held_exposure(e: Column, freq: str, keys: Sequence[str]) -> Column:
 def dead_band(series: DataFrame, band: float, keys: Sequence[str]) -> DataFrame:
     """Keeps the last traded exposure while the target is within the band of it.
 
-    The one recursive step: each series is folded in date order.
+    From each row the next trade is the first later row that is beyond the band on either side. It is searched by ranges: at each bit
+    of the row numbers, rows of a left half look into the right half beside it, which windows ordered by exposure answer for all at once; the
+    nearest half that has one comes first. The trades are then the rows that pointers reach from the first row, by doubling: the pointers of
+    2, 4, 8, ... trades in turn, as one array a series.
     """
     if band <= 0:
         return series
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        held, out = None, []
-        for e in pdf["exposure"].tolist():
-            if held is None or not abs(e - held) < band:
-                held = e
-            out.append(held)
-        return pdf.assign(exposure=out)
-
-    return series.groupBy(*keys).applyInPandas(fold, series.schema)
+    of = list(keys)
+    rows = series.withColumn("__n", (F.row_number().over(dated(of)) - 1).cast("int"))
+    sized = rows.select(*of, "__n", F.col("exposure").alias("__e"), (F.max("__n").over(Window.partitionBy(*of)) + 1).alias("__size"))
+    bits = F.greatest(F.ceil(F.log2(F.col("__size").cast("double"))).cast("int"), F.lit(1))
+    halves = sized.select("*", F.explode(F.sequence(F.lit(0), bits - 1)).alias("__b"))
+    halves = halves.withColumn("__right", F.expr("shiftright(__n, __b) & 1")).withColumn("__pair", F.expr("shiftright(__n, __b + 1)"))
+    by = ", ".join(f"`{c}`" for c in [*of, "__b", "__pair"])
+    beyond = lambda key: F.expr(f"min(CASE WHEN __right = 1 THEN __n END) OVER (PARTITION BY {by} ORDER BY {key} RANGE BETWEEN UNBOUNDED PRECEDING AND {float(band)!r}D PRECEDING)")
+    halves = halves.withColumn("__up", beyond("-__e")).withColumn("__down", beyond("__e"))
+    following = halves.groupBy(*of, "__n").agg(F.min(F.when(F.col("__right") == 0, F.least("__up", "__down"))).alias("__next"), F.first("__size").alias("__size"))
+    # an array of a series' pointers: a series of a panel is small enough for a task
+    listed = following.groupBy(*of).agg(F.first("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("__n", "__next"))).alias("__list"))
+    end = F.col("__size")
+    jumps = F.concat(F.transform("__list", lambda x: F.coalesce(x["__next"], end)), F.array(end))
+
+    def doubled(state: Column, _: Column) -> Column:
+        met = F.concat(state["s"], F.transform(state["s"], lambda x: F.get(state["j"], x)))
+        return F.struct(F.transform(state["j"], lambda x: F.get(state["j"], x)).alias("j"), F.filter(met, lambda x: x < end).alias("s"))
+
+    reached = F.aggregate(F.sequence(F.lit(0), bits), F.struct(jumps.alias("j"), F.array(F.lit(0)).alias("s")), doubled, lambda state: state["s"])
+    trades = listed.select(*of, F.explode(reached).alias("__n"), F.lit(True).alias("__trade"))
+    held = F.last(F.when(F.col("__trade"), F.col("exposure")), ignorenulls=True).over(so_far(of))
+    return rows.join(trades, [*of, "__n"], "left").withColumn("__held", held).select(*[F.col("__held").alias(c) if c == "exposure" else F.col(c) for c in series.columns])
 
 
 def vol_control(
@@ -167,8 +195,7 @@ def vol_control(
     halflife: int = 20,
 ) -> DataFrame:
     """keys, date, exposure, gross, cost, r of base (keys, date, r, rf, target, bps): exposure to r, the rest in cash."""
-    vol = realised_vol(F.col("r"), keys, method, lookback, trading_days, halflife)
-    return controlled(base.withColumn("__vol", vol), keys, cap, freq, band)
+    return controlled(realised_vol(base, keys, method, lookback, trading_days, halflife), keys, cap, freq, band)
 
 
 def controlled(rows: DataFrame, keys: Sequence[str], cap: float = 1.0, freq: str = "daily", band: float = 0.0) -> DataFrame:

@@ -40,16 +40,12 @@ def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap",
         raise ValueError(f"basis is bootstrap or hac, not {basis!r}")
     both = pairs(rows or study.run_strategies(s, cfg, pit), f"VolControl_{cfg.target(target):g}").persist()
     rf = both.agg(F.avg("rf")).first()[0]
-    days = cfg.trading_days
-
-    def sharpe(r: np.ndarray) -> np.ndarray:
-        return bootstrap.annual_sharpe(r, rf, days)
 
     def row(name: str, df: DataFrame, estimate: str, low: str, high: str) -> DataFrame:
         return df.select(F.lit(name).alias("name"), F.col(estimate).alias("estimate"), F.col("p"), F.col(low).alias("low"), F.col(high).alias("high"))
 
-    family = row("H1 drawdown", bootstrap.paired_difference(both, bootstrap.worst_drawdown, cfg), "observed", "ci_low_bca", "ci_high_bca")
-    family = family.unionByName(row("H2 Sharpe ratio", bootstrap.paired_difference(both, sharpe, cfg), "observed", "ci_low_bca", "ci_high_bca"))
+    family = row("H1 drawdown", bootstrap.paired_difference(both, bootstrap.DRAWDOWN, cfg), "observed", "ci_low_bca", "ci_high_bca")
+    family = family.unionByName(row("H2 Sharpe ratio", bootstrap.paired_difference(both, bootstrap.sharpe_metric(rf, cfg.trading_days), cfg), "observed", "ci_low_bca", "ci_high_bca"))
     if basis == "bootstrap":
         draws = sweep_bootstrap(s, cfg, target).persist()
         for metric in ("d_mdd", "d_cvar"):

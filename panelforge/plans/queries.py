@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import hashing
+from ..functions import archives, hashing
 from ..functions.tables import constants
 from ..operators import alignment, bootstrap, metrics, riskfree, statistics, strategies
 from ..sources.panel import asset_dim, price_panel, rate_summary, rf_fixings
@@ -119,7 +119,7 @@ def traded_turnover(spark, sf_dir):
 @query(f"WITH {oracle.study()} SELECT asset, date, {number(f'CASE WHEN count(r) OVER o = {CFG.lookback} THEN stddev_samp(r) OVER o * sqrt({CFG.trading_days}.0::DOUBLE) END', 'vol')} FROM ret WINDOW o AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {CFG.lookback - 1} PRECEDING AND CURRENT ROW)")
 def rolling_vol(spark, sf_dir):
     r = study.inputs(spark, sf_dir).returns
-    return r.select("asset", "date", strategies.realised_vol(F.col("r"), ["asset"], "rolling", CFG.lookback, CFG.trading_days).alias("vol"))
+    return strategies.realised_vol(r, ["asset"], "rolling", CFG.lookback, CFG.trading_days, name="vol").select("asset", "date", "vol")
 
 
 _DECAY = f"power(0.5::DOUBLE, (n - m) / {CFG.halflife}.0::DOUBLE)"
@@ -131,7 +131,7 @@ sums AS (SELECT a.asset, a.date, a.n, sum(d) AS s0, sum(d * d) AS s00, sum(d * x
 SELECT asset, date, {number(f"CASE WHEN n >= {max(5, CFG.halflife)} THEN sqrt(greatest((s2 / s0 - (s1 / s0) * (s1 / s0)) * s0 * s0 / (s0 * s0 - s00), 0)) * sqrt({CFG.trading_days}.0::DOUBLE) END", "vol")} FROM sums""")
 def ewma_vol(spark, sf_dir):
     r = study.inputs(spark, sf_dir).returns
-    return r.select("asset", "date", strategies.realised_vol(F.col("r"), ["asset"], "ewma", CFG.lookback, CFG.trading_days, CFG.halflife).alias("vol"))
+    return strategies.realised_vol(r, ["asset"], "ewma", CFG.lookback, CFG.trading_days, CFG.halflife, "vol").select("asset", "date", "vol")
 
 
 @query(f"WITH {oracle.study()}, cal AS (SELECT DISTINCT 1 AS k, date FROM ret), {oracle.rf('x', 'cal', 'k')} SELECT date, {number('rf', None, 8)} FROM x", digits=8)
@@ -614,6 +614,42 @@ def archive_diff(spark, sf_dir):
     return hashing.differences(old, new, ["path"], tolerance=1e-12)
 
 
+_FROZEN, _SOLD, _RESTATED = "1999-12-31", "NF", "RO"
+_RECORDS = """SELECT asset AS record, to_json({{'asset': asset, 'generated_at': '{side}', 'window': {{'first': min(date)::VARCHAR, 'last': max(date)::VARCHAR, 'n': sum(n)::BIGINT}},
+  'years': list({{'year': year, 'n': n, 'months': months}} ORDER BY year){more}}}) AS body
+  FROM (SELECT asset, year, min(date) AS date, sum(n)::BIGINT AS n, list({{'month': month, 'total': total}} ORDER BY month) AS months FROM (SELECT asset, year(date) AS year, month(date) AS month, min(date) AS date, count(*) AS n, round(product(1 + r) - 1, 9) AS total FROM {rows} GROUP BY ALL) GROUP BY ALL) GROUP BY asset"""
+
+
+def _archive(returns: DataFrame, side: str, noted: bool) -> DataFrame:
+    """A nested record an asset: its window, and its years with their months."""
+    month = returns.groupBy("asset", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.min("date").alias("date"), F.count("*").alias("n"), F.round(F.product(1 + F.col("r")) - 1, 9).alias("total"))
+    listed = lambda *names: F.sort_array(F.collect_list(F.struct(*names)))
+    year = month.groupBy("asset", "year").agg(F.min("date").alias("date"), F.sum("n").alias("n"), listed("month", "total").alias("months"))
+    one = year.groupBy("asset").agg(F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last"), F.sum("n").alias("n"), listed("year", "n", "months").alias("years"))
+    parts = [F.col("asset"), F.lit(side).alias("generated_at"), F.struct("first", "last", "n").alias("window"), F.col("years")]
+    return one.select(F.col("asset").alias("record"), F.to_json(F.struct(*parts, *([F.lit("restated").alias("note")] if noted else []))).alias("body"))
+
+
+def _nodes_sql(side: str) -> str:
+    kinds = "CASE WHEN type = 'OBJECT' THEN 'object' WHEN type = 'ARRAY' THEN 'list' WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+    return f"""{side}_n AS MATERIALIZED (SELECT record, replace(replace(fullkey, '$', ''), '.', '/') AS path, {kinds} AS kind, CASE WHEN type = 'ARRAY' THEN json_array_length(value)::DOUBLE WHEN type NOT IN ('OBJECT', 'VARCHAR', 'BOOLEAN', 'NULL') THEN atom::DOUBLE END AS number, CASE WHEN type IN ('VARCHAR', 'BOOLEAN') THEN atom ->> '$' END AS text
+  FROM {side}, json_tree({side}.body) WHERE fullkey NOT LIKE '%generated_at%')"""
+
+
+@query(f"""WITH {oracle.study()}, early AS (SELECT * FROM ret WHERE date <= DATE '{_FROZEN}' OR asset IN ('AF', '{_SOLD}', '{_RESTATED}')), late AS (SELECT date, asset, CASE WHEN asset = '{_RESTATED}' AND year(date) = 1997 THEN r / 2 ELSE r END AS r FROM ret WHERE asset <> '{_SOLD}'),
+old AS MATERIALIZED ({_RECORDS.format(side='before', rows='early', more='')}), new AS MATERIALIZED ({_RECORDS.format(side='now', rows='late', more=", 'note': 'restated'")}), {_nodes_sql('old')}, {_nodes_sql('new')},
+d AS MATERIALIZED (SELECT record, path, CASE WHEN b.kind IS NULL THEN 'missing' WHEN a.kind IS NULL THEN 'added' WHEN a.kind <> b.kind THEN 'kind' WHEN a.kind = 'list' AND a.number <> b.number THEN 'length' WHEN a.kind <> 'list' AND (a.number IS DISTINCT FROM b.number OR a.text IS DISTINCT FROM b.text) THEN 'value' END AS difference,
+  a.number AS old_number, b.number AS new_number, a.text AS old_text, b.text AS new_text FROM old_n a FULL JOIN new_n b USING (record, path))
+SELECT record, path, difference, {numbers('old_number new_number')}, old_text, new_text FROM d
+WHERE difference IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d o WHERE o.record = d.record AND o.difference IS NOT NULL AND (starts_with(d.path, o.path || '/') OR starts_with(d.path, o.path || '[')))""")
+def archive_verify(spark, sf_dir):
+    """Nested records frozen in 1999 against those of today: one asset has been sold, one restated, and all have a note."""
+    r = study.inputs(spark, sf_dir).returns
+    old = _archive(r.where((F.col("date") <= F.lit(_FROZEN).cast("date")) | F.col("asset").isin("AF", _SOLD, _RESTATED)), "before", False)
+    restated = F.when((F.col("asset") == _RESTATED) & (F.year("date") == 1997), F.col("r") / 2).otherwise(F.col("r"))
+    return archives.verified(old, _archive(r.where(F.col("asset") != _SOLD).withColumn("r", restated), "now", True))
+
+
 @query()
 def dataset_hash(spark, sf_dir):
     return hashing.panel_hash(study.inputs(spark, sf_dir).returns)
@@ -678,15 +714,42 @@ def bootstrap_argmax(spark, sf_dir):
     return bootstrap.argmax(_draws(spark, sf_dir).persist())
 
 
-@query()
+#: The same series by logarithms, for large z.
+_PHI_FAR = "0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) FOR k IN range(200)])"
+_PAIRED = f"""{oracle.STRATEGIES}, pair AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v.date) - 1 AS i, v.r AS a, b.r AS b FROM rows v JOIN rows b ON v.date = b.date AND b.strategy = 'BuyHold' WHERE v.strategy = 'VolControl_{TARGET:g}'),
+{_paths_sql('pair', CFG.bootstrap_n)},
+less AS (SELECT -2 - a.i AS rep, b.i - (b.i > a.i)::INTEGER AS step, b.i AS i FROM pair a JOIN pair b ON a.i <> b.i),
+walk AS (SELECT rep, step, a, b FROM (SELECT * FROM steps UNION ALL SELECT * FROM less) JOIN pair USING (i)),
+rich AS (SELECT rep, step, product(1 + a) OVER o AS a, product(1 + b) OVER o AS b FROM walk WINDOW o AS (PARTITION BY rep ORDER BY step ROWS UNBOUNDED PRECEDING)),
+d AS MATERIALIZED (SELECT rep, min(x) - min(y) AS d FROM (SELECT rep, a / max(a) OVER o - 1 AS x, b / max(b) OVER o - 1 AS y FROM rich WINDOW o AS (PARTITION BY rep ORDER BY step ROWS UNBOUNDED PRECEDING)) GROUP BY rep),
+obs AS (SELECT d AS observed FROM d WHERE rep = -1), jack AS (SELECT avg(d) OVER () - d AS j FROM d WHERE rep < -1), bend AS MATERIALIZED (SELECT coalesce(sum(j ** 3) / (6 * sum(j ** 2) ** 1.5::DOUBLE), 0) AS bend FROM jack),
+boot AS (SELECT d, observed FROM d, obs WHERE rep >= 0), sorted AS MATERIALIZED (SELECT list(d ORDER BY d) AS x FROM boot),
+s AS MATERIALIZED (SELECT any_value(observed) AS observed, least(2 * least(avg(CASE WHEN d <= 0 THEN 1.0::DOUBLE ELSE 0 END), avg(CASE WHEN d >= 0 THEN 1.0::DOUBLE ELSE 0 END)), 1.0::DOUBLE) AS p, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, avg(CASE WHEN d < observed THEN 1.0::DOUBLE ELSE 0 END) AS below FROM boot),
+halved AS (SELECT 0 AS k, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, least(greatest(below, 1e-6), 1 - 1e-6)::DOUBLE AS below FROM s
+  UNION ALL SELECT k + 1, CASE WHEN phi < below THEN z ELSE lo END, CASE WHEN phi < below THEN hi ELSE z END, below FROM (SELECT *, {_PHI_FAR} AS phi FROM (SELECT *, (lo + hi) / 2 AS z FROM halved WHERE k < 60))),
+zero AS MATERIALIZED (SELECT lo AS z0 FROM halved WHERE k = 60),
+place AS MATERIALIZED (SELECT side, ({_PHI_FAR}) * (len(x) - 1) AS pos, x FROM (SELECT side, z0 + (z0 + q) / (1 - bend * (z0 + q)) AS z, x FROM zero, bend, sorted, (VALUES ('low', {NormalDist().inv_cdf(0.025)}::DOUBLE), ('high', {NormalDist().inv_cdf(0.975)}::DOUBLE)) t(side, q))),
+cut AS (SELECT side, x[floor(pos)::BIGINT + 1] + (x[least(floor(pos)::BIGINT + 2, len(x))] - x[floor(pos)::BIGINT + 1]) * (pos - floor(pos)) AS v FROM place),
+bca AS (SELECT max(v) FILTER (side = 'low') AS ci_low_bca, max(v) FILTER (side = 'high') AS ci_high_bca FROM cut)"""
+
+
+@query(f"WITH RECURSIVE {_PAIRED} SELECT {numbers('observed p ci_low ci_high ci_low_bca ci_high_bca')} FROM s, bca")
 def bootstrap_paired(spark, sf_dir):
-    return bootstrap.paired_difference(hypotheses.pairs(study.run_strategies(study.inputs(spark, sf_dir), CFG), f"VolControl_{TARGET:g}"), bootstrap.worst_drawdown, CFG)
+    return bootstrap.paired_difference(hypotheses.pairs(study.run_strategies(study.inputs(spark, sf_dir), CFG), f"VolControl_{TARGET:g}"), bootstrap.DRAWDOWN, CFG)
 
 
-@query()
+_RESAMPLES = 2000
+
+
+@query(f"""WITH {_SWEEP}, pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY share) - 1 AS pos, share AS x, d_mdd AS y FROM sweep),
+v0 AS (SELECT rep, (({CFG.seed}::HUGEINT * 1000003 + rep) * 1000003 + k) * 2 + 1 AS x FROM (SELECT unnest(range({_RESAMPLES})) AS rep), (SELECT pos AS k FROM pts)),
+v1 AS (SELECT rep, {_MIXED.format(x='x')} AS x FROM v0), v2 AS (SELECT rep, {_SHIFTED.format(x='x')} AS x FROM v1), v3 AS (SELECT rep, {_MIXED.format(x='x')} AS x FROM v2), v4 AS (SELECT rep, {_SHIFTED.format(x='x')} AS x FROM v3),
+drawn AS (SELECT rep, floor(((x >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992.0::DOUBLE * (SELECT count(*) FROM pts))::BIGINT AS pos FROM v4),
+each AS (SELECT regr_slope(y, x) AS s FROM drawn JOIN pts USING (pos) GROUP BY rep HAVING count(DISTINCT x) > 1)
+SELECT {number('(SELECT regr_slope(y, x) FROM pts)', 'slope')}, (SELECT count(*) FROM pts)::BIGINT AS n, {number('quantile_cont(s, 0.025)', 'ci_low')}, {number('quantile_cont(s, 0.975)', 'ci_high')}, count(*)::BIGINT AS n_boot FROM each""")
 def bootstrap_slope(spark, sf_dir):
     points = study.crypto_sweep(study.inputs(spark, sf_dir), CFG, TARGET).select(F.col("share").alias("x"), F.col("d_mdd").alias("y"))
-    return bootstrap.slope_resampled(points)
+    return bootstrap.slope_resampled(points, _RESAMPLES, CFG.seed)
 
 
 @query()

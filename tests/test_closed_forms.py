@@ -151,3 +151,45 @@ def test_assets_are_described_on_their_own_calendars(spark):
     r = np.array([p for _, a, p in rows if a == "every"])
     r = r[1:] / r[:-1] - 1
     assert math.isclose(got["every"].sharpe, (r.mean() - 0.03 / 365) / r.std(ddof=1) * math.sqrt(365))
+
+
+def folded(exposures, band):
+    held, out = None, []
+    for e in exposures:
+        if held is None or not abs(e - held) < band:
+            held = e
+        out.append(held)
+    return out
+
+
+def test_dead_band_by_jumps_is_the_fold(spark):
+    """Series of one row, of powers of two and beside them, constant ones, and ones that trade every row."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    walks = {f"n{n}": np.clip(0.5 + np.cumsum(rng.normal(0, 0.03, n)), 0, 1).tolist() for n in (1, 2, 3, 7, 8, 9, 64, 65, 300)}
+    for k, e in {**walks, "flat": [0.4] * 20, "jumps": [float(i % 2) for i in range(33)]}.items():
+        rows += [(k, i, datetime.date(2020, 1, 1) + datetime.timedelta(days=3 * i), x) for i, x in enumerate(e)]
+        want[k] = folded(e, 0.07)
+    df = spark.createDataFrame(rows, "k string, i int, date date, exposure double")
+    got = strategies.dead_band(df, 0.07, ["k"])
+    assert got.columns == df.columns
+    assert {(r.k, r.i): r.exposure for r in got.collect()} == {(k, i): x for k, values in want.items() for i, x in enumerate(values)}
+
+
+def test_ewma_carries_over_blocks(spark):
+    """Against all weights of the series, over more than four blocks; rows without a return keep the value before."""
+    rng, halflife = np.random.default_rng(6), 3
+    rows, want = [], {}
+    for k, n in (("a", 400), ("b", 4), ("c", 61)):
+        seen = []
+        for i in range(n):
+            x = None if i % 11 == 5 or (k == "c" and i < 3) else float(rng.normal(0.001, 0.02))
+            rows.append((k, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), x))
+            seen += [] if x is None else [x]
+            w = 0.5 ** (np.arange(len(seen))[::-1] / halflife)
+            if len(seen) >= 5:
+                mean = (w * seen).sum() / w.sum()
+                want[k, i] = math.sqrt(max((w * (np.array(seen) - mean) ** 2).sum() / w.sum() * w.sum() ** 2 / (w.sum() ** 2 - (w**2).sum()), 0))
+    got = strategies.ewma_std(spark.createDataFrame(rows, "k string, date date, r double"), ["k"], halflife).collect()
+    found = {(r.k, (r.date - datetime.date(2020, 1, 1)).days): r.ewma for r in got if r.ewma is not None}
+    assert len(got) == len(rows) and found.keys() == want.keys()
+    assert all(math.isclose(found[k], want[k], rel_tol=1e-9) for k in want)
