@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.tables import settled, side_by_side
 from ..operators import bootstrap, statistics, strategies
 from . import study
 
@@ -34,59 +37,90 @@ def pairs(rows: DataFrame, strategy: str, against: str = "BuyHold") -> DataFrame
     return a.join(rows.where(F.col("strategy") == against).select("date", F.col("r").alias("b")), "date")
 
 
-def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap", pit: study.Builder | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """name, estimate, p, p_holm, low, high. basis: H3 by data-level bootstrap, or by HAC regression on the sweep's points. rows: the strategies, where they are at hand."""
+def _row(name: str, df: DataFrame, estimate: str, low: str, high: str) -> DataFrame:
+    return df.select(F.lit(name).alias("name"), F.col(estimate).alias("estimate"), F.col("p"), F.col(low).alias("low"), F.col(high).alias("high"))
+
+
+def _paired(both: DataFrame, cfg: Config) -> list[Callable[[], DataFrame]]:
+    """H1 and H2 of settled pairs."""
+
+    def sharpe() -> DataFrame:
+        rf = both.agg(F.avg("rf")).first()[0]
+        return _row("H2 Sharpe ratio", bootstrap.paired_difference(both, bootstrap.sharpe_metric(rf, cfg.trading_days), cfg), "observed", "ci_low_bca", "ci_high_bca")
+
+    return [lambda: _row("H1 drawdown", bootstrap.paired_difference(both, bootstrap.DRAWDOWN, cfg), "observed", "ci_low_bca", "ci_high_bca"), sharpe]
+
+
+def _slopes(draws: DataFrame) -> DataFrame:
+    return _union([_row(f"H3 {m}", bootstrap.slope(draws, m), "slope", "ci_low", "ci_high") for m in ("d_mdd", "d_cvar")])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _points(sweep: DataFrame) -> DataFrame:
+    """metric, x, y of a sweep: both outcomes as one keyed table."""
+    return sweep.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("share").alias("x"), F.col(m).alias("y")) for m in ("d_mdd", "d_cvar")])))
+
+
+def _hac(sweep: DataFrame, prefix: str) -> DataFrame:
+    """The slope of both outcomes over the sweep's shares with HAC errors."""
+    fit = statistics.hac_ols(_points(sweep), ["metric"])
+    width = 1.959964 * F.col("se")
+    return fit.select(F.concat(F.lit(prefix), "metric").alias("name"), F.col("slope").alias("estimate"), "p", (F.col("slope") - width).alias("low"), (F.col("slope") + width).alias("high"))
+
+
+def tests(s: study.Inputs, cfg: Config, target: float, basis: str = "bootstrap", pit: study.Builder | None = None) -> DataFrame:
+    """name, estimate, p, p_holm, low, high. basis: H3 by data-level bootstrap, or by HAC regression on the sweep's points."""
     if basis not in ("bootstrap", "hac"):
         raise ValueError(f"basis is bootstrap or hac, not {basis!r}")
-    both = pairs(rows or study.run_strategies(s, cfg, pit), f"VolControl_{cfg.target(target):g}").persist()
-    rf = both.agg(F.avg("rf")).first()[0]
-
-    def row(name: str, df: DataFrame, estimate: str, low: str, high: str) -> DataFrame:
-        return df.select(F.lit(name).alias("name"), F.col(estimate).alias("estimate"), F.col("p"), F.col(low).alias("low"), F.col(high).alias("high"))
-
-    family = row("H1 drawdown", bootstrap.paired_difference(both, bootstrap.DRAWDOWN, cfg), "observed", "ci_low_bca", "ci_high_bca")
-    family = family.unionByName(row("H2 Sharpe ratio", bootstrap.paired_difference(both, bootstrap.sharpe_metric(rf, cfg.trading_days), cfg), "observed", "ci_low_bca", "ci_high_bca"))
-    if basis == "bootstrap":
-        draws = sweep_bootstrap(s, cfg, target).persist()
-        for metric in ("d_mdd", "d_cvar"):
-            family = family.unionByName(row(f"H3 {metric}", bootstrap.slope(draws, metric), "slope", "ci_low", "ci_high"))
-    else:
-        sweep = study.crypto_sweep(s, cfg, target, pit).persist()
-        for metric in ("d_mdd", "d_cvar"):
-            fit = statistics.hac_ols(sweep.select(F.col("share").alias("x"), F.col(metric).alias("y")))
-            fit = fit.withColumn("low", F.col("slope") - 1.959964 * F.col("se")).withColumn("high", F.col("slope") + 1.959964 * F.col("se"))
-            family = family.unionByName(row(f"H3 {metric}", fit, "slope", "low", "high"))
-    return statistics.holm(family)
+    spark = s.returns.sparkSession
+    level = (lambda: sweep_bootstrap(s, cfg, target)) if basis == "bootstrap" else (lambda: study.crypto_sweep(s, cfg, target, pit))
+    both, points = side_by_side(spark, lambda: pairs(study.run_strategies(s, cfg, pit), f"VolControl_{cfg.target(target):g}"), level)
+    third = (lambda: _slopes(points)) if basis == "bootstrap" else (lambda: _hac(points, "H3 "))
+    return statistics.holm(_union(side_by_side(spark, *_paired(both, cfg), third)))
 
 
 def report(s: study.Inputs, cfg: Config, target: float, pit: study.Builder | None = None) -> DataFrame:
     """name, estimate, p, low, high of every test of the study, and p_holm in the three families: the confirmatory one (H1, H2
     and the data-level slopes), that with the Wilcoxon test, which is descriptive, and that with the sweep-level slopes instead.
 
-    A probabilistic or deflated ratio's estimate is the chance it states; neither has a p value.
+    A probabilistic or deflated ratio's estimate is the chance it states; neither has a p value. The study's tables are settled first, side by side; the
+    tests then are small plans over them, and run side by side, too.
     """
-    none = F.lit(None).cast("double")
-    rows = study.run_strategies(s, cfg, pit)
+    spark, none = s.returns.sparkSession, F.lit(None).cast("double")
     chosen = f"VolControl_{cfg.target(target):g}"
-    both = pairs(rows, chosen).persist()
-    sweep = study.crypto_sweep(s, cfg, target, pit).persist()
-    out = tests(s, cfg, target, "bootstrap", pit, rows).drop("p_holm").persist()
-    signed = statistics.wilcoxon(both.select((F.col("a") - F.col("b")).alias("d")))
-    out = out.unionByName(signed.select(F.lit("Wilcoxon of periods").alias("name"), F.least("w_plus", "w_minus").alias("estimate"), "p", none.alias("low"), none.alias("high")))
-    for metric in ("d_mdd", "d_cvar"):
-        points = sweep.select(F.col("share").alias("x"), F.col(metric).alias("y"))
-        fit = statistics.hac_ols(points).select(F.lit(f"HAC {metric}").alias("name"), F.col("slope").alias("estimate"), "p", (F.col("slope") - 1.959964 * F.col("se")).alias("low"), (F.col("slope") + 1.959964 * F.col("se")).alias("high"))
-        trend = statistics.mann_kendall(points).select(F.lit(f"Mann-Kendall {metric}").alias("name"), F.col("tau").alias("estimate"), "p", none.alias("low"), none.alias("high"))
-        again = bootstrap.slope_resampled(points, seed=cfg.seed).select(F.lit(f"Resampled slope {metric}").alias("name"), F.col("slope").alias("estimate"), none.alias("p"), F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
-        out = out.unionByName(fit).unionByName(trend).unionByName(again)
-    own = rows.where(F.col("strategy") == chosen)
-    chance = statistics.probabilistic_sharpe(own, ["strategy"]).select(F.lit("Probabilistic Sharpe ratio").alias("name"), F.col("psr").alias("estimate"))
-    luck = statistics.deflated_sharpe(own, study.trials(s, cfg, target, pit), ["strategy"]).select(F.lit("Deflated Sharpe ratio").alias("name"), F.col("dsr").alias("estimate"))
-    out = out.unionByName(chance.unionByName(luck).select("name", "estimate", none.alias("p"), none.alias("low"), none.alias("high")))
+    rows, sweep, draws, tried = side_by_side(
+        spark,
+        lambda: study.run_strategies(s, cfg, pit).where(F.col("strategy").isin(chosen, "BuyHold")).select("strategy", "date", "r", "rf"),
+        lambda: study.crypto_sweep(s, cfg, target, pit),
+        lambda: sweep_bootstrap(s, cfg, target),
+        lambda: study.trials(s, cfg, target, pit).select("config_id", "r"),
+    )
+    both, own = settled(pairs(rows, chosen)), rows.where(F.col("strategy") == chosen)
+
+    def signed() -> DataFrame:
+        found = statistics.wilcoxon(both.select((F.col("a") - F.col("b")).alias("d")))
+        return found.select(F.lit("Wilcoxon of periods").alias("name"), F.least("w_plus", "w_minus").alias("estimate"), "p", none.alias("low"), none.alias("high"))
+
+    def trend() -> DataFrame:
+        found = statistics.mann_kendall(_points(sweep), ["metric"])
+        return found.select(F.concat(F.lit("Mann-Kendall "), "metric").alias("name"), F.col("tau").alias("estimate"), "p", none.alias("low"), none.alias("high"))
+
+    def resampled(metric: str) -> DataFrame:
+        found = bootstrap.slope_resampled(sweep.select(F.col("share").alias("x"), F.col(metric).alias("y")), seed=cfg.seed)
+        return found.select(F.lit(f"Resampled slope {metric}").alias("name"), F.col("slope").alias("estimate"), none.alias("p"), F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
+
+    def chances() -> DataFrame:
+        chance = statistics.probabilistic_sharpe(own, ["strategy"]).select(F.lit("Probabilistic Sharpe ratio").alias("name"), F.col("psr").alias("estimate"))
+        luck = statistics.deflated_sharpe(own, tried, ["strategy"]).select(F.lit("Deflated Sharpe ratio").alias("name"), F.col("dsr").alias("estimate"))
+        return chance.unionByName(luck).select("name", "estimate", none.alias("p"), none.alias("low"), none.alias("high"))
+
+    out = _union(side_by_side(spark, *_paired(both, cfg), lambda: _slopes(draws), signed, lambda: _hac(sweep, "HAC "), trend, lambda: resampled("d_mdd"), lambda: resampled("d_cvar"), chances))
     name = F.col("name")
     core, data, level = name.startswith("H1") | name.startswith("H2"), name.startswith("H3"), name.startswith("HAC")
     families = {"p_holm": core | data, "p_holm_with_wilcoxon": core | data | name.startswith("Wilcoxon"), "p_holm_sweep_level": core | level}
-    out = out.persist()
     member = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in families.items()]))
     adjusted = statistics.holm(out.select("name", "p", F.explode(member).alias("family")), ["family"])
     wide = adjusted.groupBy("name").pivot("family", list(families)).agg(F.first("p_holm"))
