@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from statistics import NormalDist
@@ -10,12 +11,12 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import ASSETS, Config
 from ..functions import archives, hashing
 from ..functions.tables import constants
 from ..operators import alignment, bootstrap, metrics, riskfree, statistics, strategies
 from ..sources.panel import asset_dim, price_panel, rate_summary, rf_fixings
-from . import hypotheses, oracle, sample, study
+from . import hypotheses, oracle, request, sample, study
 from .oracle import number, numbers
 
 CFG = Config()
@@ -60,6 +61,29 @@ def metrics_table(spark, sf_dir):
     return study.metrics_table(study.run_strategies(study.inputs(spark, sf_dir), CFG), CFG)
 
 
+#: A request that differs from the study in sample, split, target and rate mode.
+ASKED = request.Request(scenario="S3", target_vol=0.45, traditional_weights=(("AF", 0.5), ("NF", 0.5)), rf_mode="constant")
+LIMITED = replace(CFG, mdd_limit=-0.5, cvar_limit=-0.2)
+
+
+def _asked_sql() -> str:
+    """The metrics table's SQL under ASKED and LIMITED."""
+    spec, own = ASKED.spec(), dict(ASKED.traditional_weights)
+    dim = "dim(asset, asset_class, base_weight, cost_bps) AS (VALUES " + ", ".join(f"('{a}', '{c}', {own.get(a, 0.0)}::DOUBLE, {b}::DOUBLE)" for a, c, _, b in ASSETS) + ")"
+    vols = sorted({*CFG.target_vols, ASKED.target_vol})
+    targets = "targets AS (SELECT * FROM (VALUES " + ", ".join(f"('VolControl_{v:g}', {v}::DOUBLE)" for v in vols) + ") t(strategy, target))"
+    sql = _found["metrics_table"][1].replace(oracle.DIM, dim).replace(oracle.TARGETS, targets)
+    sql = sql.replace(oracle.COMPLETE, oracle.COMPLETE[:-1] + f" AND date BETWEEN DATE '{spec.start}' AND DATE '{spec.end}')")
+    sql = re.sub(r"rate \* coalesce\(gap, quantile_cont\(gap, 0\.5\) OVER \(PARTITION BY [^)]*\)\) / 360 AS rf", f"{CFG.rf_annual}::DOUBLE / {CFG.trading_days} AS rf", sql)
+    return f"SELECT *, coalesce(max_drawdown < {LIMITED.mdd_limit}, false) AS mdd_breach, coalesce(cvar < {LIMITED.cvar_limit}, false) AS cvar_breach FROM ({sql})"
+
+
+@query(_asked_sql())
+def requested_backtest(spark, sf_dir):
+    """A request from its checks to its metrics."""
+    return request.backtest(ASKED, {"frozen": lambda: price_panel(spark, sf_dir)}, rf_fixings(spark, sf_dir).persist(), LIMITED)
+
+
 @query(f"WITH {oracle.panel()} SELECT date, asset, {number('price')} FROM panel")
 def weekly_panel(spark, sf_dir):
     return price_panel(spark, sf_dir)

@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ASSETS, RF_MODES, Config
 from ..functions import hashing
-from ..sources.panel import panel_slice
-from . import sample
+from ..operators import metrics
+from ..operators.alignment import simple_returns
+from ..operators.riskfree import as_of
+from ..sources.panel import asset_dim, panel_slice
+from . import sample, study
 
 #: Sources whose window the request sets.
 WINDOWED = ("frozen", "live")
@@ -132,3 +135,56 @@ def fingerprint(returns: DataFrame, spec: dict) -> dict:
 def analysis_key(returns: DataFrame, request: Request, cfg: Config, rates: DataFrame | None = None) -> str:
     """The key of a precomputed inference: data and every setting, the crypto share, targets and grids among them."""
     return fingerprint(returns, run_spec(request, cfg, rates))["run_hash"]
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A request made into a study: inputs, settings, and the builder of point-in-time weights, if its sample has one."""
+
+    inputs: study.Inputs
+    cfg: Config
+    pit: study.Builder | None
+    spec: sample.SampleSpec
+    report: DataFrame
+    rate: DataFrame
+
+
+def of_request(request: Request, sources: dict[str, Callable[[], DataFrame]], rates: DataFrame, cfg: Config | None = None) -> Prepared:
+    """The study that a request asks for.
+
+    A named sample sets members and window, so the request's own assets and dates count only without one. The split of the traditional assets goes into the
+    dimension, rate mode and target volatility into the settings: the target is among the studied ones afterwards. In the modes of a
+    constant rate `cfg.rf_annual` is that of every date.
+    """
+    cfg = cfg or Config()
+    vols = cfg.target_vols if request.target_vol in cfg.target_vols else tuple(sorted({*cfg.target_vols, request.target_vol}))
+    cfg = replace(cfg, rf_mode=request.rf_mode, target_vols=vols)
+    spec = request.spec()
+    asked = replace(request, assets=None, start=spec.start, end=spec.end) if request.scenario else request
+    found = prices(asked, sources)
+    # assets with a price, and of crypto assets the sample's members
+    traded = [r.asset for r in found.select("asset").distinct().collect()]  # a name an asset
+    dim = with_split(asset_dim(found.sparkSession, tuple(a for a in ASSETS if a[0] in traded and (a[1] == "traditional" or a[0] in spec.members))), traditional_split(request))
+    if request.scenario or request.source in WINDOWED:
+        kept = found.join(F.broadcast(dim.select("asset")), "asset", "left_semi").select("date", "asset", "price")
+        inputs, pit = study.of_sample(kept, spec, rates, dim)
+        report = sample.report(kept, sample.resolve(kept, spec, dim), spec)
+    else:  # a source of its own dates: its returns as they are, over its own window
+        first, last = found.agg(F.min("date"), F.max("date")).first()
+        spec, pit = replace(spec, start=str(first), end=str(last)), None
+        returns = simple_returns(found).persist()
+        inputs = study.Inputs(returns, rates, dim, as_of(returns.select("date").distinct(), rates, "rf_annual").persist())
+        report = sample.report(found, found, spec)
+    if inputs.returns.isEmpty():
+        raise ValueError(f"{spec.name}: no date on which the assets have returns")
+    known = inputs.known.agg(F.lit(request.rf_mode).alias("mode"), F.avg("rf_annual").alias("mean"), F.min("rf_annual").alias("lowest"), F.max("rf_annual").alias("highest"))
+    if RF_MODES[request.rf_mode] == "constant":
+        known = known.select("mode", *[F.lit(cfg.rf_annual).alias(c) for c in ("mean", "lowest", "highest")])
+    return Prepared(inputs, cfg, pit, spec, report, known)
+
+
+def backtest(request: Request, sources: dict[str, Callable[[], DataFrame]], rates: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """strategy, its metrics and the request's limits of every strategy of the requested study."""
+    of = of_request(request, sources, rates, cfg)
+    table = study.metrics_table(study.run_strategies(of.inputs, of.cfg, of.pit), of.cfg)
+    return metrics.limit_flags(table, of.cfg.mdd_limit, of.cfg.cvar_limit)

@@ -99,6 +99,27 @@ def test_fingerprints_and_keys_see_every_setting(spark):
     assert (a["rows"], a["columns"], a["start"], a["end"]) == (10, ["AF", "AO"], "1996-01-01", "1996-01-05")
 
 
+def test_a_request_becomes_a_study(spark):
+    d = "/root/testdata/sf0.001"
+    prices, rates = panel.price_panel(spark, d).persist(), panel.rf_fixings(spark, d).persist()
+    made = lambda **asked: request.of_request(Request(**asked), {"frozen": lambda: prices, "synthetic": lambda: prices}, rates, CFG)
+    s2 = made(scenario="S2", rf_mode="simple", target_vol=0.2, traditional_weights=(("AF", 2.0), ("RF", 1.0)))
+    assert s2.pit is not None and s2.cfg.rf_mode == "simple" and s2.cfg.target_vols == (0.15, 0.2, 0.3, 0.6)
+    assert {r.asset: r.base_weight for r in s2.inputs.dim.collect() if r.asset_class == "traditional"} == {"AF": 2.0, "NF": 0.0, "RF": 1.0}
+    assert s2.report.first().scenario == "S2" and s2.rate.first()["mode"] == "simple"
+    own = made(scenario=None, assets=("AF", "NF", "AO", "zz"), start="1996-01-01", end="1998-12-31", rf_mode="constant")
+    assert own.pit is None and {r.asset for r in own.inputs.dim.collect()} == {"AF", "NF", "AO"} and own.spec.members == ("AO",)
+    first, last = own.inputs.returns.agg(F.min("date"), F.max("date")).first()
+    assert D(1996, 1, 1) < first and last <= D(1998, 12, 31) and own.rate.first()["mean"] == CFG.rf_annual
+    table = {r.strategy: r for r in request.backtest(Request(scenario=None, assets=("AF", "NF", "AO"), target_vol=0.2), {"frozen": lambda: prices}, rates, replace(CFG, mdd_limit=-1e-9)).collect()}
+    assert "VolControl_0.2" in table and all(r.mdd_breach and not r.cvar_breach for r in table.values())
+    assert made(scenario=None, source="synthetic", assets=("AF", "AO")).inputs.returns.select("asset").distinct().count() == 2
+    with pytest.raises(ValueError, match="no price"):
+        made(scenario=None, start="2030-01-01", end="2031-01-01")
+    with pytest.raises(ValueError, match="EUR"):
+        made(scenario="S1", base_currency="USD")
+
+
 def test_precomputed_inference_is_served_by_its_key_only(spark, tmp_path):
     result = spark.createDataFrame([("H1", 0.5)], "name string, p double")
     for key, p in (("k1", 0.5), ("k2", 0.25), ("k1", 0.75)):
