@@ -62,8 +62,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), site, pos, key of every line that is not blank."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     # the text is hashed before its lines become rows, not once a line
-    hashed = docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), _keys(F.col("text")).alias("keys"))
-    return hashed.select("doc_id", "site", "row", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    hashed = docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("row"), "text")
+    # outer: the plain form makes the optimizer test the array's size first, and so make it twice
+    return hashed.select("doc_id", "site", "row", F.posexplode_outer(_keys(F.col("text"))).alias("pos", "key")).where("key is not null")
 
 
 def spread_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
