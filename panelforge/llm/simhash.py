@@ -28,6 +28,8 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -275,6 +277,9 @@ def near_pairs(texts: DataFrame, marks: DataFrame, k: int = STAGE_SHINGLE, least
     hubs = rows.groupBy("key").agg(F.min(F.col("rid").bitwiseXOR(turn)).alias("least"), F.count("*").alias("n")).where("n > 1")
     hubs = hubs.select("key", F.col("least").bitwiseXOR(turn).alias("a"))
     met = written(spread_join(rows, hubs, "key").where("rid <> a").select("a", F.col("rid").alias("b")).distinct())
+    # texts that share nothing move once, to be left out; those that may be near move with their pairs
+    wanted = [*(met.select(F.col(c).alias("rid")) for c in "ab"), *(same_fp.select(F.col(c).alias("rid")) for c in "ab"), *(grid.select(F.col(f"hub_{c}").alias("rid")) for c in "ab")]
+    texts = written(texts.join(reduce(DataFrame.union, wanted).distinct(), "rid", "left_semi"))
     bytes_of = marks.select("rid", "least")
     met = written(met.join(bytes_of.select(F.col("rid").alias("b"), F.col("least").alias("y")), "b"))
     met = written(_agreeing(spread_join(met, bytes_of.select(F.col("rid").alias("a"), F.col("least").alias("x")), "a")))
