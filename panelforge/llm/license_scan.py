@@ -9,7 +9,8 @@ only such clusters are aligned: to the words around them, in a band that is wide
 found by numpy row by row). Aligned words are cut out and the rest of the cluster is aligned again, until nothing is left.
 
 A place is reported if it covers least_coverage: matched words over the template's words or, where that is more, the
-place's own words, so inserted words count against it. Its telling words (names of licences, versions; see `licenses`) must be
+place's own words, so inserted words count against it. It must not hold a clause of CLAUSE words or more that other
+templates or known variants have and this one lacks: then the text is another licence. Its telling words (names of licences, versions; see `licenses`) must be
 those of the template. Over one stretch of text the templates contest: most matched words, then fewest words of the place, then the
 first template win, and places reported for a document don't overlap.
 
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PLAIN, shingle_hashes, text_steps, word_hashes
-from .licenses import TELLING, TEMPLATES
+from .licenses import CLAUSES, TELLING, TEMPLATES
 
 GRAM, WINDOW, LEAST_COVERAGE = 2, 2, 0.8
 #: Templates of fewer words keep every run.
 LONG = 10
+#: Words that a clause of another licence has at least, and of the runs it is known by.
+CLAUSE, CLAUSE_GRAM = 8, 5
 _PREFILTER_BITS = 18
 
 
@@ -97,6 +100,8 @@ class Index:
     reach: np.ndarray  # diagonals that a notice spreads over at most
     total: np.ndarray  # runs of each template
     telling: list[tuple[bool, frozenset[int]]]
+    known: np.ndarray  # runs of CLAUSE_GRAM words of all templates and clauses
+    own: list[np.ndarray]  # and of each template
     keys: dict[int, np.ndarray]
     begins: dict[int, np.ndarray]  # of each key: where its (template, place, is it winnowed) entries begin
     pairs: dict[int, np.ndarray]
@@ -125,7 +130,10 @@ def build(templates=TEMPLATES, coverage: float = LEAST_COVERAGE) -> Index:
         begins[k] = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         pairs[k] = np.array([p for x in lists for p in x], np.int64)
     sizes = [len(w) for _, w in kept]
-    return Index([w for _, w in kept], [n for n, _ in kept], *(np.array(x, np.int64) for x in ([least_hits(n, coverage, window_of(n)) for n in sizes], [least_hits(n, coverage, 1) for n in sizes], [n // 4 for n in sizes], total)), told, keys, begins, pairs, first)
+    long = lambda words: np.unique(shingle_hashes(words, np.zeros(len(words), np.int64), CLAUSE_GRAM)[0])
+    own = [long(w) for _, w in kept]
+    known = np.unique(np.concatenate([*own, *(long(template_words(c)) for c in CLAUSES), np.zeros(0, np.uint64)]))
+    return Index([w for _, w in kept], [n for n, _ in kept], *(np.array(x, np.int64) for x in ([least_hits(n, coverage, window_of(n)) for n in sizes], [least_hits(n, coverage, 1) for n in sizes], [n // 4 for n in sizes], total)), told, known, own, keys, begins, pairs, first)
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -163,6 +171,12 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return matched, first, last
 
 
+def holds_clause(index: Index, t: int, place: np.ndarray) -> bool:
+    """Do the words of a place hold a clause (runs of CLAUSE words in all) that other licences have and template t lacks?"""
+    runs = shingle_hashes(place, np.zeros(len(place), np.int64), CLAUSE_GRAM)[0]
+    return int((np.isin(runs, index.known) & ~np.isin(runs, index.own[t])).sum()) > CLAUSE - CLAUSE_GRAM
+
+
 def _clusters(own: np.ndarray, diagonal: np.ndarray, place: np.ndarray, chosen: np.ndarray, needed: np.ndarray, shared: np.ndarray, reach: np.ndarray, total: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """(key, least, largest diagonal) where enough places of a template are hit within its reach, of those that winnowing chose
     and of all, and (key, diagonal) where all are hit.
@@ -221,7 +235,7 @@ def _places(index: Index, t: int, own: np.ndarray, clusters: list[tuple[int, int
             first, last = first + lo, last + lo
             if matched < least_coverage * n:
                 continue
-            if matched >= least_coverage * max(n, last - first + 1) and telling(own[first : last + 1], numbers) == wanted:
+            if matched >= least_coverage * max(n, last - first + 1) and telling(own[first : last + 1], numbers) == wanted and not holds_clause(index, t, own[first : last + 1]):
                 yield matched, first, last
             stretches += [(lo, first), (last + 1, hi)]
 

@@ -46,6 +46,16 @@ _REDISTRIBUTION = (
     "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
 _ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder. "
+#: Clauses that make a licence another one, besides those of the templates.
+CLAUSES = (
+    _ADVERTISING,
+    _ENDORSEMENT,
+    "The Software shall be used for Good, not Evil.",
+    "Except as contained in this notice, the name of the copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization.",
+    "You acknowledge that this software is not designed, licensed or intended for use in the design, construction, operation or maintenance of any nuclear facility.",
+    "Without limiting other conditions in the License, the grant of rights under the License will not include, and the License does not grant to you, the right to Sell the Software.",
+)
 
 
 def _gpl(name: str, version: str) -> str:
@@ -79,6 +89,7 @@ TEMPLATES = (
     ),
     ("bsd-2-text", _REDISTRIBUTION + _HOLDERS),
     ("bsd-3-text", _REDISTRIBUTION + _ENDORSEMENT + _HOLDERS),
+    ("bsd-4-text", _REDISTRIBUTION + _ADVERTISING + _ENDORSEMENT + _HOLDERS),
     (
         "isc-text",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "

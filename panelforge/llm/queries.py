@@ -48,7 +48,7 @@ def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_cascade.judge(pages, listed=url_cascade.mobile_mirrors(pages))
+    return url_cascade.judge(pages, listed=url_cascade.stuffed_hosts(pages))
 
 
 def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

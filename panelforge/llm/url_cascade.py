@@ -122,9 +122,19 @@ def cascade(universe: DataFrame, listed: Column, bits_per_key: float = 10.0, has
         inside, outside = wrong, inside
 
 
-def mobile_mirrors(pages: DataFrame) -> DataFrame:
-    """The list of the registered query, a table of hosts: mirrors of sites for phones, whose names begin with `m.`."""
-    return pages.select(host(F.col("url")).alias("host")).where(F.col("host").startswith("m.")).distinct()
+#: A title is stuffed from so many separators on; a host with so many of such pages, and such a share of them, is listed.
+SEPARATORS, LEAST_STUFFED, STUFFED_SHARE = 3, 2, 0.05
+
+
+def stuffed_hosts(pages: DataFrame) -> DataFrame:
+    """The list of the registered query, a table of hosts: those where titles are lists of keywords.
+
+    A host is listed for what its pages say, so nothing in its name gives it away. Pages without html or title count as ordinary.
+    """
+    title = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?s)<title>([^<]*)</title>", 1)
+    stuffed = (F.regexp_count(title, F.lit(r" \| ")) >= SEPARATORS).cast("long")
+    by_host = pages.select(host(F.col("url")).alias("host"), stuffed.alias("stuffed")).groupBy("host").agg(F.sum("stuffed").alias("stuffed"), F.count("*").alias("n"))
+    return by_host.where((F.col("stuffed") >= LEAST_STUFFED) & (F.col("stuffed") >= F.col("n") * F.lit(STUFFED_SHARE)) & (F.col("host") != "")).select("host")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, listed: DataFrame | None = None, **options) -> DataFrame:
@@ -162,13 +172,15 @@ WITH parsed AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-keyed AS (SELECT row_number() OVER () AS rid, * FROM parsed),
+titles AS (SELECT translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(html, ''), '(?s)<title>([^<]*)</title>', 1) AS title FROM pages),
+stuffed AS (SELECT host FROM (SELECT host, count(*) AS n, count(*) FILTER (len(regexp_extract_all(title, ' \\| ')) >= 3) AS k FROM titles GROUP BY host) WHERE k >= 2 AND k >= n * 0.05::DOUBLE AND host <> ''),
+keyed AS (SELECT row_number() OVER () AS rid, *, host IN (SELECT host FROM stuffed) AS listed FROM parsed),
 fit AS (
   SELECT rid, rh || rp AS rule, v,
          row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC) AS k
   FROM keyed JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule,
-       coalesce(v, CASE WHEN starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict,
-       starts_with(host, 'm.') AS listed
+       coalesce(v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict,
+       listed
 FROM keyed LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (rid)
 """

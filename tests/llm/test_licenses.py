@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from panelforge.llm import license_scan
-from panelforge.llm.licenses import TEMPLATES
+from panelforge.llm.licenses import CLAUSES, TEMPLATES
 
 from .helpers import documents
 
@@ -72,6 +72,28 @@ def test_inserted_words_count_against_a_place_and_wide_gaps_are_bridged():
     assert names(" ".join(mit[:middle] + ["extra"] * n + mit[middle:])) == []
 
 
+def test_the_four_clause_text_is_no_three_clause_text():
+    bsd4 = dict(TEMPLATES)["bsd-4-text"]
+    own = bsd4.replace("developed by the copyright holder", "developed by the University of Nowhere and its contributors")
+    assert names(bsd4) == names(own) == ["bsd-4-text"]
+
+
+@pytest.mark.parametrize("clause", CLAUSES)
+def test_no_text_with_a_clause_of_another_licence_passes(clause):
+    """Inserted between two sentences of every long template, whole or reworded a little; one of its own clauses twice is its own."""
+    for name, text in TEMPLATES:
+        words = text.split()
+        if len(words) < 60 or clause.strip() in text:
+            continue
+        middle = next(i for i in range(len(words) // 2, len(words)) if words[i - 1].endswith((".", ":", ";", ",")))
+        for some in (clause.split(), clause.replace("this ", "the said ").split()):
+            found = names(" ".join(words[:middle] + some + words[middle:]))
+            assert name not in found, (name, found)
+        extra = ["unrelated"] * len(clause.split())
+        if len(words) >= 4 * len(extra):
+            assert names(" ".join(words[:middle] + extra + words[middle:])) == [name]
+
+
 def slow_score(a, b, low, high):
     """The best local score by the full recurrence within a band."""
     best, h = 0, {}

@@ -8,11 +8,14 @@ URLS = [None, "", "no scheme", "http://", "https://Example.COM/en/x", "https://w
 
 
 def table(spark, urls):
-    return spark.createDataFrame([(i, u, "", "h", "p", "r", "k") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, path string, rule string, key string")
+    """Titles are stuffed where the host begins with m."""
+    title = lambda u: " | ".join("abcde") if u and "://m." in u.lower() else None if u and "line" in u else "a | b"
+    page = lambda t: None if t is None else f"<html><title>{t}</title><p>a | b | c | d | e</p></html>"
+    return spark.createDataFrame([(i, u, page(title(u)), "h", "p", "r", "k") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, path string, rule string, key string")
 
 
 def judged(df, **options):
-    return url_cascade.judge(df, listed=url_cascade.mobile_mirrors(df), **options)
+    return url_cascade.judge(df, listed=url_cascade.stuffed_hosts(df), **options)
 
 
 def test_matches_sql(spark):
@@ -29,6 +32,13 @@ def test_a_list_as_a_table(spark):
     assert all(r.verdict == ("block" if r.listed else "allow") for r in got if r.rule is None)
 
 
+def test_a_host_is_listed_for_its_titles(spark):
+    pages = [("http://a.org/", "x | y | z | u"), ("http://a.org/2", "x | y | z | u"), ("http://b.org/", "x | y | z | u"), ("http://c.org/", "x | y | z"), ("http://c.org/2", None)]
+    pages += [("http://d.org/", "x | y | z | u")] * 2 + [("http://d.org/", "fine")] * 38 + [("http://e.org/", "x | y | z | u")] * 2 + [("http://e.org/", "fine")] * 39
+    df = spark.createDataFrame([(u, None if t is None else f"<title>{t}</title>") for u, t in pages], "url string, html string")
+    assert sorted(r.host for r in url_cascade.stuffed_hosts(df).collect()) == ["a.org", "d.org"]
+
+
 def test_of_equally_long_rules_the_last_wins(spark):
     rules = (("a.org", "/x", "allow"), ("org", "/x/y", "block"), ("a.org", "/x", "block"))
     assert [(r.rule, r.verdict) for r in url_cascade.judge(table(spark, ["http://a.org/x/y"]), rules).collect()] == [("a.org/x", "block")]
