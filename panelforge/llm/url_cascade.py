@@ -122,8 +122,8 @@ def cascade(universe: DataFrame, listed: Column, bits_per_key: float = 10.0, has
         inside, outside = wrong, inside
 
 
-#: A title is stuffed from so many separators on; a host with so many of such pages, and such a share of them, is listed.
-SEPARATORS, LEAST_STUFFED, STUFFED_SHARE = 3, 2, 0.05
+#: A title is stuffed from so many separators on; a host is listed if such a share of its pages has one.
+SEPARATORS, STUFFED_SHARE = 3, 0.02
 
 
 def stuffed_hosts(pages: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def stuffed_hosts(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?s)<title>([^<]*)</title>", 1)
     stuffed = (F.regexp_count(title, F.lit(r" \| ")) >= SEPARATORS).cast("long")
     by_host = pages.select(host(F.col("url")).alias("host"), stuffed.alias("stuffed")).groupBy("host").agg(F.sum("stuffed").alias("stuffed"), F.count("*").alias("n"))
-    return by_host.where((F.col("stuffed") >= LEAST_STUFFED) & (F.col("stuffed") >= F.col("n") * F.lit(STUFFED_SHARE)) & (F.col("host") != "")).select("host")
+    return by_host.where((F.col("stuffed") > 0) & (F.col("stuffed") >= F.col("n") * F.lit(STUFFED_SHARE)) & (F.col("host") != "")).select("host")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, listed: DataFrame | None = None, **options) -> DataFrame:
@@ -173,7 +173,7 @@ WITH parsed AS (
   FROM pages),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 titles AS (SELECT translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(html, ''), '(?s)<title>([^<]*)</title>', 1) AS title FROM pages),
-stuffed AS (SELECT host FROM (SELECT host, count(*) AS n, count(*) FILTER (len(regexp_extract_all(title, ' \\| ')) >= 3) AS k FROM titles GROUP BY host) WHERE k >= 2 AND k >= n * 0.05::DOUBLE AND host <> ''),
+stuffed AS (SELECT host FROM (SELECT host, count(*) AS n, count(*) FILTER (len(regexp_extract_all(title, ' \| ')) >= 3) AS k FROM titles GROUP BY host) WHERE k > 0 AND k >= n * 0.02::DOUBLE AND host <> ''),
 keyed AS (SELECT row_number() OVER () AS rid, *, host IN (SELECT host FROM stuffed) AS listed FROM parsed),
 fit AS (
   SELECT rid, rh || rp AS rule, v,
