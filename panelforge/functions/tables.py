@@ -47,6 +47,14 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a settled table before the JVM ends."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def side_by_side(spark: SparkSession, *parts: Callable[[], DataFrame]) -> list[DataFrame]:
     """The settled tables of several plans, built and run at the same time: small jobs leave most cores idle one by one."""
     with ThreadPoolExecutor(len(parts)) as pool:

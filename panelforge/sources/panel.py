@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from datetime import date as Date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,20 +53,27 @@ def wide_csv(spark: SparkSession, path: str, assets: list[str]) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True).unpivot("date", assets, "asset", "price").where("price is not null").select("date", "asset", "price")
 
 
-def workbook_prices(spark: SparkSession, path: str, sheet: str = "Prices_EUR") -> DataFrame:
-    """A sheet of prices, date in the first column. Needs a workbook reader for pandas; the file is read on the driver."""
-    wide = pd.read_excel(path, sheet_name=sheet)
-    wide = wide.rename(columns={wide.columns[0]: "date"}).melt("date", var_name="asset", value_name="price").dropna()
-    wide["date"] = pd.to_datetime(wide["date"]).dt.date
-    return spark.createDataFrame(wide, PRICES)
-
-
 def rates_csv(spark: SparkSession, path: str, percent: bool = False) -> DataFrame:
     """date, rf_annual; rows that are no numbers go."""
     raw = spark.read.schema("date date, value string").csv(path, header=True)
     return raw.select("date", (F.expr("try_cast(value as double)") / (100 if percent else 1)).alias("rf_annual")).where("rf_annual is not null and date is not null")
 
 
+def sdmx_rates(spark: SparkSession, path: str, key: str | None = None, start: str | None = None) -> DataFrame:
+    """date, rf_annual of saved SDMX responses in CSV form (KEY, TIME_PERIOD, OBS_VALUE in percent, among other columns in any order).
+
+    path: a file, a folder or a pattern, each file a task or more. Months count from their first day. key and start are filters of the scan.
+    Of several values of a day the one of the file whose name is last wins.
+    """
+    raw = spark.read.option("header", True).csv(path).select("KEY", "TIME_PERIOD", "OBS_VALUE", F.input_file_name().alias("file"))
+    day = F.to_date(F.when(F.length("TIME_PERIOD") == 7, F.concat("TIME_PERIOD", F.lit("-01"))).otherwise(F.substring("TIME_PERIOD", 1, 10)))
+    found = raw if key is None else raw.where(F.col("KEY") == key)
+    if start is not None:
+        found = found.where(F.col("TIME_PERIOD") >= start)
+    found = found.select(day.alias("date"), (F.expr("try_cast(OBS_VALUE as double)") / 100).alias("rf_annual"), "file").where("rf_annual is not null and date is not null")
+    return found.groupBy("date").agg(F.max_by("rf_annual", "file").alias("rf_annual"))
+
+
 def chained_rates(old: DataFrame, new: DataFrame, switch: str, spread: float = 0.00085) -> DataFrame:
     """The old rate less a spread before the switch day, the new one from then on; the later source wins a day."""
     parts = old.where(F.col("date") < F.lit(switch).cast("date")).select("date", (F.col("rf_annual") - spread).alias("rf_annual"), F.lit(0).alias("source"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.config import Config
 from panelforge.operators import metrics
+from panelforge.plans import exhibits as study_exhibits
 from panelforge.plans import hypotheses, request, sample, study
 from panelforge.plans.request import Request
 from panelforge.sources import exhibits, panel, sinks
@@ -199,3 +200,22 @@ def test_rows_over_samples(spark):
     prices = sample.late_listing(panel.price_panel(spark, d), {"NO": "1996-03-01"}).persist()
     got = hypotheses.over_samples(prices, [sample.scenario("S2")], panel.rf_fixings(spark, d), panel.asset_dim(spark), CFG, 0.30).collect()
     assert [r.scenario for r in got] == ["S2"] and all(r.h1_estimate is not None and 0 <= r.best_share <= 0.5 for r in got)
+
+
+def test_every_table_of_a_study_is_written(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    prices = panel.price_panel(spark, d).persist()
+    made = study_exhibits.tables(study.inputs(spark, d), prices, CFG, 0.30, [sample.scenario("S3")])
+    register = study_exhibits.write_all(made, str(tmp_path), "cafe", environment=sinks.provenance(spark)).collect()
+    names = {"3_1", "3_2", "3_3", "3_4", *(f"4_{i}" for i in range(1, 14)), "a_1"}
+    assert {r.exhibit for r in register} == {f"tab_{n}" for n in names}
+    for r in register:
+        lines = (tmp_path / f"{r.exhibit}_cafe.txt").read_text().splitlines()
+        assert lines[0] == f"{r.exhibit}: {r.title}" and len(lines) >= (5 if r.exhibit == "tab_4_8" else 6), r.exhibit
+    metrics_lines = (tmp_path / "tab_4_1_cafe.csv").read_text("utf-8-sig").splitlines()
+    assert metrics_lines[3].startswith("Strategy;Return p.a.;CAGR") and len(metrics_lines) == 4 + 7
+    want = {r.strategy: r for r in study.metrics_table(study.run_strategies(study.inputs(spark, d), CFG), CFG).collect()}
+    for line in metrics_lines[4:]:
+        cells = line.split(";")
+        assert abs(float(cells[1].removesuffix(" %").replace(".", "").replace(",", ".")) / 100 - want[cells[0]].ann_return) < 6e-5
+    assert (tmp_path / "register.md").read_text().count("\n| tab_") == 18
