@@ -1,4 +1,4 @@
-"""Sinks: wide CSV, large tables, archives by record, workbooks of small tables, and where a result came from."""
+"""Sinks: wide CSV, large tables, archives by record, the sheets of a study's workbook, and where a result came from."""
 
 from __future__ import annotations
 
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exhibits import _fixed, german, write_lines
-
-#: Rows that a workbook sheet may hold.
-MAX_SHEET_ROWS = 1_000_000
+from .workbook import Sheet, letters
 
 
 def write_wide(prices: DataFrame, path: str, assets: list[str], run_hash: str) -> str:
@@ -78,20 +76,39 @@ def write_rates(rates: DataFrame, path: str) -> None:
     rates.select("date", F.format_string("%.8f", "rf_annual").alias("rf_annual")).orderBy("date").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """Small result tables as a workbook; needs a writer for pandas. Larger tables go to the other sinks."""
-    import pandas as pd
-
-    with pd.ExcelWriter(path) as book:
-        for name, table in sheets.items():
-            rows = table.limit(MAX_SHEET_ROWS + 1).toPandas()
-            if len(rows) > MAX_SHEET_ROWS:
-                raise ValueError(f"{name} has over {MAX_SHEET_ROWS} rows")
-            rows.to_excel(book, sheet_name=name, index=False)
+def live_sheets(rows: DataFrame, table: DataFrame, cfg) -> dict[str, Sheet]:
+    """Portfolio, with excess return, wealth and drawdown of each date as formulas of the cells before, and Metrics, with each metric beside
+    its formula over the strategy's part of Portfolio."""
+    rows = rows.select("strategy", "date", "r", "rf", "gross", "exposure", "turnover_exposure", "turnover_sleeve", "turnover")
+    at = {c: letters(i) for i, c in enumerate([*rows.columns, "excess", "wealth", "drawdown"])}
+    spans, first = {}, 2
+    for r in rows.groupBy("strategy").count().orderBy("strategy").collect():  # a number a strategy
+        spans[r.strategy] = (first, first + r["count"] - 1)
+        first += r["count"]
+    begins = {a for a, _ in spans.values()}
+    growth = lambda n, _: f"1+{at['r']}{n}" if n in begins else f"{at['wealth']}{n - 1}*(1+{at['r']}{n})"
+    fall = lambda n, row: f"{at['wealth']}{n}/MAX({at['wealth']}{spans[row['strategy']][0]}:{at['wealth']}{n})-1"
+    portfolio = Sheet(rows, ["strategy", "date"], {"excess": lambda n, _: f"{at['r']}{n}-{at['rf']}{n}", "wealth": growth, "drawdown": fall})
+
+    def over(column: str, row) -> str:
+        a, b = spans[row["strategy"]]
+        return f"Portfolio!{at[column]}{a}:{at[column]}{b}"
+
+    days = cfg.trading_days
+    live = {
+        "ann_return_live": lambda n, row: f"AVERAGE({over('r', row)})*{days}",
+        "cagr_live": lambda n, row: f"Portfolio!{at['wealth']}{spans[row['strategy']][1]}^({days}/COUNT({over('r', row)}))-1",
+        "ann_vol_live": lambda n, row: f"STDEV({over('r', row)})*SQRT({days})",
+        "sharpe_live": lambda n, row: f"AVERAGE({over('excess', row)})/STDEV({over('excess', row)})*SQRT({days})",
+        "max_drawdown_live": lambda n, row: f"MIN({over('drawdown', row)})",
+        "cvar_live": lambda n, row: f"AVERAGEIF({over('r', row)},\"<=\"&PERCENTILE({over('r', row)},{cfg.cvar_alpha}))",
+        "turnover_live": lambda n, row: f"SUM({over('turnover', row)})",
+    }
+    return {"Portfolio": portfolio, "Metrics": Sheet(table, ["strategy"], live)}
 
 
-def workbook_sheets(study, cfg, target: float) -> dict[str, DataFrame]:
-    """The sheets of a study's workbook as tables; values only, without formulas."""
+def workbook_sheets(study, cfg, target: float) -> dict[str, DataFrame | Sheet]:
+    """The sheets of a study's workbook: tables, and formulas where a number can be followed (see live_sheets)."""
     from ..operators import metrics, strategies
     from ..plans import hypotheses
     from ..plans import study as plans
@@ -100,6 +117,7 @@ def workbook_sheets(study, cfg, target: float) -> dict[str, DataFrame]:
     rows = plans.run_strategies(study, cfg)
     weights = strategies.class_weights(study.dim, plans.shares_of(spark, [cfg.crypto_share]))
     controlled = plans.controlled(study, cfg)
+    live = live_sheets(rows, plans.metrics_table(rows, cfg), cfg)
     info = [(k, str(v)) for k, v in {**provenance(spark), **vars(cfg)}.items()]
     names = [r.asset for r in study.dim.select("asset").orderBy("asset").collect()]
     return {
@@ -108,8 +126,7 @@ def workbook_sheets(study, cfg, target: float) -> dict[str, DataFrame]:
         "Rates": plans.rate_series(study, cfg).orderBy("date"),
         "Weights": weights,
         "WeightPath": strategies.held_weights(study.returns, weights.drop("share"), cfg.weight_rebalance).groupBy("date").pivot("asset", names).agg(F.first("w")).orderBy("date"),
-        "Portfolio": rows.orderBy("strategy", "date"),
-        "Metrics": plans.metrics_table(rows, cfg),
+        **live,
         "Descriptive": metrics.tail_marks(study.returns, ["asset"], cfg.cvar_alpha),
         "Sweep": plans.crypto_sweep(study, cfg, target).orderBy("share"),
         "Regimes": plans.subperiods(rows, study, cfg),

@@ -1,9 +1,14 @@
 """Background jobs, workbooks read from their own format, and saved rate responses."""
 
 import datetime
+import math
+import re
+import string
 import time
 import zipfile
+from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +125,71 @@ def test_saved_rate_responses_are_chained(spark, tmp_path):
     assert sorted(map(tuple, first[1].collect())) == [(D(2019, 8, 1), 0.015), (D(2019, 9, 30), 0.025)]
     chained = panel.chained_rates(first[0], read("new.csv", start="2019-09-15"), "2019-10-01")
     assert sorted(map(tuple, chained.collect())) == [(D(2019, 9, 30), pytest.approx(0.01915)), (D(2019, 10, 1), -0.005)]
+
+
+def computed(path, sheet):
+    """The cells of a sheet by reference: values, and formulas as they stand."""
+    main = workbook._MAIN
+    with zipfile.ZipFile(path) as z:
+        part, _ = workbook._sheet(z, sheet)
+        shared = workbook._strings(z)
+        out = {}
+        for c in ElementTree.fromstring(z.read(part)).iter(f"{main}c"):
+            f, v = c.find(f"{main}f"), c.find(f"{main}v")
+            out[c.get("r")] = f"={f.text}" if f is not None else shared[int(v.text)] if c.get("t") == "s" else float(v.text)
+        return out
+
+
+class Calculator:
+    """Just the functions that the workbook uses, over its own cells."""
+
+    def __init__(self, path):
+        self.sheets = {name: computed(path, name) for name in ("Portfolio", "Metrics")}
+        for ref in sorted(self.sheets["Portfolio"], key=lambda r: (int(r.lstrip(string.ascii_uppercase)), len(r), r)):
+            self.value("Portfolio", ref)
+
+    def range(self, text):
+        (column, a), (_, b) = re.findall(r"([A-Z]+)(\d+)", text)
+        return np.array([self.value("Portfolio", f"{column}{i}") for i in range(int(a), int(b) + 1)])
+
+    def value(self, sheet, ref):
+        found = self.sheets[sheet][ref]
+        if isinstance(found, str) and found.startswith("="):
+            self.sheets[sheet][ref] = found = self.formula(sheet, found[1:])
+        return found
+
+    def formula(self, sheet, text):
+        text = re.sub(r'AVERAGEIF\((?:Portfolio!)?([A-Z0-9:]+),"<="&PERCENTILE\((?:Portfolio!)?[A-Z0-9:]+,([\d.]+)\)\)', lambda m: repr(float((lambda x: x[x <= np.quantile(x, float(m[2]))].mean())(self.range(m[1])))), text)
+        call = {"AVERAGE": np.mean, "STDEV": lambda x: np.std(x, ddof=1), "MIN": np.min, "MAX": np.max, "SUM": np.sum, "COUNT": len}
+        text = re.sub(r"(AVERAGE|STDEV|MIN|MAX|SUM|COUNT)\((?:Portfolio!)?([A-Z]+\d+:[A-Z]+\d+)\)", lambda m: repr(float(call[m[1]](self.range(m[2])))), text)
+        text = re.sub(r"(?:Portfolio!)?\b([A-Z]+\d+)\b", lambda m: f"({self.value('Portfolio', m[1])!r})", text)
+        return float(eval(text.replace("^", "**").replace("SQRT", "math.sqrt"), {"math": math}))
+
+
+def test_formulas_of_the_workbook_give_the_metrics(spark, tmp_path):
+    from panelforge.config import Config
+    from panelforge.plans import study
+    from panelforge.sources import sinks
+
+    cfg, s = Config(), study.inputs(spark, "/root/testdata/sf0.001")
+    rows = study.run_strategies(s, cfg)
+    table = study.metrics_table(rows, cfg)
+    odd = spark.createDataFrame([('a "b" <c> & d', None, True, float("nan")), (" padded ", D(2024, 2, 29), False, 1e-300)], "text string, day date, flag boolean, x double")
+    path = f"{tmp_path}/book.xlsx"
+    workbook.write_workbook({**sinks.live_sheets(rows, table, cfg), 'odd "names"': odd}, path)
+    calculator = Calculator(path)
+    header = {v: k.rstrip("1") for k, v in calculator.sheets["Metrics"].items() if re.fullmatch(r"[A-Z]+1", k)}
+    names = ("ann_return", "cagr", "ann_vol", "sharpe", "max_drawdown", "cvar", "turnover")
+    for n in range(2, 2 + table.count()):
+        for name in names:
+            assert calculator.value("Metrics", f"{header[name + '_live']}{n}") == pytest.approx(calculator.value("Metrics", f"{header[name]}{n}"), abs=1e-9), (n, name)
+    cells = computed(path, 'odd "names"')
+    assert cells["A2"] == 'a "b" <c> & d' and "B2" not in cells and cells["C2"] == 1 and "D2" not in cells
+    assert cells["A3"] == " padded " and workbook.day_of(str(cells["B3"]), False) == D(2024, 2, 29) and cells["D3"] == 1e-300
+
+
+def test_written_sheets_are_read_again(spark, tmp_path):
+    wide = spark.createDataFrame([(D(2024, 1, 1), 1.5, None), (D(2024, 1, 2), None, 2.5)], "date date, a double, b double")
+    workbook.write_workbook({"Prices_EUR": workbook.Sheet(wide, ["date"])}, f"file://{tmp_path}/p.xlsx")
+    assert sorted(map(tuple, workbook.workbook_prices(spark, f"{tmp_path}/p.xlsx").collect())) == [(D(2024, 1, 1), "a", 1.5), (D(2024, 1, 2), "b", 2.5)]
+    assert [workbook.letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and all(workbook._column(workbook.letters(i) + "1") == i for i in range(2000))

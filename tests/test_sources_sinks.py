@@ -175,7 +175,7 @@ def test_sheets_and_events(spark):
     s = study.inputs(spark, "/root/testdata/sf0.001")
     sheets = sinks.workbook_sheets(s, CFG, 0.30)
     assert list(sheets) == ["Info", "Returns", "Rates", "Weights", "WeightPath", "Portfolio", "Metrics", "Descriptive", "Sweep", "Regimes", "WalkForward", "Hypotheses"]
-    assert sheets["Metrics"].count() == 7 and sheets["Sweep"].count() == 21
+    assert sheets["Metrics"].table.count() == 7 and sheets["Sweep"].count() == 21
     cost = spark.createDataFrame([(D(2024, 1, d), 0.1 if d % 2 else 0.0, 0.0) for d in range(1, 31)], "date date, turnover double, cost double")
     assert [r.date.day for r in sample.sleeve_events(cost, 3).collect()] == [1, 3, 5]
     study.release(s)
