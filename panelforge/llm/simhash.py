@@ -7,8 +7,8 @@ bits, one of the two halves of 16 coordinates is within Manhattan distance 1. So
 grid cell; each fingerprint looks into its own cell and those one step up (the pair's other member
 looks down), in both halves. Pairs that meet are compared exactly, by the bits that differ.
 
-How it scales: copies share a fingerprint and are one row of the join; a cell holds about
-n / 2 ** 24 unrelated fingerprints; only verified links leave the join, and a fingerprint has at
+How it scales: copies share a fingerprint and are one row of the join; of n unrelated fingerprints, the
+cell of one holds n / 2 ** 22.6 on average, and the fullest cell, where each segment has one bit set, n / 2 ** 16 (its seekers are dealt by Spark's skew join); only verified links leave the join, and a fingerprint has at
 most 43 744 neighbours within 3 bits. Components come from alternating star contraction, with each
 round's links in a written table.
 
