@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import decontaminate, line_dedup, mixing, quality_fm, simhash
-from panelforge.llm.common import written
+from panelforge.llm.common import scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), spark)
+        with scratch(spark, keep_last=True):  # what a stage wrote on its way goes as soon as its result is written
+            docs = written(stage(spark, docs, sf_dir), spark)
     return STAGES[-1][1](spark, docs, sf_dir)
