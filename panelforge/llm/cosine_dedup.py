@@ -180,9 +180,9 @@ def groups(vectors: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
 
 SQL = r"""
 WITH RECURSIVE v AS (
-  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e,
-    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings),
-links AS (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.fine AND b.fine AND a.rid <> b.rid AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
+  SELECT rid, vec_id, fine, CASE WHEN fine THEN embedding::DOUBLE[] ELSE [1.0::DOUBLE] END AS e FROM (SELECT row_number() OVER () AS rid, vec_id, embedding,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings)),
+links AS (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.fine AND b.fine AND a.rid <> b.rid AND len(a.e) = len(b.e) AND CASE WHEN a.fine AND b.fine AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
 reach AS (SELECT rid, rid AS other FROM v UNION SELECT r.rid, l.b FROM reach r JOIN links l ON r.other = l.a),
 least AS (SELECT r.rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = r.other GROUP BY r.rid),
 degree AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
