@@ -79,7 +79,7 @@ def test_matches_brute_force_and_sql(spark):
 
 def test_deleted_code_points_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(spelling, "FLUSH", 3)
-    rows = [(i, "governmeñt Government parliament") for i in range(3000)]
+    rows = [(i, "governmeñt Government parliament " * 5) for i in range(1500)]
     got = held(spelling.variants(table(spark, rows)))
     assert got == brute(rows) and sum(len(r[0]) == 9 for r in got) >= 3
 
