@@ -679,7 +679,10 @@ def dataset_hash(spark, sf_dir):
     return hashing.panel_hash(study.inputs(spark, sf_dir).returns)
 
 
-_MIXED = "(({x}::UHUGEINT * " + str(bootstrap.SPREAD) + "::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+#: x times the draws' multiplier, modulo 2 ** 64, by halves of 32 bits.
+_MASK, _LOW, _HIGH = (f"{v}::UBIGINT" for v in ((1 << 32) - 1, bootstrap.SPREAD & ((1 << 32) - 1), bootstrap.SPREAD >> 32))
+_LOW_HALF, _HIGH_HALF = f"({{x}}::UBIGINT & {_MASK})", "({x}::UBIGINT >> 32)"
+_MIXED = f"((((({_LOW_HALF} * {_LOW}) >> 32) + (({_HIGH_HALF} * {_LOW}) & {_MASK}) + (({_LOW_HALF} * {_HIGH}) & {_MASK})) & {_MASK}) * 4294967296::UBIGINT + (({_LOW_HALF} * {_LOW}) & {_MASK}))"
 _SHIFTED = "xor({x}, {x} >> 32)"
 
 

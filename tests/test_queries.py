@@ -14,7 +14,7 @@ from panelforge.sources import sinks
 from panelforge.streaming.panel import streaming_panel
 
 SF = "/root/testdata/sf0.01"
-CHECKED = ("metrics_table", "complete_case", "periodic_mix_quarterly", "traded_turnover", "ewma_vol", "rf_act360", "vol_control", "dead_band", "deflated_sharpe", "walk_forward", "crypto_sweep", "pit_weights", "hac_ols", "month_matrix", "bootstrap_argmax", "crypto_sweep_pit", "start_sensitivity")
+CHECKED = ("metrics_table", "complete_case", "periodic_mix_quarterly", "traded_turnover", "ewma_vol", "rf_act360", "vol_control", "dead_band", "deflated_sharpe", "walk_forward", "crypto_sweep", "pit_weights", "hac_ols", "month_matrix", "bootstrap_argmax", "crypto_sweep_pit", "start_sensitivity", "bootstrap_slope", "bootstrap_paired", "requested_backtest", "archive_verify")
 
 
 @pytest.mark.parametrize("name", CHECKED)
