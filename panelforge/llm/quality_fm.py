@@ -149,7 +149,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Machin
         for at in range(0, len(rows), 64):
             some = order[at : at + 64]
             row = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            index = np.concatenate([rows[i][0] for i in some])
+            index = np.concatenate([rows[i][0] for i in some]).astype(np.int64)
             value = np.concatenate([rows[i][1] for i in some]).astype(np.float64)
             begins = np.searchsorted(row, np.arange(len(some)))
             part = m.v[index] * value[:, None]
@@ -203,7 +203,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
 
     got = rows.mapInArrow(run, "doc_id long, label int, at binary, value binary").collect()  # max_labelled rows
     got = sorted(got, key=lambda r: (r.doc_id, bytes(r.at)))
-    return fit([(np.frombuffer(r.at, np.int16).astype(np.int64), np.frombuffer(r.value, np.float16).astype(np.float32), r.label) for r in got])
+    # as they came, four bytes a feature: a batch widens its own
+    return fit([(np.frombuffer(r.at, np.int16), np.frombuffer(r.value, np.float16), r.label) for r in got])
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

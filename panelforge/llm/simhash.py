@@ -10,7 +10,7 @@ looks down), in both halves. Pairs that meet are compared exactly, by the bits t
 How it scales: copies share a fingerprint and are one row of the join; of n unrelated fingerprints, the
 cell of one holds n / 2 ** 22.6 on average, and the fullest cell, where each segment has one bit set, n / 2 ** 16 (its seekers are dealt by Spark's skew join); only verified links leave the join, and a fingerprint has at
 most 43 744 neighbours within 3 bits. Components come from alternating star contraction, with each
-round's links in a written table.
+round's links in a written table; later links join components that are there.
 
 The stage that drops near copies follows another rule, a Jaccard similarity of 0.8 or more of the sets of five-word shingles. Such
 texts differ in 10 of 64 bits on average and often in 14, farther than a grid reaches without meeting a large share of all pairs. So the grid's pairs
@@ -99,30 +99,40 @@ def links(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (least node reachable) of every node of edges (a, b), by star contraction.
+    """node, component (least node reachable) of every node of edges (a, b), by star contraction; a written table.
 
     Large star: every larger neighbour of a node links to the least of its neighbourhood. Small star:
-    every smaller neighbour does. Both keep connectivity; rounds end when the links no longer change.
+    every smaller neighbour does. Both keep connectivity. Rounds end when links are stars around their least nodes: no node
+    with a smaller neighbour has a second one. A round's first table tells so, and is then the result.
     """
-
-    def digest(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(a as decimal(38, 0)))")).first())
-
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = digest(now)
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.greatest("b", "a").alias("n"), "a", "b", "m")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct())
-        if state == (state := digest(now)):
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        own = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), ((F.min("b") < F.col("a")) & (F.count("*") > 1)).alias("open"))
+        own = written(own)
+        if not own.agg(F.max("open")).first()[0]:
+            return own.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        large = now.join(own.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("link"))
+        now = written(small.select("link.a", "link.b").where("a <> b").distinct())
     raise RuntimeError("components did not settle")
 
 
+def joined(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """reached (node, component of earlier links) with further links (a, b; a written table): only components that these join are
+    contracted, not all links anew."""
+    if not links.count():
+        return reached
+    between = links
+    for side in ("a", "b"):
+        between = between.join(reached.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    found = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    before = reached.join(found.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    new = found.join(reached.select("node"), "node", "left_anti")
+    return written(before.select("node", F.coalesce("now", "component").alias("component")).unionByName(new))
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     found = written(fingerprints(docs, k))
@@ -216,6 +226,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
 
     with scratch(texts.sparkSession, keep_last=True):
         pairs = written(pairs.select("a", "b"))
+        if not pairs.count():
+            return pairs
         one = written(spread_join(pairs, texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b"))
         two = spread_join(one, texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
         return written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -254,6 +266,8 @@ def _apart(dealt: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
 
     open_keys = dealt.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
     left = written(dealt.join(open_keys, "key", "left_semi"))
+    if not left.count():
+        return left.select(F.col("rid").alias("a"), F.col("rid").alias("b"))
     sets = written(texts.join(left.select("rid").distinct(), "rid").select("rid", "text").mapInArrow(hashed, "rid long, size long, shingles binary"))
     sized = left.join(sets.select("rid", "size"), "rid")
     blocks = written(sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks")))
@@ -264,13 +278,14 @@ def _apart(dealt: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     return tiles.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long").distinct()
 
 
-def near_pairs(texts: DataFrame, marks: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_JACCARD) -> DataFrame:
-    """a, b: verified links of marks' texts (rid), enough of them to connect what links of `least` or more connect."""
+def near_groups(texts: DataFrame, marks: DataFrame, k: int = STAGE_SHINGLE, least: float = STAGE_JACCARD) -> DataFrame:
+    """node, component (its least rid) of marks' texts (rid) that have a link: what verified links of `least` or more connect."""
     by_fp = written(marks.groupBy("fp").agg(F.min("rid").alias("hub")))
     grid = links(by_fp.select("fp"))
     for side in ("a", "b"):
         grid = grid.join(by_fp.select(F.col("fp").alias(side), F.col("hub").alias(f"hub_{side}")), side)
     same_fp = spread_join(marks.select("fp", "rid"), by_fp, "fp").where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))
+    first = written(grid.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")).unionByName(same_fp))
 
     rows = written(marks.select("rid", F.explode("bands").alias("key")))
     turn = F.xxhash64("key")
@@ -278,26 +293,23 @@ def near_pairs(texts: DataFrame, marks: DataFrame, k: int = STAGE_SHINGLE, least
     hubs = hubs.select("key", F.col("least").bitwiseXOR(turn).alias("a"))
     met = written(spread_join(rows, hubs, "key").where("rid <> a").select("a", F.col("rid").alias("b")).distinct())
     # texts that share nothing move once, to be left out; those that may be near move with their pairs
-    wanted = [*(met.select(F.col(c).alias("rid")) for c in "ab"), *(same_fp.select(F.col(c).alias("rid")) for c in "ab"), *(grid.select(F.col(f"hub_{c}").alias("rid")) for c in "ab")]
+    wanted = [pairs.select(F.col(c).alias("rid")) for pairs in (met, first) for c in "ab"]
     texts = written(texts.join(reduce(DataFrame.union, wanted).distinct(), "rid", "left_semi"))
     bytes_of = marks.select("rid", "least")
     met = written(met.join(bytes_of.select(F.col("rid").alias("b"), F.col("least").alias("y")), "b"))
     met = written(_agreeing(spread_join(met, bytes_of.select(F.col("rid").alias("a"), F.col("least").alias("x")), "a")))
     best = met.groupBy("b").agg(F.max(F.struct("equal", "a"))["a"].alias("a")).select("a", "b")
 
-    first = grid.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")).unionByName(same_fp)
     first = first.unionByName(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    linked = _verified(first, texts, k, least)
+    reached = components(_verified(first, texts, k, least))
 
     # what meets in a band and is not connected yet: first with the bands' hubs, then each with each
-    reached = written(components(linked))
     sides = met.select("a", "b")
     for side in ("a", "b"):
         sides = sides.join(reached.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-    linked = linked.unionByName(_verified(sides.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), texts, k, least))
-    reached = components(linked).withColumnRenamed("node", "rid")
-    dealt = written(rows.join(reached, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("of")))
-    return linked.unionByName(written(_apart(dealt, texts, k, least)))
+    reached = joined(reached, _verified(sides.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), texts, k, least))
+    dealt = rows.join(reached.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("of"))
+    return joined(reached, written(_apart(written(dealt), texts, k, least)))
 
 
 def stage(docs: DataFrame) -> DataFrame:
@@ -314,7 +326,6 @@ def stage(docs: DataFrame) -> DataFrame:
     ids = keyed.select("rid", F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "rid").alias("first"))
     distinct = marks.select("rid", "same_a", "same_b").join(ids, "rid").groupBy("same_a", "same_b").agg(F.min("first").alias("first"))
     distinct = written(distinct.select(F.col("first.rid").alias("rid"), "first"))
-    linked = near_pairs(texts, written(marks.join(distinct.select("rid"), "rid", "left_semi")))
-    reached = components(linked).withColumnRenamed("node", "rid")
+    reached = near_groups(texts, written(marks.join(distinct.select("rid"), "rid", "left_semi"))).withColumnRenamed("node", "rid")
     one = distinct.join(reached, "rid", "left").groupBy(F.coalesce("component", "rid").alias("of")).agg(F.min("first")["rid"].alias("rid"))
     return keyed.join(one.select("rid"), "rid", "left_semi").select("doc.*")

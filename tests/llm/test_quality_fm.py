@@ -124,3 +124,13 @@ def _hash(spark, text):
     if not _hashes:
         _hashes.update({r.t: r.h for r in spark.range(300).selectExpr("concat('some text ', id) as t", "xxhash64(concat('some text ', id)) as h").collect()})
     return _hashes[text]
+
+
+def test_the_driver_keeps_four_bytes_a_feature(spark, monkeypatch):
+    seen, fit = [], quality_fm.fit
+    monkeypatch.setattr(quality_fm, "fit", lambda rows: seen.extend(rows) or fit(rows))
+    docs = documents(spark, [(i, f"one two w{i} {'good' if i % 2 else 'bad'}", "s") for i in range(60)])
+    model = quality_fm.trained(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    assert seen and all(at.itemsize + value.itemsize == 4 for at, value, _ in seen)
+    wide = fit([(at.astype(np.int64), value.astype(np.float32), label) for at, value, label in seen])
+    assert model.bias == wide.bias and (model.w == wide.w).all() and (model.v == wide.v).all()

@@ -62,6 +62,45 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000
 
 
+def tasks_of(spark, name, run):
+    """What run returns, and how many tasks Spark ran for it."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        got = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return got, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def test_stars_need_no_round(spark):
+    """Rounds that only find that nothing changes made most of the driver's tasks on many small partitions."""
+    edges = spark.createDataFrame([(7 * k, 7 * k + i) for k in range(20) for i in range(1, 7)], "a long, b long").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got, tasks = tasks_of(spark, "stars", lambda: dict(simhash.components(edges).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: i // 7 * 7 for i in range(140)}
+    assert tasks < 200
+
+
+def test_further_links_join_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    reached = simhash.components(table(pairs[:200]))
+    for lo, hi in ((200, 230), (230, 230), (230, 260)):
+        reached = simhash.joined(reached, table(pairs[lo:hi]))
+        whole = simhash.components(table(pairs[:hi]))
+        loops = [(a, a) for a, b in pairs[200:hi] if a == b]
+        assert not loops and sorted(reached.collect()) == sorted(whole.collect())
+
+
 def least_of_near(rows, k=5, least=0.8):
     """The least id of each group of texts that links of a Jaccard similarity of least or more connect, by all pairs."""
 
