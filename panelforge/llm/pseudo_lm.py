@@ -208,24 +208,32 @@ class Network:
 
     def token_scores(self, ids: np.ndarray, off: np.ndarray, step: int = 8192) -> np.ndarray:
         context, wanted, out = contexts(ids, off), self.class_of[ids], self.within[ids].copy()
+        scaled = [self.embedding * place for place in self.places]  # once for all positions
+        matrix, bias = self.out.astype(np.float64), self.out_bias.astype(np.float64)
         for lo in range(0, len(ids), step):
-            hi = lo + step
+            around = context[lo : lo + step]
+            total = self.bias + scaled[0].take(around[:, 0], axis=0)
+            for j in range(1, len(_PLACES)):
+                total += scaled[j].take(around[:, j], axis=0)
             # a product's last digits depend on a row's place in the block: doubles, rounded, give equal texts equal scores
-            found = np.take_along_axis(self.log_class(self.hidden(context[lo:hi]), np.float64), wanted[lo:hi, None], axis=1)[:, 0]
-            out[lo:hi] += np.rint(found * (1 << 20)) / (1 << 20)
+            logits = np.tanh(total, out=total).astype(np.float64) @ matrix
+            logits += bias
+            logits -= logits.max(axis=1, keepdims=True)
+            # only the wanted class's logarithm is formed, and the exponentials take the logits' place
+            found = logits[np.arange(len(around)), wanted[lo : lo + step]]
+            found -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            out[lo : lo + step] += np.rint(found * (1 << 20)) / (1 << 20)
         return out
 
 
 def contexts(ids: np.ndarray, off: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """The ids around each token (or those at the places given), VOCABULARY beyond the ends of its text."""
-    at = np.arange(len(ids)) if at is None else at
-    doc = np.searchsorted(off, at, "right") - 1
-    begin, end = off[doc], off[doc + 1]
-    out = np.full((len(at), len(_PLACES)), VOCABULARY)
-    for j, d in enumerate(_PLACES):
-        inside = np.flatnonzero((at + d >= begin) & (at + d < end))
-        out[inside, j] = ids[at[inside] + d]
-    return out
+    # REACH places lie before and after each text, so that no position looks into another text
+    moved = np.arange(len(ids)) + np.repeat(np.arange(1, len(off)) * REACH, np.diff(off))
+    wide = np.full(len(ids) + len(off) * REACH, VOCABULARY)
+    wide[moved] = ids
+    around = moved if at is None else moved[at]
+    return np.stack([wide[around + d] for d in _PLACES], axis=1)
 
 
 class Trainer:
